@@ -101,7 +101,7 @@ def field_of(text: str, base: list[Span]) -> Field:
         out.signs.append("@" if mail else f"{min(len(digits), 20)}{marks}{'L' * (13 <= len(digits) <= 19 and luhn(digits))}")
         if i:
             out.chain.append((i - 1, i))
-        forms = [m[0].strip(".,;:!?()<>\"'").lower()] if mail else [digits, digits[-9:]] if len(digits) >= 9 else []
+        forms = [m[0].strip(".,;:!?()<>\"'").lower()] if mail else [digits, digits[-9:]] if 9 <= len(digits) <= 19 else []
         for j in sorted({latest[f] for f in forms if f in latest}):
             out.skip.append((j, i))
         latest.update(dict.fromkeys(forms, i))
