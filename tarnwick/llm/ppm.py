@@ -27,7 +27,7 @@ GRAM, WORD = 0, 1
 class PpmModel:
     """order: bytes of the longest context, at most 6; block_bytes: text that one task scores against its part of the trie."""
 
-    order: int = 4
+    order: int = 5
     block_bytes: int = 32 << 20
     piece_bytes: int = 4 << 20
 
