@@ -15,6 +15,7 @@ from tarnwick.runtime import materialize, ship, table
 
 from .bytetext import U64, lowered, mix, pieces, text_bytes, word_hashes, words_of
 from .components import components
+from .rows import PART, with_part
 
 
 @dataclass(frozen=True)
@@ -254,6 +255,34 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), text: st
     return per_row.join(found, F.col("doc_id") == F.col("n0"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
+    """The rows of docs whose key is the least of its component, one for each key; rows without a key stay."""
+    d = with_part(docs, "doc_id", "text")
+    gone = jaccard_components(docs, rules).filter("doc_id <> component_id").select(F.col("doc_id").alias("tw_gone")).distinct()
+    return d.filter(f"{PART} = 0 or doc_id is null").join(gone, F.col("doc_id").cast("long") == F.col("tw_gone"), "left_anti").select(*docs.columns)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) >= 4 THEN list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')))
+                      WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles FROM w
+), n AS (
+  SELECT doc_id, CAST(coalesce(len(shingles), 0) AS BIGINT) AS n FROM s
+), t AS (
+  SELECT DISTINCT doc_id, unnest(shingles) AS token FROM s
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM t a JOIN t b ON a.token = b.token AND a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (
+  SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * c.k >= 85 * (x.n + y.n - c.k)
+), r(a, b) AS (
+  SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)) AS component_id FROM n LEFT JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
+"""

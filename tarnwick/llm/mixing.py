@@ -8,6 +8,8 @@ from pyspark.sql.window import Window as W
 
 from tarnwick.runtime import materialize, ship, table
 
+from .rows import PART, with_part
+
 WORD = r"[^\\x20\\x09-\\x0D]+"
 COPIES = 3
 #: Virtual-time bins up to time 1.
@@ -38,8 +40,8 @@ def source_targets(sizes: DataFrame, copies: int = COPIES) -> DataFrame:
     return s.select("source", "source_no", "source_size", F.when(capped, (copies * F.col("source_size")).cast("double")).otherwise(share).alias("target"), "total")
 
 
-def fair_queue(docs: DataFrame, copies: int = COPIES, seed: str = "mix", key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies of every row.
+def fair_queue(docs: DataFrame, copies: int = COPIES, seed: str = "mix", key: str = "doc_id", source: str = "source", text: str = "text", tie: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken and copies of every row; with tie, a column that tells rows of one key apart, that as well.
 
     Each source shuffles its rows by md5 of seed, source and key. A row's copy number e (from 0) finishes at virtual time
     (e * source_size + words of its source up to and with it) / target. Copies are taken in the order of that time, ties
@@ -51,7 +53,7 @@ def fair_queue(docs: DataFrame, copies: int = COPIES, seed: str = "mix", key: st
     that repeat wholly are interchangeable. With no words at all every target is 0; an empty table gives no rows. Other
     columns are ignored.
     """
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(f"`{text}`").alias("size"))
+    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(f"`{text}`").alias("size"), (F.col(tie).cast("long") if tie else F.lit(0).cast("long")).alias("tie"))
     h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     d = materialize(d.withColumn("h", h).withColumn("range", F.substring("h", 1, 3)), "mix-sizes")
     sums = d.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -60,8 +62,8 @@ def fair_queue(docs: DataFrame, copies: int = COPIES, seed: str = "mix", key: st
     starts = sums.withColumn("start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     starts = starts.alias("s").join(targets.alias("t"), F.expr("s.source <=> t.source")).select("s.source", "range", "start", "source_no", "source_size", "target", "total")
     d = d.alias("d").join(starts.alias("s"), F.expr("d.source <=> s.source and d.range = s.range")).drop(F.col("s.source"), F.col("s.range"))
-    inside = W.partitionBy("source_no", "range").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    d = materialize(d.withColumn("cum", F.col("start") + F.sum("size").over(inside)).select("doc_id", "size", "source_no", "source_size", "target", "total", "cum"), "mix-order")
+    inside = W.partitionBy("source_no", "range").orderBy("h", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, 0)
+    d = materialize(d.withColumn("cum", F.col("start") + F.sum("size").over(inside)).select("doc_id", "size", "tie", "source_no", "source_size", "target", "total", "cum"), "mix-order")
 
     finish = F.array(*[(e * F.col("source_size") + F.col("cum")).cast("double") / F.col("target") for e in range(copies)])
     copied = d.filter("size > 0").select("source_no", "cum", "size", "total", F.posexplode(finish).alias("copy", "finish")).withColumn("bin", F.floor(F.least("finish", F.lit(4.0)) * BINS))
@@ -74,7 +76,15 @@ def fair_queue(docs: DataFrame, copies: int = COPIES, seed: str = "mix", key: st
     whole = sum((F.when(F.floor(F.least(finish[e], F.lit(4.0)) * BINS) < F.col("edge_bin"), 1).otherwise(0) for e in range(copies)), F.lit(0))
     d = d.crossJoin(F.broadcast(edge)).withColumn("whole", F.when((F.col("size") > 0), whole).otherwise(0)).join(last, ["source_no", "cum"], "left")
     taken = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("more", F.lit(0))).otherwise(0).cast("long")
-    return d.select("doc_id", "size", "source_size", "target", (taken * F.col("size")).alias("taken"), taken.alias("copies"))
+    return d.select("doc_id", "size", "source_size", "target", (taken * F.col("size")).alias("taken"), taken.alias("copies"), *(["tie"] if tie else []))
+
+
+def mixed(docs: DataFrame, copies: int = COPIES) -> DataFrame:
+    """docs with each row as often as the mix takes it, all columns kept."""
+    d = with_part(docs, "doc_id", "text")
+    plan = fair_queue(d, copies, tie=PART).filter("copies > 0").select(F.col("doc_id").alias("tw_id"), F.col("tie").alias("tw_tie"), F.col("copies").alias("tw_copies"))
+    out = d.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("tw_id")) & (F.col(PART) == F.col("tw_tie")))
+    return out.withColumn("tw_copy", F.explode(F.sequence(F.lit(1).cast("long"), "tw_copies"))).select(*docs.columns)
 
 
 def op9_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

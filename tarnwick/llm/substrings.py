@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tarnwick.runtime import materialize, ship, table
 
 from .bytetext import U64, Rolling, mix, pieces, spans_of, text_bytes
+from .rows import PART, with_part
 
 GRAM = 32
 #: A difference cover: every difference modulo 16 is one of two of its members.
@@ -166,9 +166,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
 def numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
     """doc, part and text. part is 0 but for rows that share a key, which it numbers in the order of their texts' hashes; a null key counts as the greatest."""
     d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("doc_id"))
-    if d.groupBy("doc").count().filter("count > 1").limit(1).count() == 0:
-        return d.withColumn("part", F.lit(0))
-    return d.withColumn("part", F.row_number().over(W.partitionBy("doc").orderBy(F.sha2(F.coalesce("text", F.lit("")), 256))) - 1)
+    return with_part(d, "doc", "text").withColumnRenamed(PART, "part")
 
 
 def repeated_windows(d: DataFrame, length: int) -> DataFrame:
