@@ -145,16 +145,6 @@ def signatures(docs: DataFrame, common: np.ndarray, rules: JoinRules) -> DataFra
     return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>")
 
 
-def full_sets(docs: DataFrame, rules: JoinRules) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text", rules.piece_bytes):
-                tokens, offsets = shingle_sets(part.column(1), rules.words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.view(np.int64)))], ["doc_id", "tokens"])
-
-    return docs.mapInArrow(run, "doc_id long, tokens array<long>")
-
-
 def open_groups(members: pd.DataFrame, queries: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Links between queries and the members of one block of a group.
 
@@ -187,72 +177,148 @@ def open_groups(members: pd.DataFrame, queries: pd.DataFrame, percent: int) -> l
     return out
 
 
-def _verified(candidates: DataFrame, grouped: DataFrame, sets: DataFrame, rules: JoinRules) -> DataFrame:
-    """Edges (u, v) between queries and the members of the groups that they are candidates for.
+def fitted(docs: DataFrame, by_doc: DataFrame, most_broadcast: int = 64 << 20) -> DataFrame:
+    """docs joined with by_doc on doc_id: by broadcast while its rows, measured, are few, else by a shuffle."""
+    n = by_doc.agg(F.sum(F.size("roles") * 48 + 64).alias("n")).first().n or 0
+    return docs.join(F.broadcast(by_doc) if n <= most_broadcast else by_doc, "doc_id")
+
+
+def _verified(docs: DataFrame, candidates: DataFrame, grouped: DataFrame, rules: JoinRules) -> DataFrame:
+    """Edges (u, v) between queries and members of the groups that they are candidates for.
 
-    candidates: query, group; grouped: doc_id, group, block, the members that may be opened.
+    candidates: query, group; grouped: doc_id, group, block, the members that may be opened. Texts get their roles, and their sets go straight
+    from the text to the tasks that compare them. A task holds one block of a group and one crowd of its queries.
     """
-    crowd = candidates.groupBy("group").agg(F.ceil(F.count("*") / rules.queries).alias("crowds")).withColumnRenamed("group", "g")
-    blocks = grouped.groupBy("group").agg((F.max("block") + 1).alias("blocks")).withColumnRenamed("group", "g")
-    left = grouped.join(crowd, F.col("group") == F.col("g")).select("doc_id", "group", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("crowds") - 1)).alias("crowd"))
-    left = left.join(sets, "doc_id").select("doc_id", "group", "block", "crowd", "tokens")
-    right = candidates.join(crowd, F.col("group") == F.col("g")).drop("g").join(blocks, F.col("group") == F.col("g"))
-    right = right.select(F.col("query").alias("doc_id"), F.col("group").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), F.pmod(F.xxhash64("query"), F.col("crowds")).alias("c"))
-    right = right.join(sets.selectExpr("doc_id as id", "tokens as query_tokens"), F.col("doc_id") == F.col("id")).select(F.col("id").alias("doc_id"), "g", "b", "c", F.col("query_tokens").alias("tokens"))
-
-    def solve(key: tuple, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    crowds = candidates.groupBy("group").agg(F.ceil(F.count("*") / rules.queries).alias("crowds"))
+    blocks = grouped.groupBy("group").agg((F.max("block") + 1).alias("blocks"))
+    size = crowds.join(blocks, "group").withColumnRenamed("group", "g")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = grouped.join(size, F.col("group") == F.col("g")).select("doc_id", "group", "block", upto("crowds").alias("crowd"), F.lit(0).alias("role"))
+    right = candidates.join(size, F.col("group") == F.col("g")).select(F.col("query").alias("doc_id"), "group", upto("blocks").alias("block"), F.pmod(F.xxhash64("query"), F.col("crowds")).alias("crowd"), F.lit(1).alias("role"))
+    roles = materialize(left.unionByName(right).groupBy("doc_id").agg(F.collect_list(F.struct("group", "block", "crowd", "role")).alias("roles")), "jaccard-roles")
+    kinds = [("group", pa.int64()), ("block", pa.int64()), ("crowd", pa.int64()), ("role", pa.int32())]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text", rules.piece_bytes):
+                tokens, offsets = shingle_sets(part.column(1), rules.words)
+                ids, lists = part.column(0), part.column(2)
+                counts = np.diff(np.asarray(lists.offsets))
+                owner = np.repeat(np.arange(len(counts)), counts)
+                flat = lists.flatten()
+                sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.view(np.int64)))
+                held = np.cumsum(np.diff(offsets)[owner]) // (1 << 20)
+                for h in np.unique(held):
+                    rows = np.flatnonzero(held == h)
+                    take, who = pa.array(rows), pa.array(owner[rows])
+                    columns = [flat.field(k).take(take).cast(t) for k, (_, t) in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays([*columns, ids.take(who), sets.take(who)], [*(k for k, _ in kinds), "doc_id", "tokens"])
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        member = rows.role == 0
+        members, queries = rows[member], rows[~member]
         links = open_groups(members, queries, rules.percent) if len(members) and len(queries) else []
         return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
 
-    return left.groupBy("group", "block", "crowd").cogroup(right.groupBy("g", "b", "c")).applyInPandas(solve, "u long, v long")
+    dealt = fitted(docs, roles).select("doc_id", "text", "roles").mapInArrow(deal, "group long, block long, crowd long, role int, doc_id long, tokens array<long>")
+    return dealt.groupBy("group", "block", "crowd").applyInPandas(solve, "u long, v long")
+
+
+def heads_of(signed: DataFrame) -> DataFrame:
+    """doc_id, n, head and, for heads only, prefix. Rows arrive by their set's hash, sorted, and stream; a class of any size needs one held row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, head = None, None
+        for batch in batches:
+            n, h1, h2 = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            heads = np.empty(len(ids), np.int64)
+            is_head = np.zeros(len(ids), dtype=bool)
+            for i, sign in enumerate(zip(n.tolist(), h1.tolist(), h2.tolist(), strict=True)):
+                if sign != last:
+                    last, head = sign, int(ids[i])
+                    is_head[i] = True
+                heads[i] = head
+            prefix = pa.compute.if_else(pa.array(is_head), batch.column(4), pa.scalar(None, batch.column(4).type))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(heads), prefix], ["doc_id", "n", "head", "prefix"])
+
+    usable = signed.filter("doc_id is not null and n > 0").repartition("n", "h1", "h2").sortWithinPartitions("n", "h1", "h2", "doc_id")
+    return usable.mapInArrow(run, "doc_id long, n long, head long, prefix array<long>")
+
+
+def token_lists(heads: DataFrame, rules: JoinRules) -> DataFrame:
+    """token, doc_id, n and hub of the prefix tokens that two heads of fitting sizes share.
+
+    Rows arrive by token, sorted by size, and stream. A list's first head is its hub until a head is too large for it, which becomes the next.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, hub_n, before = None, 0, None  # before: the last row seen and whether it has been given
+        for batch in batches:
+            token, doc, n = (batch.column(i).to_numpy() for i in range(3))
+            same = np.zeros(len(token) + 1, dtype=bool)  # whether a row fits the one before it
+            same[1:-1] = (token[1:] == token[:-1]) & (rules.percent * n[1:] <= 100 * n[:-1])
+            same[0] = before is not None and before[0] == token[0] and rules.percent * int(n[0]) <= 100 * before[2]
+            out: list[tuple[int, int, int, int]] = []
+            if before is not None and same[0] and not before[4]:
+                out.append(before[:4])
+            shared = same[:-1] | same[1:]
+            for i in np.flatnonzero(shared):
+                t, d, k = int(token[i]), int(doc[i]), int(n[i])
+                if not same[i] or rules.percent * k > 100 * hub_n:
+                    hub, hub_n = d, k
+                out.append((t, d, k, hub))
+            i = len(token) - 1
+            if not shared[i]:
+                hub, hub_n = int(doc[i]), int(n[i])
+            before = (int(token[i]), int(doc[i]), int(n[i]), hub, bool(shared[i]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["token", "doc_id", "n", "hub"])
+
+    entries = heads.filter("prefix is not null").select(F.explode("prefix").alias("token"), "doc_id", "n")
+    return entries.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(run, "token long, doc_id long, n long, hub long")
 
 
 def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id, the least key reachable by links, of every row.
 
-    1. Rows with the same set are one class, whose least key stands for it. 2. Class heads share a prefix token if they
-    link (tokens in one order, common ones last). Each head is compared with one hub, the head that it shares most
-    prefix tokens with among the least keys of its tokens' lists; linked ones form the groups, as components. 3. The token-group matrix holds, for every prefix
-    token, the groups with it, once each. A head is a candidate for a group other than its own that has one of its prefix
-    tokens; the union of a block's sets bounds its overlap, and only a block that reaches the bound is opened. 4. Links
-    within and between groups give the components. Members of one group are never compared again, for that cannot change a component.
+    1. Rows with the same set are one class, whose least key, the head, stands for it. 2. Heads that link share a prefix token
+    (tokens in one order, common ones last). Each head is compared with one hub, that of most of its tokens' lists;
+    linked ones form the groups, as components. 3. The token-group matrix holds, for every prefix token, the groups with it, once each. A
+    head is a candidate for a group other than its own that has one of its prefix tokens; the union of a block's sets bounds its overlap, and
+    only a block that reaches the bound is opened. 4. Links within and between groups give the components. Members of one group
+    are never compared again, for that cannot change a component.
 
     Null or empty text, or one without words: no shingles, its own component. A null key takes part in no links and its
     component is null. Rows that share a key count as one: a link of either joins both. Other columns are ignored; an empty table gives none.
     """
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     common = common_shingles(d.select("text"), rules)
-    signed = materialize(signatures(d, common, rules), "jaccard-signatures")
-    usable = signed.filter("doc_id is not null and n > 0")
-    heads = materialize(usable.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "prefix")).alias("m")).selectExpr("n", "h1", "h2", "m.doc_id as doc_id", "m.prefix as prefix"), "jaccard-heads")
-    copies = usable.select("doc_id", "n", "h1", "h2").join(heads.selectExpr("n", "h1", "h2", "doc_id as head"), ["n", "h1", "h2"]).select(F.col("doc_id").alias("u"), F.col("head").alias("v")).filter("u <> v")
-
-    # lists of the tokens that at least two heads of fitting sizes have
-    entries = heads.select("doc_id", "n", F.explode("prefix").alias("token"))
-    lists = entries.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("hub")).filter("df > 1")
-    entries = materialize(entries.join(lists, "token").select("token", "doc_id", "n", "hub"), "jaccard-lists")
-    shared = entries.filter("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n"))
-    best = shared.groupBy("doc_id").agg(F.max(F.struct("common", -F.col("hub"))).alias("b")).select(F.col("doc_id").alias("query"), (-F.col("b.col2")).alias("group"))
-    involved = entries.select("doc_id").distinct()
-    sets = materialize(full_sets(d.join(involved, "doc_id", "left_semi"), rules).dropDuplicates(["doc_id"]), "jaccard-sets")
+    signed = signatures(d, common, rules)
+    heads = materialize(heads_of(signed), "jaccard-heads")
+    copies = heads.filter("doc_id <> head").select(F.col("doc_id").alias("u"), F.col("head").alias("v"))
+    entries = materialize(token_lists(heads, rules), "jaccard-lists")
+    shared = entries.filter("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("common"))
+    best = materialize(shared.groupBy("doc_id").agg(F.max(F.struct("common", (-F.col("hub")).alias("hub"))).alias("b")).select(F.col("doc_id").alias("query"), (-F.col("b.hub")).alias("group")), "jaccard-best")
     hubs = best.select("group").distinct().select(F.col("group").alias("doc_id"), "group", F.lit(0).cast("long").alias("block"))
-    near = materialize(_verified(best, hubs, sets, rules), "jaccard-near")
+    near = materialize(_verified(d, best, hubs, rules), "jaccard-near")
 
     groups = components(near)
     placed = entries.join(groups, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("group"))
     matrix = placed.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     several = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
     matrix = matrix.join(several, "token").withColumnRenamed("group", "other")
-    fitting = F.expr(f"group <> other and 100 * least <= 100 * most and {rules.percent} * least <= 100 * n and {rules.percent} * n <= 100 * most")
+    fitting = F.expr(f"group <> other and {rules.percent} * least <= 100 * n and {rules.percent} * n <= 100 * most")
     candidates = placed.join(several, "token").join(matrix, "token").filter(fitting).select(F.col("doc_id").alias("query"), F.col("other").alias("group")).distinct()
     candidates = materialize(candidates, "jaccard-candidates")
     members = placed.select("doc_id", "group").distinct().join(candidates.select("group").distinct(), "group", "left_semi")
     many = members.groupBy("group").agg(F.ceil(F.count("*") / rules.block).alias("blocks")).withColumnRenamed("group", "g")
     members = members.join(many, F.col("group") == F.col("g")).select("doc_id", "group", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
-    links = near.unionByName(_verified(candidates, members, sets, rules)).unionByName(copies)
+    links = near.unionByName(_verified(d, candidates, members, rules)).unionByName(copies)
     found = components(links).withColumnRenamed("node", "n0")
-    per_row = signed.select("doc_id", F.col("n").alias("n_shingles"))
-    return per_row.join(found, F.col("doc_id") == F.col("n0"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    placed = heads.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("n0"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    rest = d.filter(r"doc_id is null or text is null or not text rlike '[^\\x20\\x09-\\x0D]'")
+    return placed.unionByName(signatures(rest, common, rules).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
