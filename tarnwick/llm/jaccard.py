@@ -22,11 +22,12 @@ from .rows import PART, with_part
 class JoinRules:
     """words in a shingle; links hold where 100 * intersection >= percent * union.
 
-    frequent: entries of the table of common shingles, an ordering aid whose size is fixed (16 bytes each); block: members of a group that are opened at once; queries: queries that one task holds against a block.
+    more: linking sets must share so many prefix tokens, in percent of the smaller set, and prefixes are longer by as many; frequent: entries of the table of common shingles, an ordering aid whose size is fixed (16 bytes each); block: members of a group that are opened at once; queries: queries that one task holds against a block.
     """
 
     words: int = 4
     percent: int = 85
+    more: int = 8
     frequent: int = 500_000
     block: int = 512
     queries: int = 2048
@@ -71,9 +72,9 @@ def set_hashes(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out[0], out[1]
 
 
-def prefix_lengths(sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Two sets that link share a token among so many first ones of each, in any common order of tokens."""
-    return np.where(sizes > 0, sizes - (percent * sizes + 99) // 100 + 1, 0)
+def prefix_lengths(sizes: np.ndarray, percent: int, more: int) -> np.ndarray:
+    """Two sets that link share at least `more` percent of the smaller one's size, rounded up, among so many first tokens of each, in any common order."""
+    return np.where(sizes > 0, sizes - (percent * sizes + 99) // 100 + (more * sizes + 99) // 100, 0)
 
 
 def common_shingles(docs: DataFrame, rules: JoinRules) -> np.ndarray:
@@ -105,10 +106,13 @@ def common_shingles(docs: DataFrame, rules: JoinRules) -> np.ndarray:
                 fresh = np.zeros(len(offsets) - 1, dtype=bool)
                 fresh[new] = True
                 t, n = np.unique(tokens[np.repeat(fresh, np.diff(offsets))], return_counts=True)
-                few = n >= 2  # within a piece of some MB; what is rarer there is rare enough
-                kept.append(t[few])
-                number.append(n[few].astype(np.int64))
+                kept.append(t)
+                number.append(n.astype(np.int64))
+                if sum(map(len, kept)) > 6_000_000:
+                    t, n = merged()
+                    kept, number = [t[n > 1]], [n[n > 1]]
         t, n = merged()
+        t, n = t[n > 1], n[n > 1]
         yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n)], ["token", "n"])
 
     counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 3")
@@ -135,9 +139,9 @@ def signatures(docs: DataFrame, common: np.ndarray, rules: JoinRules) -> DataFra
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 # row, class and a mixed form of the hash, so that neither order nor prefix depends on how hashes cluster
                 order = np.lexsort((tokens, kind, row))
-                take = (np.arange(len(tokens)) - offsets[row]) < prefix_lengths(sizes, rules.percent)[row]
+                take = (np.arange(len(tokens)) - offsets[row]) < prefix_lengths(sizes, rules.percent, rules.more)[row]
                 first = tokens[order][take]
-                ends = np.concatenate(([0], np.cumsum(prefix_lengths(sizes, rules.percent))))
+                ends = np.concatenate(([0], np.cumsum(prefix_lengths(sizes, rules.percent, rules.more))))
                 h1, h2 = set_hashes(tokens, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(first.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int64)), pa.array(h1), pa.array(h2), lists], ["doc_id", "n", "h1", "h2", "prefix"])
@@ -285,7 +289,7 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), text: st
     1. Rows with the same set are one class, whose least key, the head, stands for it. 2. Heads that link share a prefix token
     (tokens in one order, common ones last). Each head is compared with one hub, that of most of its tokens' lists;
     linked ones form the groups, as components. 3. The token-group matrix holds, for every prefix token, the groups with it, once each. A
-    head is a candidate for a group other than its own that has one of its prefix tokens; the union of a block's sets bounds its overlap, and
+    head is a candidate for a group before its own that has enough of its prefix tokens; the union of a block's sets bounds its overlap, and
     only a block that reaches the bound is opened. 4. Links within and between groups give the components. Members of one group
     are never compared again, for that cannot change a component.
 
@@ -298,7 +302,8 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), text: st
     heads = materialize(heads_of(signed), "jaccard-heads")
     copies = heads.filter("doc_id <> head").select(F.col("doc_id").alias("u"), F.col("head").alias("v"))
     entries = materialize(token_lists(heads, rules), "jaccard-lists")
-    shared = entries.filter("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("common"))
+    enough = f"greatest(1, ceil({rules.more} * ceil({rules.percent} * n / 100) / 100))"
+    shared = entries.filter("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n")).filter(f"2 * common >= {enough}")
     best = materialize(shared.groupBy("doc_id").agg(F.max(F.struct("common", (-F.col("hub")).alias("hub"))).alias("b")).select(F.col("doc_id").alias("query"), (-F.col("b.hub")).alias("group")), "jaccard-best")
     hubs = best.select("group").distinct().select(F.col("group").alias("doc_id"), "group", F.lit(0).cast("long").alias("block"))
     near = materialize(_verified(d, best, hubs, rules), "jaccard-near")
@@ -308,8 +313,8 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), text: st
     matrix = placed.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     several = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
     matrix = matrix.join(several, "token").withColumnRenamed("group", "other")
-    fitting = F.expr(f"group <> other and {rules.percent} * least <= 100 * n and {rules.percent} * n <= 100 * most")
-    candidates = placed.join(several, "token").join(matrix, "token").filter(fitting).select(F.col("doc_id").alias("query"), F.col("other").alias("group")).distinct()
+    fitting = F.expr(f"group > other and {rules.percent} * least <= 100 * n and {rules.percent} * n <= 100 * most")
+    candidates = placed.join(several, "token").join(matrix, "token").filter(fitting).select(F.col("doc_id").alias("query"), F.col("other").alias("group"), "n").groupBy("query", "group").agg(F.count("*").alias("common"), F.first("n").alias("n")).filter(f"common >= {enough}").select("query", "group")
     candidates = materialize(candidates, "jaccard-candidates")
     members = placed.select("doc_id", "group").distinct().join(candidates.select("group").distinct(), "group", "left_semi")
     many = members.groupBy("group").agg(F.ceil(F.count("*") / rules.block).alias("blocks")).withColumnRenamed("group", "g")
