@@ -28,10 +28,10 @@ class JoinRules:
     words: int = 4
     percent: int = 85
     more: int = 8
-    frequent: int = 500_000
+    frequent: int = 1_000_000
     block: int = 512
     queries: int = 2048
-    piece_bytes: int = 8 << 20
+    piece_bytes: int = 4 << 20
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,44 +78,26 @@ def prefix_lengths(sizes: np.ndarray, percent: int, more: int) -> np.ndarray:
 
 
 def common_shingles(docs: DataFrame, rules: JoinRules) -> np.ndarray:
-    """Hashes and frequency classes of shingles that several texts of a task share, those of most texts first, at most rules.frequent.
+    """Hashes and frequency classes of shingles that three texts or more share, those of most texts first, at most rules.frequent.
 
-    It serves only to order tokens, rare ones first; any table gives the same links. Row 0: sorted hashes, row 1: classes.
+    Counted are, over all texts, the shingles in the low part of the hash range: prefixes, which take rare tokens first and then low hashes,
+    lie there but for a few. The table only orders tokens; any table gives the same links. Row 0: sorted hashes, row 1: classes.
     """
+    low = U64(int(2**48 * min(1.0, (100 - rules.percent + rules.more) * 1.5 / 100)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        kept: list[np.ndarray] = []
-        number: list[np.ndarray] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            t, n = np.concatenate(kept or [np.empty(0, U64)]), np.concatenate(number or [np.empty(0, np.int64)])
-            order = np.argsort(t, kind="stable")
-            t, n = t[order], n[order]
-            at = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.empty(0, np.int64)
-            return t[at], np.add.reduceat(n, at) if len(at) else n
-
         for batch in batches:
             for part in pieces(batch, "text", rules.piece_bytes):
                 tokens, offsets = shingle_sets(part.column(0), rules.words)
-                new = []
+                seen: dict[tuple[int, int], int] = {}
                 for i, h in enumerate(zip(*map(np.ndarray.tolist, set_hashes(tokens, offsets)), strict=True)):
-                    if h not in seen:
-                        seen.add(h)
-                        new.append(i)
+                    seen.setdefault(h, i)
                 fresh = np.zeros(len(offsets) - 1, dtype=bool)
-                fresh[new] = True
-                t, n = np.unique(tokens[np.repeat(fresh, np.diff(offsets))], return_counts=True)
-                kept.append(t)
-                number.append(n.astype(np.int64))
-                if sum(map(len, kept)) > 6_000_000:
-                    t, n = merged()
-                    kept, number = [t[n > 1]], [n[n > 1]]
-        t, n = merged()
-        t, n = t[n > 1], n[n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n)], ["token", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 3")
+                fresh[list(seen.values())] = True
+                t, n = np.unique(tokens[np.repeat(fresh, np.diff(offsets)) & (tokens < low)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int32), pa.int32())], ["token", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 3")
     top = counted.orderBy(F.desc("n"), "token").limit(rules.frequent).toPandas()
     hashes, n = top.token.to_numpy(np.int64).view(U64), top.n.to_numpy(np.int64)
     order = np.argsort(hashes)
@@ -286,12 +268,12 @@ def token_lists(heads: DataFrame, rules: JoinRules) -> DataFrame:
 def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id, the least key reachable by links, of every row.
 
-    1. Rows with the same set are one class, whose least key, the head, stands for it. 2. Heads that link share a prefix token
-    (tokens in one order, common ones last). Each head is compared with one hub, that of most of its tokens' lists;
-    linked ones form the groups, as components. 3. The token-group matrix holds, for every prefix token, the groups with it, once each. A
-    head is a candidate for a group before its own that has enough of its prefix tokens; the union of a block's sets bounds its overlap, and
-    only a block that reaches the bound is opened. 4. Links within and between groups give the components. Members of one group
-    are never compared again, for that cannot change a component.
+    1. Rows with the same set are one class, whose least key, the head, stands for it. 2. Heads that link share prefix tokens
+    (in one order, common ones last). The head that draws most others through such tokens is their hub; a hub and those
+    that it draws form a group of similar sets, and each is compared with its hub. 3. The token-group matrix holds, for every prefix token, the
+    groups with it, once each. A head is a candidate for its own group, and for one before it that has enough of its prefix tokens, unless
+    all of that is in its component by now. The union of a block of members bounds a head's overlap with any; only a block that
+    reaches the bound is opened. 4. All links found give the components.
 
     Null or empty text, or one without words: no shingles, its own component. A null key takes part in no links and its
     component is null. Rows that share a key count as one: a link of either joins both. Other columns are ignored; an empty table gives none.
@@ -304,19 +286,30 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), text: st
     entries = materialize(token_lists(heads, rules), "jaccard-lists")
     enough = f"greatest(1, ceil({rules.more} * ceil({rules.percent} * n / 100) / 100))"
     shared = entries.filter("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n")).filter(f"2 * common >= {enough}")
-    best = materialize(shared.groupBy("doc_id").agg(F.max(F.struct("common", (-F.col("hub")).alias("hub"))).alias("b")).select(F.col("doc_id").alias("query"), (-F.col("b.hub")).alias("group")), "jaccard-best")
-    hubs = best.select("group").distinct().select(F.col("group").alias("doc_id"), "group", F.lit(0).cast("long").alias("block"))
-    near = materialize(_verified(d, best, hubs, rules), "jaccard-near")
-
-    groups = components(near)
-    placed = entries.join(groups, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("group"))
+    shared = materialize(shared, "jaccard-hubs")
+    drawn = shared.groupBy("hub").agg(F.count("*").alias("drawn")).withColumnRenamed("hub", "h")
+    choice = F.max(F.struct("drawn", "common", (-F.col("hub")).alias("hub")))
+    best = materialize(shared.join(drawn, F.col("hub") == F.col("h")).groupBy("doc_id").agg(choice.alias("b")).select(F.col("doc_id").alias("query"), (-F.col("b.hub")).alias("group")), "jaccard-best")
+    hubs = best.select("group").distinct()
+    near = materialize(_verified(d, best, hubs.select(F.col("group").alias("doc_id"), "group", F.lit(0).cast("long").alias("block")), rules), "jaccard-near")
+
+    linked = components(near).selectExpr("node as n1", "component")
+    stars = best.join(hubs.withColumnRenamed("group", "hub"), F.col("query") == F.col("hub"), "left_anti").selectExpr("query as q1", "group")
+    heads_in = entries.select("doc_id").distinct().join(stars, F.col("doc_id") == F.col("q1"), "left").join(linked, F.col("doc_id") == F.col("n1"), "left")
+    heads_in = materialize(heads_in.select("doc_id", F.coalesce("group", "doc_id").alias("group"), F.coalesce("component", "doc_id").alias("component")), "jaccard-groups")
+    one = heads_in.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
+    one = one.select(F.col("group").alias("g"), "members", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("only"))
+    placed = entries.select("token", "doc_id", "n").join(heads_in, "doc_id")
     matrix = placed.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     several = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
     matrix = matrix.join(several, "token").withColumnRenamed("group", "other")
     fitting = F.expr(f"group > other and {rules.percent} * least <= 100 * n and {rules.percent} * n <= 100 * most")
-    candidates = placed.join(several, "token").join(matrix, "token").filter(fitting).select(F.col("doc_id").alias("query"), F.col("other").alias("group"), "n").groupBy("query", "group").agg(F.count("*").alias("common"), F.first("n").alias("n")).filter(f"common >= {enough}").select("query", "group")
+    across = placed.join(several, "token").join(matrix, "token").filter(fitting).groupBy("doc_id", "other").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("component").alias("component"))
+    across = across.filter(f"common >= {enough}").select(F.col("doc_id").alias("query"), F.col("other").alias("group"), "component")
+    within = heads_in.select(F.col("doc_id").alias("query"), "group", "component")
+    candidates = across.unionByName(within).join(one, F.col("group") == F.col("g")).filter("members > 1 or query <> group").filter("only is null or only <> component").select("query", "group")
     candidates = materialize(candidates, "jaccard-candidates")
-    members = placed.select("doc_id", "group").distinct().join(candidates.select("group").distinct(), "group", "left_semi")
+    members = heads_in.select("doc_id", "group").join(candidates.select("group").distinct(), "group", "left_semi")
     many = members.groupBy("group").agg(F.ceil(F.count("*") / rules.block).alias("blocks")).withColumnRenamed("group", "g")
     members = members.join(many, F.col("group") == F.col("g")).select("doc_id", "group", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
     links = near.unionByName(_verified(d, candidates, members, rules)).unionByName(copies)
