@@ -78,7 +78,7 @@ def prefix_lengths(sizes: np.ndarray, percent: int, more: int) -> np.ndarray:
 
 
 def common_shingles(docs: DataFrame, rules: JoinRules) -> np.ndarray:
-    """Hashes and frequency classes of shingles that three texts or more share, those of most texts first, at most rules.frequent.
+    """Hashes and frequency classes of shingles that three texts or more share, those of most texts first, rules.frequent at most.
 
     Counted are, over all texts, the shingles in the low part of the hash range: prefixes, which take rare tokens first and then low hashes,
     lie there but for a few. The table only orders tokens; any table gives the same links. Row 0: sorted hashes, row 1: classes.
@@ -98,8 +98,14 @@ def common_shingles(docs: DataFrame, rules: JoinRules) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int32), pa.int32())], ["token", "n"])
 
     counted = docs.select("text").mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 3")
-    top = counted.orderBy(F.desc("n"), "token").limit(rules.frequent).toPandas()
-    hashes, n = top.token.to_numpy(np.int64).view(U64), top.n.to_numpy(np.int64)
+    counted = materialize(counted, "jaccard-common")
+    held, least = 0, 2**62
+    for r in counted.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():  # frequencies in falling order, until the table is full
+        if (held := held + r["count"]) > rules.frequent:
+            break
+        least = r.n
+    top = counted.filter(F.col("n") >= least).toArrow()
+    hashes, n = top.column("token").to_numpy().astype(np.int64).view(U64), top.column("n").to_numpy().astype(np.int64)
     order = np.argsort(hashes)
     return np.array([hashes[order], np.floor(np.log2(np.maximum(n[order], 1))).astype(U64)])
 
