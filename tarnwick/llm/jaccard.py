@@ -169,6 +169,24 @@ def open_groups(members: pd.DataFrame, queries: pd.DataFrame, percent: int) -> l
     return out
 
 
+def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """As many of the links of one task as connect what all of them connect."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = x = above[y]
+        return x
+
+    out = []
+    for u, v in links:
+        a, b = root(u), root(v)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            out.append((u, v))
+    return out
+
+
 def fitted(docs: DataFrame, by_doc: DataFrame, most_broadcast: int = 64 << 20) -> DataFrame:
     """docs joined with by_doc on doc_id: by broadcast while its rows, measured, are few, else by a shuffle."""
     n = by_doc.agg(F.sum(F.size("roles") * 48 + 64).alias("n")).first().n or 0
@@ -210,7 +228,7 @@ def _verified(docs: DataFrame, candidates: DataFrame, grouped: DataFrame, rules:
         member = rows.role == 0
         members, queries = rows[member], rows[~member]
         links = open_groups(members, queries, rules.percent) if len(members) and len(queries) else []
-        return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
+        return pd.DataFrame(spanning(links), columns=["u", "v"]).astype("int64")
 
     dealt = fitted(docs, roles).select("doc_id", "text", "roles").mapInArrow(deal, "group long, block long, crowd long, role int, doc_id long, tokens array<long>")
     return dealt.groupBy("group", "block", "crowd").applyInPandas(solve, "u long, v long")
