@@ -169,7 +169,7 @@ def numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
     return with_part(d, "doc", "text").withColumnRenamed(PART, "part")
 
 
-def repeated_windows(d: DataFrame, length: int) -> DataFrame:
+def repeated_windows(d: DataFrame, length: int, most_broadcast: int = 64 << 20) -> DataFrame:
     """doc, part, at, windows: runs of window starts whose string also starts earlier."""
     size = d.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     spark = d.sparkSession
@@ -185,23 +185,27 @@ def repeated_windows(d: DataFrame, length: int) -> DataFrame:
                 if len(c.row):
                     doc, part = doc[c.row], part[c.row]
                     late = later_than_first([doc, part, c.at], c.gram, c.context)
-                    yield _batch([np.where(late, COVERED, ASKED), doc, part, c.at, c.windows, c.anchor, c.gram, c.context])
+                    # what is settled needs no company: it spreads by its own hash
+                    yield _batch([np.where(late, COVERED, ASKED), doc, part, c.at, c.windows, c.anchor, np.where(late, c.context ^ c.at, c.gram), c.context])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All but the first of equal contexts are covered; first ones whose anchor has other contexts are asked for."""
         t = _whole(batches)
         if t is None:
             return
-        c = {k: t.column(k).to_numpy() for k in NAMES[1:]}
+        done = t.column("kind").to_numpy() == COVERED
+        c = {k: t.column(k).to_numpy()[done] for k in NAMES[1:]}
+        yield _batch([np.full(int(done.sum()), COVERED), *c.values()])
+        c = {k: t.column(k).to_numpy()[~done] for k in NAMES[1:]}
         late = later_than_first([c["doc"], c["part"], c["at"]], c["gram"], c["context"])
         grams, number = np.unique(c["gram"][~late], return_counts=True)
         asked = ~late & (number[np.searchsorted(grams, c["gram"])] > 1)
         keep = late | asked
         yield _batch([np.where(late, COVERED, ASKED)[keep], *(c[k][keep] for k in NAMES[1:])])
 
-    found = materialize(d.select("doc", "part", "text").mapInArrow(gather, OPEN), "substring-contexts")
-    settled = materialize(found.filter(f"kind = {ASKED}").repartition(parts, "gram").mapInArrow(settle, OPEN), "substring-settled")
-    covered = found.filter(f"kind = {COVERED}").unionByName(settled.filter(f"kind = {COVERED}")).select("doc", "part", "at", "windows")
+    found = d.select("doc", "part", "text").mapInArrow(gather, OPEN)
+    settled = materialize(found.repartition(parts, "gram").mapInArrow(settle, OPEN).drop("context"), "substring-settled")
+    covered = settled.filter(f"kind = {COVERED}").select("doc", "part", "at", "windows")
 
     asks = settled.filter(f"kind = {ASKED}").groupBy("doc", "part").agg(F.collect_list(F.struct("at", "windows", "anchor", "gram")).alias("asked"))
     shape = "gram long, anchor int, doc long, part int, at int, bytes binary"
@@ -240,7 +244,8 @@ def repeated_windows(d: DataFrame, length: int) -> DataFrame:
                 yield _batch([c["doc"][w], c["part"][w], c["at"][w] + offset[first], runs], ["doc", "part", "at", "windows"], [pa.int64(), pa.int32(), pa.int32(), pa.int32()])
             i = j
 
-    fetched = d.select("doc", "part", "text").join(asks, ["doc", "part"]).mapInArrow(fetch, shape)
+    small = settled.filter(f"kind = {ASKED}").count() * 64 <= most_broadcast  # measured; beyond it both sides are shuffled
+    fetched = d.select("doc", "part", "text").join(F.broadcast(asks) if small else asks, ["doc", "part"]).mapInArrow(fetch, shape)
     return covered.unionByName(fetched.repartition(parts, "gram").mapInArrow(sort, "doc long, part int, at int, windows int"))
 
 
