@@ -5,12 +5,282 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .runtime import table
+from .functions import text as T
+from .functions import vector as V
+from .operators import analytics as A
+from .operators import records as R
+from .operators import retrieval as S
+from .runtime import ship, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
+TOKENS = r"list_concat(list_concat(regexp_extract_all(lower(text), '[a-z0-9_]+(?:[.:-][a-z0-9_]+)*'), flatten(list_transform(regexp_extract_all(lower(text), '[\x{3400}-\x{9fff}]+'), lambda r: string_split(r, '')))), flatten(list_transform(regexp_extract_all(lower(text), '[\x{3400}-\x{9fff}]+'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))))"
+NORMAL = r"trim(regexp_replace(coalesce(text, ''), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def portable(name: str, tables: str, sql: str) -> None:
+    """A query whose text both engines take: the same semantics, two implementations."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(sql.format(**{t: f"{{{t}}}" for t in tables.split()}), **{t: table(spark, sf_dir, t) for t in tables.split()})
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLE[name] = sql.format(**{t: t for t in tables.split()})
+
+
+@query(f"SELECT term, count(*) AS n FROM (SELECT unnest({TOKENS}) AS term FROM documents) GROUP BY term ORDER BY n DESC, term LIMIT 50")
+def tokens_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term"))
+    return d.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(50)
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf, sha256(term) AS h FROM t GROUP BY ALL),
+v AS (SELECT doc_id, CAST(('0x' || substr(h, 14, 3))::BIGINT % 512 AS INTEGER) AS idx, sum((CASE WHEN ('0x' || substr(h, 17, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END) * (1 + ln(tf))) AS value FROM f GROUP BY ALL)
+SELECT doc_id, idx, round(coalesce(value / nullif(sqrt(sum(value * value) OVER (PARTITION BY doc_id)), 0), 0), 6) + 0.0 AS value FROM v""")
+def hash_features_512(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    return V.signed_features(d, "doc_id", "term", 512).select("doc_id", "idx", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
+BM25_SQL = f"""
+q AS (SELECT DISTINCT item_id, unnest({TOKENS}) AS term FROM benchmark),
+d AS (SELECT doc_id, {TOKENS} AS t FROM documents),
+s AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM d),
+f AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY ALL),
+g AS (SELECT term, count(*)::DOUBLE AS df FROM f GROUP BY term),
+bm AS (SELECT item_id, doc_id, round(sum(tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) * ln(1::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))), 6) AS score
+       FROM q JOIN f USING (term) JOIN g USING (term), s GROUP BY item_id, doc_id)"""
+
+
+@query(f"WITH {BM25_SQL} SELECT * FROM (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bm) WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = S.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("text", "query"), "doc_id", "text", "item_id", "query")
+    return S.top(scores, "item_id", "doc_id", "score", 10, 6).select("item_id", "doc_id", "score", "rank")
+
+
+COSINE_SQL = """
+v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, label FROM embeddings),
+c AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS score, q.label AS query_label, v.label AS label FROM (SELECT * FROM v WHERE vec_id % 50 = 0) q JOIN v ON q.vec_id <> v.vec_id)"""
+
+
+def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("query_label"))
+    pairs = e.crossJoin(F.broadcast(asked)) if asked.count() <= 20_000 else e.join(asked)
+    return pairs.filter("vec_id <> query_id").select("query_id", "vec_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("score"), "query_label", "label")
+
+
+@query(f"WITH {COSINE_SQL} SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c) WHERE rank <= 10")
+def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.top(_cosine(spark, sf_dir), "query_id", "vec_id", "score", 10, 6).select("query_id", "vec_id", "score", "rank")
+
+
+@query(f"""WITH {COSINE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c),
+p AS (SELECT query_id, count(*) FILTER (query_label = label) AS total, count(*) FILTER (query_label = label AND rank <= 10) AS found, min(rank) FILTER (query_label = label AND rank <= 10) AS first,
+      sum(CASE WHEN query_label = label AND rank <= 10 THEN 1 / (ln(rank + 1) / ln(2)) ELSE 0 END) AS dcg FROM r GROUP BY query_id)
+SELECT count(*) AS queries, round(avg(found / total), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(dcg / list_sum(list_transform(range(1, least(total, 10) + 1), lambda i: 1 / (ln(i + 1) / ln(2))))), 6) AS ndcg FROM p WHERE total > 0""")
+def ir_recall_mrr_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _cosine(spark, sf_dir)
+    ranks = c.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).select("query_id", "vec_id", "rank")
+    relevant = c.filter("query_label = label").select("query_id", "vec_id")
+    return S.evaluate(ranks, relevant, "query_id", "vec_id", 10).select("queries", *[F.round(x, 6).alias(x) for x in ("recall", "mrr", "ndcg")])
+
+
+OVERLAP_SQL = f"""
+x AS (SELECT doc_id, unnest(list_distinct({TOKENS})) AS term FROM documents),
+ov AS (SELECT q.item_id, x.doc_id, round(count(*)::DOUBLE / any_value(m.n), 6) AS score FROM q JOIN x USING (term) JOIN (SELECT item_id, count(*) AS n FROM q GROUP BY item_id) m USING (item_id) GROUP BY q.item_id, x.doc_id)"""
+RRF_SQL = f"""
+r1 AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bm WHERE score > 0),
+r2 AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ov WHERE score > 0),
+f2 AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY item_id, doc_id)"""
+
+
+def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("t"))
+    q = b.select("item_id", F.size("t").alias("n"), F.explode("t").alias("term"))
+    return d.join(q, "term").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("c")).select("item_id", "doc_id", F.round(F.col("c").cast("double") / F.col("n"), 6).alias("score"))
+
+
+def hybrid(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """BM25 and token overlap of every benchmark text with the documents, fused by reciprocal rank."""
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("text", "query")
+    sparse = S.bm25(docs, asked, "doc_id", "text", "item_id", "query").withColumn("score", F.round("score", 6))
+    fused = S.fuse([S.ranked(sparse, "item_id", "doc_id"), S.ranked(_overlap(spark, sf_dir), "item_id", "doc_id")], "item_id", "doc_id")
+    return S.top(fused, "item_id", "doc_id", "rrf", k).select("item_id", "doc_id", "rrf", "rank")
+
+
+@query(f"WITH {BM25_SQL}, {OVERLAP_SQL}, {RRF_SQL} SELECT item_id, doc_id, rrf, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id) AS rank FROM f2) WHERE rank <= 10")
+def rrf_hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid(spark, sf_dir)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return hybrid(spark, sf_dir)
+
+
+@query("""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+p AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v) GROUP BY label, i),
+c AS (SELECT label AS centre, list(m ORDER BY i) AS c FROM p GROUP BY label),
+s AS (SELECT vec_id, centre, round(list_cosine_similarity(e, c), 6) AS score FROM v, c)
+SELECT vec_id, centre AS predicted, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, centre) AS rn FROM s) WHERE rn = 1""")
+def centroid_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    c = V.centroids(e, "label", "embedding").select(F.col("label").alias("centre"), "centroid")  # one row per label
+    s = e.crossJoin(F.broadcast(c)).select("vec_id", "centre", F.round(V.cosine(F.col("embedding"), F.col("centroid")), 6).alias("score"))
+    best = F.max_by(F.struct("centre", "score"), F.struct(F.col("score"), (-F.col("centre")).alias("c")))
+    return s.groupBy("vec_id").agg(best.alias("b")).select("vec_id", F.col("b.centre").alias("predicted"), "b.score")
+
+
+@query()
+def spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return R.spherical_kmeans(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+
+
+@query(f"""WITH h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256({NORMAL})) AS family FROM documents)
+SELECT doc_id, family, CASE WHEN ('0x' || substr(sha256('seed:' || family), 1, 8))::BIGINT % 100 < 80 THEN 'train' WHEN ('0x' || substr(sha256('seed:' || family), 1, 8))::BIGINT % 100 < 90 THEN 'validation' ELSE 'test' END AS split FROM h""")
+def exact_dup_families_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", T.text_hash(F.col("text")).alias("h"))
+    heads = d.groupBy("h").agg(F.min("doc_id").alias("family"))
+    return d.join(heads, "h").select("doc_id", "family", T.split_bucket(F.col("family").cast("string"), "seed").alias("split"))
+
+
+@query("SELECT split, label, count(*) AS n FROM (SELECT CASE WHEN ('0x' || substr(sha256('seed:' || doc_id), 1, 8))::BIGINT % 100 < 80 THEN 'train' WHEN ('0x' || substr(sha256('seed:' || doc_id), 1, 8))::BIGINT % 100 < 90 THEN 'validation' ELSE 'test' END AS split, quality AS label FROM labels) GROUP BY split, label")
+def manifest_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(T.split_bucket(F.col("doc_id").cast("string"), "seed").alias("split"), F.col("quality").alias("label")).groupBy("split", "label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source AS family, count(DISTINCT split) AS splits, count(*) AS n FROM (SELECT source, CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'test' END AS split FROM documents) GROUP BY source HAVING count(DISTINCT split) > 1")
+def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("family"), F.when(F.col("doc_id") % 10 < 8, "train").otherwise("test").alias("split"))
+    return A.split_leaks(d, "family", "split")
+
+
+@query("SELECT lang, count(*) AS n, min(n_chars)::DOUBLE AS least, max(n_chars)::DOUBLE AS most, round(avg(n_chars), 6) AS mean, round(quantile_cont(n_chars::DOUBLE, 0.5), 6) AS median, round(quantile_cont(n_chars::DOUBLE, 0.95), 6) AS p95 FROM documents GROUP BY lang")
+def numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.numeric_summary(table(spark, sf_dir, "documents"), ["lang"], "n_chars")
+
+
+@query("""WITH d AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)), t AS (SELECT count(*) AS rows, count(*) FILTER (text IS NULL OR text = '') AS text, count(*) FILTER (lang IS NULL OR lang = '') AS lang, count(*) FILTER (quality IS NULL) AS quality, count(*) FILTER (toxic IS NULL) AS toxic FROM d)
+SELECT field, rows, missing, round((rows - missing) / rows, 6) AS coverage FROM (SELECT rows, unnest(['text', 'lang', 'quality', 'toxic']) AS field, unnest([text, lang, quality, toxic]) AS missing FROM t)""")
+def quality_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return A.coverage(d, ["text", "lang", "quality", "toxic"])
+
+
+@query("WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), t AS (SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS classes, round(max(n) / min(n), 6) AS ratio FROM c) SELECT total, classes, ratio, (SELECT coalesce(string_agg(lang, ',' ORDER BY lang), '') FROM c, t WHERE n / total < 0.12) AS rare FROM t")
+def imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.imbalance(table(spark, sf_dir, "documents"), "lang", 0.12)
+
+
+@query("""WITH m AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS mid FROM events), a AS (SELECT event_type AS c, count(*) / sum(count(*)) OVER () AS p FROM events, m WHERE ts < mid GROUP BY 1), b AS (SELECT event_type AS c, count(*) / sum(count(*)) OVER () AS q FROM events, m WHERE ts >= mid GROUP BY 1),
+j AS (SELECT coalesce(p, 0)::DOUBLE AS p, coalesce(q, 0)::DOUBLE AS q FROM a FULL JOIN b USING (c))
+SELECT round(sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) + (CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)) / 2, 9) AS js, round(sum(abs(p - q)) / 2, 9) AS tv, count(*) FILTER (p = 0 AND q > 0) AS "new", count(*) FILTER (q = 0 AND p > 0) AS dropped FROM j""")
+def drift_js(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    mid = F.broadcast(e.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("mid")))
+    both = e.crossJoin(mid)
+    return A.drift(both.filter("ts < mid"), both.filter("ts >= mid"), "event_type")
+
+
+@query("""WITH x AS (SELECT user_id, event_id, epoch_us(ts) AS step, value, row_number() OVER w AS rn, count(*) OVER (PARTITION BY user_id) AS rows, lag(value) OVER w AS before, lag(epoch_us(ts)) OVER w AS step_before FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+g AS (SELECT user_id, count(*) AS n, min(value) AS best, arg_max(value, event_id) AS last, regr_slope(value, rn::DOUBLE) FILTER (rn > rows // 2) AS slope, stddev_samp(value - before) AS jitter, count(*) FILTER (step <= step_before) AS non_increasing, quantile_cont(value, 0.5) AS median, max(value) AS most,
+ avg(value) FILTER (rn <= rows // 3) AS first_third, avg(value) FILTER (rn > rows - rows // 3) AS last_third FROM x GROUP BY user_id)
+SELECT user_id, n, round(best, 6) AS best, round(last, 6) AS last, n >= 3 AND last > best * 1.02 AS regressed, round(CASE WHEN isnan(slope) THEN NULL ELSE slope END, 6) AS tail_slope, CASE WHEN n >= 3 THEN round(jitter, 6) END AS jitter, non_increasing, n >= 3 AND most > greatest(100, median * 10) AS spike, n >= 6 AND first_third > 0 AND last_third < first_third / 2 AS collapsed FROM g""")
+def run_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("step", F.unix_micros(F.to_timestamp("ts")))
+    g = A.run_diagnostics(e, "user_id", "step", "value", "event_id")
+    return g.withColumn("regressed", F.coalesce("regressed", F.lit(False))).withColumn("collapsed", F.coalesce("collapsed", F.lit(False)))
+
+
+@query("""WITH k AS (SELECT l_linestatus AS variant, l_returnflag AS task, l_suppkey AS seed, avg(l_extendedprice) AS value FROM lineitem GROUP BY ALL), d AS (SELECT a.task, a.variant, a.value - b.value AS delta FROM k a JOIN k b USING (task, seed) WHERE a.variant <> 'F' AND b.variant = 'F'),
+g AS (SELECT variant, task, count(*) AS pairs, avg(delta) AS m, CASE WHEN count(*) > 1 THEN 1.96 * stddev_samp(delta) / sqrt(count(*)) END AS h FROM d GROUP BY ALL)
+SELECT variant, task, pairs, round(m, 4) AS mean_delta, round(m - h, 4) AS low, round(m + h, 4) AS high, CASE WHEN m - h > 0 THEN 'improved' WHEN m + h < 0 THEN 'regressed' ELSE 'uncertain' END AS outcome FROM g""")
+def paired_effect_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("variant"), F.col("l_returnflag").alias("task"), F.col("l_suppkey").alias("seed")).agg(F.avg("l_extendedprice").alias("value"))
+    e = A.paired_effects(k, "variant", "F", ["task", "seed"], "value", ["task"])
+    return e.select("variant", "task", "pairs", *[F.round(c, 4).alias(c) for c in ("mean_delta", "low", "high")], "outcome")
+
+
+@query("WITH c AS (SELECT event_type, dayofweek(ts) AS weekday, count(*) AS n FROM events GROUP BY ALL) SELECT t.event_type, CAST(w.weekday AS INTEGER) AS weekday, coalesce(n, 0) AS n FROM (SELECT DISTINCT event_type FROM events) t CROSS JOIN (SELECT DISTINCT dayofweek(ts) AS weekday FROM events) w LEFT JOIN c ON c.event_type = t.event_type AND c.weekday = w.weekday")
+def count_matrix_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_type", (F.dayofweek("ts") - 1).alias("weekday"))
+    return A.count_matrix(e, "event_type", "weekday")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderstatus AS status, o_orderpriority AS priority, o_orderkey AS k FROM orders)
+SELECT o_custkey, arg_min(status, (priority, k)) AS status, arg_min(priority, (priority, k)) AS priority, CASE WHEN count(DISTINCT status) = 1 THEN 'present' ELSE 'conflicted' END AS status_state, CASE WHEN count(DISTINCT priority) = 1 THEN 'present' ELSE 'conflicted' END AS priority_state, count(*) AS sources FROM o GROUP BY o_custkey""")
+def priority_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderstatus as status", "o_orderpriority as priority", "o_orderkey as k")
+    return R.merge_by_priority(o, "o_custkey", F.col("priority"), "k", ["status", "priority"])
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), m AS (SELECT user_id, max(n) AS most FROM r GROUP BY user_id),
+s AS (SELECT r.* FROM r JOIN m USING (user_id) WHERE n <= most // 2), i AS (SELECT r.* FROM r JOIN m USING (user_id) WHERE n > most // 2),
+ls AS (SELECT user_id, max_by(ts, event_id) AS ts, max_by(event_type, event_id) AS event_type FROM s GROUP BY user_id), li AS (SELECT user_id, max_by(ts, event_id) AS ts, max_by(event_type, event_id) AS event_type FROM i GROUP BY user_id)
+SELECT CASE WHEN ls.user_id IS NULL THEN 'changed' WHEN ls.ts IS NOT NULL AND (li.ts IS NULL OR li.ts < ls.ts) THEN 'stale' WHEN li.event_type = ls.event_type THEN 'unchanged' ELSE 'changed' END AS outcome, count(*) AS n FROM li LEFT JOIN ls USING (user_id) GROUP BY 1""")
+def latest_upsert_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = W.partitionBy("user_id")
+    e = table(spark, sf_dir, "events").withColumn("n", F.row_number().over(w.orderBy("event_id"))).withColumn("most", F.count("*").over(w))
+    stored = R.latest(e.filter("n <= floor(most / 2)"), "user_id", ["event_id"])
+    incoming = R.latest(e.filter("n > floor(most / 2)"), "user_id", ["event_id"])
+    return R.upsert(stored, incoming, "user_id", "ts", "event_type").groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, concat_ws(',', CASE WHEN text IS NULL OR text = '' THEN 'text' END, CASE WHEN quality IS NULL THEN 'quality' END, CASE WHEN toxic IS NULL THEN 'toxic' END) AS missing FROM documents LEFT JOIN labels USING (doc_id) WHERE text IS NULL OR text = '' OR quality IS NULL OR toxic IS NULL")
+def missing_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return R.missing_plan(d, "doc_id", ["text", "quality", "toxic"])
+
+
+@query("""WITH d AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+SELECT a.doc_id, arg_min(b.doc_id, (b.pos - a.doc_id % a.n + a.n) % a.n) AS picked FROM d a JOIN d b ON a.lang = b.lang AND a.source <> b.source GROUP BY a.doc_id""")
+def cyclic_hard_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return R.cyclic_pick(d, d, "lang", "doc_id", "source", F.col("doc_id"))
+
+
+@query("SELECT alias, count(DISTINCT p_brand) AS owners FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS alias, p_brand FROM part) GROUP BY alias HAVING count(DISTINCT p_brand) > 1")
+def alias_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("alias"), "p_brand")
+    return A.collisions(p, "alias", "p_brand")
+
+
+@query(r"SELECT lang, count(*) AS docs, " + ", ".join(f"count(*) FILTER (regexp_matches(text, '{p}')) AS {k}" for k, p in T.BEHAVIOURS.items()) + " FROM documents GROUP BY lang")
+def code_behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("lang", T.behaviours(F.col("text")).alias("b"))
+    return d.groupBy("lang").agg(F.count("*").alias("docs"), *[F.count_if(F.array_contains("b", k)).alias(k) for k in T.BEHAVIOURS])
+
+
+portable("unknown_reference_antijoin", "lineitem orders labels documents", "SELECT 'lineitem' AS relation, count(*) AS orphans FROM {lineitem} l LEFT ANTI JOIN {orders} o ON l.l_orderkey = o.o_orderkey UNION ALL SELECT 'labels', count(*) FROM {labels} l LEFT ANTI JOIN {documents} d ON l.doc_id = d.doc_id")
+ORACLE["unknown_reference_antijoin"] = "SELECT 'lineitem' AS relation, count(*) AS orphans FROM lineitem l ANTI JOIN orders o ON l.l_orderkey = o.o_orderkey UNION ALL SELECT 'labels', count(*) FROM labels l ANTI JOIN documents d ON l.doc_id = d.doc_id"
+portable("summary_counts", "documents labels", "SELECT d.source, count(*) AS docs, count(l.doc_id) AS labelled, sum(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) AS good, sum(CASE WHEN l.toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY d.source")
+ORACLE["summary_counts"] = "SELECT d.source, count(*) AS docs, count(l.doc_id) AS labelled, CAST(sum(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS good, CAST(sum(CASE WHEN l.toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source"
+portable("candidate_shortlist", "part lineitem supplier", "SELECT p_partkey, s_suppkey, p_type FROM (SELECT p_partkey, s_suppkey, p_type, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN p_size < 10 THEN 0 WHEN p_size < 30 THEN 1 ELSE 2 END, l_extendedprice DESC, s_suppkey, l_orderkey, l_linenumber) AS rn FROM {part} JOIN {lineitem} ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey WHERE p_type NOT LIKE '%BRASS%' AND p_type NOT LIKE '%TIN%' AND s_acctbal > 0) WHERE rn = 1 ORDER BY p_partkey LIMIT 50")
+portable("offset_page", "customer", "SELECT c_custkey, c_name FROM {customer} ORDER BY c_custkey LIMIT 25 OFFSET 50")
+portable("key_lookup", "customer nation", "SELECT c_custkey, c_name, n_name FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey = 42 OR upper(c_name) = 'CUSTOMER#000000007'")
+portable("event_abnormal_summary", "events", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS runs, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS abnormal FROM {events} GROUP BY event_type")
+ORACLE["event_abnormal_summary"] = "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS runs, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS abnormal FROM events GROUP BY event_type"
+portable("step_phase_check", "conversations", "SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, min(turn) AS first_turn, max(turn) AS last_turn FROM {conversations} GROUP BY conv_id")
+portable("paired_turns", "conversations", "SELECT u.conv_id, u.turn, length(u.text) AS asked, length(a.text) AS answered FROM {conversations} u JOIN {conversations} a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'")
+portable("disjoint_negative_pairs", "part", "SELECT a.p_partkey AS left_key, b.p_partkey AS right_key FROM {part} a JOIN {part} b ON a.p_partkey < b.p_partkey AND a.p_type <> b.p_type AND a.p_brand <> b.p_brand AND a.p_size = b.p_size ORDER BY left_key, right_key LIMIT 200")
