@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -16,6 +17,8 @@ from tarnwick.runtime import materialize, ship, table
 
 from .bytetext import U64, lowered, pieces, text_bytes, word_hashes, words_of
 
+#: Codes of words have this bit; contexts with symbols lie below it.
+WORD_BIT = 1 << 62
 #: Bytes that UTF-8 never has: what stands before a text, and its end, which is a symbol to predict.
 BEFORE, END = 0xFF, 0xFE
 SYMBOLS = 255
@@ -28,7 +31,7 @@ class PpmModel:
     """order: bytes of the longest context, at most 6; block_bytes: text that one task scores against its part of the trie."""
 
     order: int = 5
-    block_bytes: int = 32 << 20
+    block_bytes: int = 64 << 20
     piece_bytes: int = 4 << 20
 
 
@@ -54,40 +57,56 @@ def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     low = lowered(data)
     start, end, row = words_of(low, offsets)
     n = len(offsets) - 1
-    hashes = word_hashes(low, start, end).view(np.int64) if len(start) else np.empty(0, np.int64)
+    hashes = (word_hashes(low, start, end) >> U64(2)).view(np.int64) | WORD_BIT if len(start) else np.empty(0, np.int64)
     return np.concatenate((hashes, np.full(n, END_WORD, np.int64))), np.concatenate((row, np.arange(n)))
 
 
-def gathered(model: PpmModel):
-    """Per block of texts: the distinct codes of each kind with their counts in the training texts."""
+def distinct_counts(piece: pa.RecordBatch, learns: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of some texts and their counts in those that learn."""
+    data, offsets = text_bytes(piece.column("text"))
+    keys, n = [], []
+    for code, row in (gram_codes(data, offsets, order), word_codes(data, offsets)):
+        place, own = pd.factorize(code)
+        keys.append(own)
+        n.append(np.bincount(place, learns[row], len(own)).astype(np.int64))
+    return np.concatenate(keys), np.concatenate(n)
+
 
-    def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return keys[at], np.add.reduceat(n, at)
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[at], np.add.reduceat(n, at)
+
+
+def gathered(model: PpmModel):
+    """code and, in one number, block and training count of the distinct codes of each block that a task sees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for block, parts in held.items():
+                keys, n = merged(parts)
+                for i in range(0, len(keys), 1 << 17):
+                    k, c = keys[i : i + (1 << 17)], n[i : i + (1 << 17)]
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array((np.int64(block) << np.int64(32)) | c)], ["code", "part"])
+            held.clear()
+
         for batch in batches:
             blocks = batch.column(0).to_numpy()
             for block in np.unique(blocks):
                 own = batch.filter(pa.array(blocks == block))
                 for piece in pieces(own, "text", model.piece_bytes):
-                    data, offsets = text_bytes(piece.column(2))
                     learns = ~np.asarray(piece.column(1).to_numpy(zero_copy_only=False), dtype=bool)
-                    for kind, (code, row) in ((GRAM, gram_codes(data, offsets, model.order)), (WORD, word_codes(data, offsets))):
-                        place, keys = pd.factorize(code)
-                        parts = held.setdefault((int(block), kind), [])
-                        parts.append((keys, np.bincount(place, learns[row], len(keys)).astype(np.int64)))
-                        if len(parts) >= 8:
-                            parts[:] = [merge(parts)]
-        for (block, kind), parts in held.items():
-            keys, n = merge(parts)
-            for i in range(0, len(keys), 1 << 17):
-                k, c = keys[i : i + (1 << 17)], n[i : i + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, np.int32)), pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(c)], ["block", "kind", "code", "n"])
+                    parts = held.setdefault(int(block), [])
+                    parts.append(distinct_counts(piece, learns, model.order))
+                    if len(parts) >= 6:
+                        parts[:] = [merged(parts)]
+            if sum(len(p[0]) for parts in held.values() for p in parts) > 8_000_000:
+                yield from flush()
+        yield from flush()
 
     return run
 
@@ -102,23 +121,41 @@ def trie_log10(grams: DataFrame, order: int) -> DataFrame:
     counts = {order: grams.select(F.col("code").alias("x"), "c")}
     for k in reversed(range(order)):
         counts[k] = counts[k + 1].groupBy(F.col("x").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("x")).agg(F.sum("c").alias("c"))
+    whole = lambda gone, known: (F.col("n") - gone + F.col("d") - known).cast("double")
+
+    def below(gone: Column, known: Column) -> Column:
+        """Value at a level whose longer context left out symbols of that total and number."""
+        fresh = F.col("d") - known
+        return F.when(F.col("c") > 0, F.log10(F.try_divide(F.col("c").cast("double"), whole(gone, known)))).otherwise(F.col("rest") + F.when(fresh > 0, F.log10(fresh / whole(gone, known))).otherwise(F.lit(0.0)))
+
     level = None
     for k in range(order + 1):
-        now = counts[k].select(F.col("x").alias(f"x{k}"), F.col("c").alias(f"c{k}"))
-        if level is not None:
-            now = now.withColumn("low", F.col(f"x{k}").bitwiseAND((1 << (8 * k)) - 1)).join(level.withColumnRenamed(f"x{k - 1}", "lower"), F.col("low") == F.col("lower")).drop("low", "lower")
-        context = W.partitionBy(F.shiftright(f"x{k}", 8))
-        now = now.withColumn(f"n{k}", F.sum(f"c{k}").over(context)).withColumn(f"d{k}", F.sum((F.col(f"c{k}") > 0).cast("long")).over(context))
-        if k:
-            now = now.withColumn(f"t{k}", F.coalesce(F.sum(F.when(F.col(f"c{k}") > 0, F.col(f"c{k - 1}"))).over(context), F.lit(0)))
-        level = now
-    value: Column = -F.log10((F.lit(SYMBOLS) - F.col("d0")).cast("double"))
-    for k in range(order + 1):
-        gone, known = (F.col(f"t{k + 1}"), F.col(f"d{k + 1}")) if k < order else (F.lit(0), F.lit(0))
-        fresh = F.col(f"d{k}") - known
-        whole = (F.col(f"n{k}") - gone + fresh).cast("double")
-        value = F.when(F.col(f"c{k}") > 0, F.log10(F.col(f"c{k}") / whole)).otherwise(value + F.when(fresh > 0, F.log10(fresh / whole)).otherwise(F.lit(0.0)))
-    return level.select(F.col(f"x{order}").alias("code"), value.alias("value"))
+        context = W.partitionBy(F.shiftright("x", 8))
+        now = counts[k]
+        if level is None:
+            now = now.withColumn("n", F.sum("c").over(context)).withColumn("d", F.sum((F.col("c") > 0).cast("long")).over(context))
+            level = now.withColumn("rest", -F.log10((F.lit(SYMBOLS) - F.col("d")).cast("double")))
+            continue
+        up = now.select(F.col("x").alias("ux"), F.col("c").alias("uc"))
+        up = up.join(level, F.col("ux").bitwiseAND((1 << (8 * k)) - 1) == F.col("x")).drop("x")
+        context = W.partitionBy(F.shiftright("ux", 8))
+        seen = F.col("uc") > 0
+        up = up.withColumn("un", F.sum("uc").over(context)).withColumn("ud", F.sum(seen.cast("long")).over(context)).withColumn("ut", F.coalesce(F.sum(F.when(seen, F.col("c"))).over(context), F.lit(0)))
+        level = up.select(F.col("ux").alias("x"), F.col("uc").alias("c"), F.col("un").alias("n"), F.col("ud").alias("d"), below(F.col("ut"), F.col("ud")).alias("rest"))
+    return level.select(F.col("x").alias("code"), below(F.lit(0), F.lit(0)).alias("value"))
+
+
+def placed_texts(docs: DataFrame, held_out: Column, blocks: int, text: str, key: str) -> DataFrame:
+    """block, held_out, text and doc_id. Rows of files fall into blocks by their place in the file, so that a block's rows are read together and counting needs no shuffle; other rows by their hash."""
+    columns = [held_out.alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(key).cast("long").alias("doc_id")]
+    try:
+        rows = docs.count()
+        place = F.struct(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / F.lit(max(1, -(-rows // blocks)))))
+        d = docs.select(F.xxhash64(place).alias("place"), *columns)
+        d.schema  # resolves the file's metadata columns, if there are any
+    except AnalysisException:
+        return docs.select(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(blocks)).cast("int").alias("block"), *columns)
+    return d.select(F.pmod("place", F.lit(blocks)).cast("int").alias("block"), "held_out", "text", "doc_id")
 
 
 def score_texts(docs: DataFrame, held_out: Column, model: PpmModel = PpmModel(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -135,26 +172,41 @@ def score_texts(docs: DataFrame, held_out: Column, model: PpmModel = PpmModel(),
     if not 1 <= model.order <= 6:
         raise ValueError("order must lie between 1 and 6")
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("n")).first().n or 0
-    blocks = 1 + size // model.block_bytes
-    d = docs.select(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(blocks)).cast("int").alias("block"), held_out.alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(key).cast("long").alias("doc_id"))
-    codes = materialize(d.repartition(int(blocks), "block").select("block", "held_out", "text").mapInArrow(gathered(model), "block int, kind int, code long, n long"), "ppm-codes")
-    sums = materialize(codes.groupBy("kind", "code").agg(F.sum("n").alias("c")), "ppm-sums")
-    words = sums.filter(f"kind = {WORD}")
+    d = placed_texts(docs, held_out, int(1 + size // model.block_bytes), text, key)
+    parts = d.select("block", "held_out", "text").mapInArrow(gathered(model), "code long, part long")
+    count = F.sum(F.col("part").bitwiseAND(0xFFFFFFFF)).alias("c")
+    sums = materialize(parts.groupBy("code").agg(count, F.collect_set(F.shiftright("part", 32).cast("int")).alias("blocks")), "ppm-sums")
+    words = sums.filter(F.col("code") >= WORD_BIT)
     total = words.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     n, v = total.n or 0, total.v or 0
-    grams = trie_log10(sums.filter(f"kind = {GRAM}").select("code", "c"), model.order).select(F.lit(GRAM).alias("k"), F.col("code").alias("x"), "value", F.lit(False).alias("known"))
-    base = words.select(F.lit(WORD).alias("k"), F.col("code").alias("x"), F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("value"), (F.col("c") > 0).alias("known"))
-    part = codes.select("block", "kind", "code").join(grams.unionByName(base), (F.col("kind") == F.col("k")) & (F.col("code") == F.col("x"))).select(F.col("block").alias("b"), "kind", "code", "value", "known")
+    own = sums.filter(F.col("code") < WORD_BIT)
+    values = trie_log10(own.select("code", "c"), model.order).withColumnRenamed("code", "x")
+    grams = own.select("code", "blocks").join(values, F.col("code") == F.col("x")).select(F.explode("blocks").alias("b"), "code", "value")
+    # a word of one block only is counted there
+    shared = words.filter(F.size("blocks") > 1).select(F.explode("blocks").alias("b"), "code", F.col("c").cast("double").alias("value"))
+    part = grams.unionByName(shared)
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
     def score(texts: pa.Table, values: pa.Table) -> pa.Table:
-        kind, code = values.column("kind").to_numpy(), values.column("code").to_numpy()
-        value, known = values.column("value").to_numpy(), values.column("known").to_numpy()
-        look = {}
-        for k in (GRAM, WORD):
-            own = np.flatnonzero(kind == k)
-            own = own[np.argsort(code[own])]
-            look[k] = code[own], value[own], known[own].astype(np.int64)
+        """The texts of one block with what the others know of its codes."""
+        code, value = values.column("code").to_numpy(), values.column("value").to_numpy()
+        order = np.argsort(code)
+        code, value = code[order], value[order]
+        edge = int(np.searchsorted(code, WORD_BIT))
+        local: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in texts.to_batches():
+            for piece in pieces(batch, "text", model.piece_bytes):
+                data, offsets = text_bytes(piece.column("text"))
+                learns = ~np.asarray(piece.column("held_out").to_numpy(zero_copy_only=False), dtype=bool)
+                codes, row = word_codes(data, offsets)
+                place, keys = pd.factorize(codes)
+                local.append((keys, np.bincount(place, learns[row], len(keys)).astype(np.int64)))
+                if len(local) >= 6:
+                    local[:] = [merged(local)]
+        own_words, counts = merged(local) if local else (np.empty(0, np.int64), np.empty(0, np.int64))
+        if edge < len(code):
+            counts[np.searchsorted(own_words, code[edge:])] = value[edge:].astype(np.int64)
+        look = {GRAM: (code[:edge], value[:edge], np.zeros(edge, np.int64)), WORD: (own_words, np.log10((counts + 1) / float(n + v + 1)), (counts > 0).astype(np.int64))}
         out = []
         for batch in texts.to_batches():
             for piece in pieces(batch, "text", model.piece_bytes):
