@@ -23,14 +23,14 @@ SKIPPED = ("delta.json", "deltaLog.json")
 
 def read_payloads(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """path and payload of every matching file below a folder; delta files stay out and a byte order mark is dropped."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     named = files.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("payload"))
     return named.filter(~F.element_at(F.split("path", "/"), -1).isin(*SKIPPED))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line (from 1) and value of every non-empty line."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     lines = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     return lines.filter(F.trim("value") != "").select("path", (F.col("line") + 1).alias("line"), "value")
 
