@@ -22,13 +22,14 @@ from .rows import PART, with_part
 class JoinRules:
     """words in a shingle; links hold where 100 * intersection >= percent * union.
 
-    more: linking sets must share so many prefix tokens, in percent of the smaller set, and prefixes are longer by as many; frequent: entries of the table of common shingles, an ordering aid whose size is fixed (16 bytes each); block: members of a group that are opened at once; queries: queries that one task holds against a block.
+    more: linking sets must share so many prefix tokens, in percent of the smaller set, and prefixes are longer by as many; frequent: entries of the table of common shingles, an ordering aid whose size is fixed (16 bytes each); counted: width of the hash range that is counted for it, in prefix lengths; block: members of a group that are opened at once; queries: queries that one task holds against a block.
     """
 
     words: int = 4
     percent: int = 85
     more: int = 8
     frequent: int = 1_000_000
+    counted: float = 2.2
     block: int = 512
     queries: int = 2048
     piece_bytes: int = 4 << 20
@@ -80,10 +81,11 @@ def prefix_lengths(sizes: np.ndarray, percent: int, more: int) -> np.ndarray:
 def common_shingles(docs: DataFrame, rules: JoinRules) -> np.ndarray:
     """Hashes and frequency classes of shingles that three texts or more share, those of most texts first, rules.frequent at most.
 
-    Counted are, over all texts, the shingles in the low part of the hash range: prefixes, which take rare tokens first and then low hashes,
-    lie there but for a few. The table only orders tokens; any table gives the same links. Row 0: sorted hashes, row 1: classes.
+    Counted are, over all texts, the shingles in the low part of the hash range, rules.counted times as wide as prefixes need: prefixes, which
+    take rare tokens first and then low hashes, lie there but for those of texts made mostly of common passages. The table only orders
+    tokens; any table gives the same links. Row 0: sorted hashes, row 1: classes.
     """
-    low = U64(int(2**48 * min(1.0, (100 - rules.percent + rules.more) * 1.5 / 100)))
+    low = U64(int(2**48 * min(1.0, (100 - rules.percent + rules.more) * rules.counted / 100)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
