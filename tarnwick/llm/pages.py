@@ -15,16 +15,18 @@ from pyspark.sql import functions as F
 from tarnwick.runtime import materialize, ship, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-WORDS = re.compile(r"[a-z]+")
+ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+MARKS = ("class", "id", "role")
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-#: Elements without main text, and words of class, id and role that tell the same of others.
+#: Elements without main text, and words that tell the same of others where a whole word of class, id or role is one, or hyphened ones only.
 ASIDE = {"nav", "footer", "aside", "form", "head", "button", "select", "svg", "canvas", "object", "menu", "dialog", *RAW}
 ASIDE_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "newsletter", "subscribe", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "contentinfo", "complementary", "comment", "comments", "disqus", "replies", "respond", "share", "social", "related", "recommended", "widget", "toolbar", "pagination", "pager", "login", "signup", "search", "dialog", "alert"}
 #: Only outside the article.
 PAGE_HEAD, PAGE_HEAD_WORDS = {"header"}, {"header", "masthead", "banner", "topbar"}
+#: Never aside for their own words.
+HOLDERS = {"html", "body", "main", "article"}
 
 
 @dataclass(frozen=True)
@@ -46,9 +48,17 @@ class TemplateRules:
     share: float = 0.3
 
 
+def worded(marks: dict[str, str], words: set[str]) -> bool:
+    return any(words.issuperset(w.replace("_", "-").split("-")) for v in marks.values() for w in v.split())
+
+
 def blocks_of(page: str) -> tuple[list[Block], list[str]]:
-    """Text blocks in page order, and the path of every opening tag; unclosed and stray tags are tolerated."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, inside, aside
+    """Text blocks in page order, and the path of every opening tag; unclosed and stray tags are tolerated.
+
+    What the page's first article or main element lies in is not aside for a word of class, id or role.
+    """
+    stack: list[tuple[str, str, bool, bool, bool]] = []  # name, path, inside, aside by an element, aside by a word
+    held_by: set[str] = set()
     out: list[Block] = []
     tags: list[str] = []
     held: list[str] = []
@@ -58,8 +68,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            _, path, inside, aside = stack[-1] if stack else ("", "", False, False)
-            out.append(Block(path, text, inside, aside))
+            _, path, inside, aside, by_word = stack[-1] if stack else ("", "", False, False, False)
+            out.append(Block(path, text, inside, aside or by_word))
 
     while at < len(page):
         m = TOKEN.match(page, at)
@@ -81,7 +91,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
                     del stack[i:]
                     break
             continue
-        marks = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(m[3])}
+        marks = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(m[3]) if k.lower() in MARKS}
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or name in BLOCKS:  # a new block ends an open paragraph
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p" or (stack[i][0] == name and name in ("li", "td", "th", "tr", "dt", "dd")):
@@ -89,11 +99,15 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        _, path, inside, aside = stack[-1] if stack else ("", "", False, False)
+        holder = marks.get("role") if marks.get("role") in ("main", "article") else name
+        if holder in ("main", "article") and holder not in held_by:
+            held_by.add(holder)
+            stack[:] = [(*x[:4], False) for x in stack]
+        _, path, inside, aside, by_word = stack[-1] if stack else ("", "", False, False, False)
         label = name + "".join(f".{marks[k]}" for k in ("class", "id") if marks.get(k))
-        words = {w for v in marks.values() for w in WORDS.findall(v)}
-        aside = aside or name in ASIDE or bool(words & ASIDE_WORDS) or (not inside and (name in PAGE_HEAD or bool(words & PAGE_HEAD_WORDS)))
-        inside = inside or name in ("article", "main") or marks.get("role") in ("main", "article")
+        by_word = by_word or (holder not in HOLDERS and bool(marks) and worded(marks, ASIDE_WORDS if inside else ASIDE_WORDS | PAGE_HEAD_WORDS))
+        aside = aside or name in ASIDE or (not inside and name in PAGE_HEAD)
+        inside = inside or name in ("article", "main") or holder in ("main", "article")
         path = f"{path}/{label}" if name in BLOCKS or name in ASIDE else path
         tags.append(f"{path}<{name}")
         if name in RAW:
@@ -102,7 +116,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
             closing = page.find(">", at)
             at = closing + 1 if closing >= 0 else len(page)
         elif name not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append((name, path, inside, aside))
+            stack.append((name, path, inside, aside, by_word))
     flush()
     return out, tags
 

@@ -121,6 +121,14 @@ def test_main_text():
         pages.main_text(odd, none)
 
 
+def test_main_text_of_marked_articles():
+    none = frozenset()
+    inner = '<article class="post comments-open" data-role="search"><p data-id="comments">one<p title=\'x id="ads"\'>two<div class="comments">bad</div><div class="cookie-notice">bad</div></article>'
+    for page in ('<body class="single has-sidebar search">{}</body>', '<div id="search-wrapper">{}</div>', '<div class="search">{}</div>', '<main class="social-studies social">{}</main>', '<div class="widget"><div role="main" id="search">{}</div></div>'):
+        assert pages.main_text(page.format(inner), none) == "one\ntwo", page
+    assert pages.main_text(f'{inner}<div class="related"><article>other</article></div>', none) == "one\ntwo"
+
+
 def test_arrow_bytes_of_slices_and_nulls():
     from tarnwick.llm.bytetext import text_bytes, words_of
 
