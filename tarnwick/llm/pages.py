@@ -144,7 +144,7 @@ def wrapped(x: int) -> int:
 
 
 def deduce_templates(pages: DataFrame, rules: TemplateRules = TemplateRules()) -> DataFrame:
-    """host and template: the tokens of its valid equivalence classes.
+    """host, template, the tokens of its valid equivalence classes, and spread, on how many pages each of them is.
 
     Tokens of a host are equivalent if they occur equally often on each of its pages. A vector of occurrences is never
     built: its image is the sum over pages of the page's number times the occurrences, which adds up in any order, so that a host of
@@ -171,15 +171,36 @@ def deduce_templates(pages: DataFrame, rules: TemplateRules = TemplateRules()) -
     hosts = sums.filter("token = 0").select("host", F.col("pages").alias("all_pages"))
     tokens = sums.filter("token <> 0").join(hosts, "host").filter(f"pages >= {rules.pages} and pages >= {rules.share} * all_pages")
     classes = tokens.groupBy("host", "pages", "hi", "lo").agg(F.collect_list("token").alias("tokens")).filter(F.size("tokens") >= rules.tokens)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    spread = F.array_repeat("pages", F.size("tokens"))
+    found = classes.groupBy("host").agg(F.collect_list(F.struct("tokens", spread.alias("pages"))).alias("c"))
+    return found.select("host", F.flatten("c.tokens").alias("template"), F.flatten("c.pages").alias("spread"))
 
 
-def main_text(page: str, template: frozenset[int]) -> str:
-    """The article's blocks, one per line. With an article or main element: what it holds but for elements without main text; else the page's slots: blocks that the template lacks."""
+def repeated_article(blocks: list[Block], known: list[int | None]) -> set[int]:
+    """The places of an article's blocks that the template may take: those of its classes of most pages, as long as they hold half of the text at most.
+
+    known: on how many pages the template has a block. Copies of one article on a host form a class too, but one that holds most of the article.
+    """
+    most, gone = sum(len(b.text) for b in blocks) / 2, set()
+    for n in sorted({n for n in known if n is not None}, reverse=True):
+        level = gone | {i for i, x in enumerate(known) if x == n}
+        if sum(len(blocks[i].text) for i in level) > most:
+            break
+        gone = level
+    return gone
+
+
+def main_text(page: str, template: frozenset[int], spread: dict[int, int] | None = None) -> str:
+    """The page's slots, blocks that its host's template lacks, one per line, but for those of elements without main text and, with an article or main element, those outside it.
+
+    Of an article the template takes no more than repeated_article allows. spread: on how many pages each token of the template is.
+    """
     blocks, _ = blocks_of(page)
     inside = [b for b in blocks if b.inside and not b.aside]
     if inside or any(b.inside for b in blocks):
-        return "\n".join(b.text for b in inside)
+        tokens = [number("b", b.path, b.text) for b in inside]
+        gone = repeated_article(inside, [(spread or {}).get(t, 0) if t in template else None for t in tokens])
+        return "\n".join(b.text for i, b in enumerate(inside) if i not in gone)
     return "\n".join(b.text for b in blocks if not b.aside and number("b", b.path, b.text) not in template)
 
 
@@ -192,24 +213,25 @@ def extract_text(pages: DataFrame, rules: TemplateRules = TemplateRules(), most_
     """
     p = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
     templates = materialize(deduce_templates(p, rules), "page-templates")
-    size = templates.agg(F.sum(F.size("template") * 8 + F.octet_length("host") + 32).alias("n")).first().n or 0
+    size = templates.agg(F.sum(F.size("template") * 16 + F.octet_length("host") + 32).alias("n")).first().n or 0
     host = F.lower(F.substring_index(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#\s]*)", 1), "@", -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset[int]] = {}
+        known: dict[str, tuple[frozenset[int], dict[int, int]]] = {}
         for batch in batches:
-            hosts, lists = batch.column(3).to_pylist(), batch.column(4)
+            hosts, lists, counts = batch.column(3).to_pylist(), batch.column(4), batch.column(5)
             texts = []
             for i, html_ in enumerate(batch.column(2).to_pylist()):
                 if hosts[i] not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[hosts[i]] = frozenset(lists[i].as_py() or ())
-                texts.append(main_text(html_, known[hosts[i]]) if html_ else "")
+                    spread = dict(zip(lists[i].as_py() or (), counts[i].as_py() or (), strict=True))
+                    known[hosts[i]] = frozenset(spread), spread
+                texts.append(main_text(html_, *known[hosts[i]]) if html_ else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     joined = p.withColumn("host", host).join(F.broadcast(templates) if size <= most_broadcast else templates, "host", "left")
-    return joined.select("page_id", "url", "html", "host", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "host", "template", "spread").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

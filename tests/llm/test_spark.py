@@ -168,6 +168,15 @@ def test_pages(spark):
     assert pages.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_pages_template_inside_articles(spark):
+    ship(spark)
+    body = "<html><body><nav><ul><li>Home</ul></nav><article><p>Read our other news<div>All rights reserved</div><p>{}<p>{}</article></body></html>"
+    own, copy = "what only this page says, at some length, number {}", "a text that half of the pages copy, as long as articles are"
+    data = [(i, "http://h.example/x", body.format(*(((own + " " + k).format(i) for k in "ab") if i < 5 else (copy, copy + " again")))) for i in range(10)]
+    got = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join((own + " " + k).format(i) for k in "ab") if i < 5 else f"{copy}\n{copy} again" for i in range(10)}
+
+
 def test_packing_round_trip(docs):
     want = Counter()
     encode = packing.encoder("byte_bpe_50k.tiktoken")
