@@ -15,7 +15,8 @@ from tarnwick.runtime import materialize, ship, table
 
 from .bytetext import U64, lowered, mix, pieces, text_bytes, word_hashes, words_of
 from .components import components
-from .rows import PART, with_part
+
+ROW = "tw_row"
 
 
 @dataclass(frozen=True)
@@ -344,10 +345,25 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), text: st
 
 
 def one_of_each(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
-    """The rows of docs whose key is the least of its component, one for each key; rows without a key stay."""
-    d = with_part(docs, "doc_id", "text")
-    gone = jaccard_components(docs, rules).filter("doc_id <> component_id").select(F.col("doc_id").alias("tw_gone")).distinct()
-    return d.filter(f"{PART} = 0 or doc_id is null").join(gone, F.col("doc_id").cast("long") == F.col("tw_gone"), "left_anti").select(*docs.columns)
+    """One row of docs of each component: that of the least key, then the least hash of its text; null keys come last.
+
+    Rows are told apart by a number of their own where keys repeat or are null, so that only what a row's text links to counts. A row
+    without words, which links to none, stays.
+    """
+    key = F.col("doc_id").cast("long")
+    if docs.groupBy(key.alias("k")).count().filter("count > 1 or k is null").limit(1).count() == 0:
+        gone = jaccard_components(docs, rules).filter("doc_id <> component_id").select(F.col("doc_id").alias("tw_gone"))
+        return docs.join(gone, key == F.col("tw_gone"), "left_anti").select(*docs.columns)
+    # written first: the numbers must be the same in each use
+    d = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "jaccard-rows")
+    found = materialize(jaccard_components(d, rules, key=ROW).select("doc_id", "component_id"), "jaccard-found")
+    several = found.filter("doc_id <> component_id").select("component_id").distinct()
+    linked = found.join(several, "component_id", "left_semi").select(F.col("doc_id").alias("tw_member"), "component_id")
+    order = d.select(ROW, F.struct(key.isNull().alias("a"), key.alias("b"), F.sha2(F.col("text").cast("string"), 256).alias("c"), F.col(ROW).alias("row")).alias("order"))
+    members = materialize(linked.join(order, F.col("tw_member") == F.col(ROW)).select("component_id", "tw_member", "order"), "jaccard-members")
+    kept = members.groupBy("component_id").agg(F.min("order").alias("least")).select(F.col("least.row").alias("tw_kept"))
+    gone = members.select("tw_member").join(kept, F.col("tw_member") == F.col("tw_kept"), "left_anti")
+    return d.join(gone, F.col(ROW) == F.col("tw_member"), "left_anti").select(*docs.columns)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,6 +177,16 @@ def test_pages_template_inside_articles(spark):
     assert got == {i: "\n".join((own + " " + k).format(i) for k in "ab") if i < 5 else f"{copy}\n{copy} again" for i in range(10)}
 
 
+def test_one_of_each_row_of_repeated_and_null_keys(spark):
+    ship(spark)
+    texts = [" ".join(f"w{t}x{i}" for i in range(60)) for t in range(6)]
+    data = [(1, texts[0]), (7, texts[0] + " more"), (7, texts[1]), (7, texts[2]), (7, texts[2] + " more"), (None, texts[3]), (None, texts[3] + " more"), (None, texts[4]), (9, texts[4]), (None, ""), (None, ""), (7, None), (8, texts[5])]
+    out = jaccard.one_of_each(spark.createDataFrame(data, "doc_id long, text string"), jaccard.JoinRules(words=5, percent=80))
+    got = Counter((r.doc_id, (r.text or "").removesuffix(" more")) for r in out.collect())
+    assert out.columns == ["doc_id", "text"]
+    assert got == Counter([(1, texts[0]), (7, texts[1]), (7, texts[2]), (None, texts[3]), (9, texts[4]), (None, ""), (None, ""), (7, ""), (8, texts[5])])
+
+
 def test_packing_round_trip(docs):
     want = Counter()
     encode = packing.encoder("byte_bpe_50k.tiktoken")
