@@ -87,27 +87,28 @@ def voronoi_top_k(vectors: DataFrame, k: int = 10, queries: str = "id % 100 = 0"
     found = {r.cell: r for r in summary.collect()}  # one row per cell, MOST_CELLS at most
     size = np.array([found[c].n if c in found else 0 for c in range(cells)])
     radius = np.array([found[c].radius if c in found else 0.0 for c in range(cells)]) * (1 + 1e-9) + 1e-6
-    asked = data.filter(queries).select(F.col("id").alias("query_id"), "v", "cell").dropDuplicates(["query_id"])
+    # own: how many rows have the query's key, which are among the cells' sizes but never its neighbours
+    asked = data.filter(queries).groupBy(F.col("id").alias("query_id")).agg(F.first(F.struct("v", "cell")).alias("q"), F.count("*").alias("own")).select("query_id", "q.v", "q.cell", "own")
 
     def bounds(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         centre, reach = v @ pivots.T, np.sqrt((v**2).sum(axis=1))[:, None] * radius
         return centre - reach, np.where(size > 0, centre + reach, -np.inf)
 
     def first_cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Own cell and the most promising ones, until they hold more than k rows."""
+        """Own cell and the most promising ones, until they hold more than k rows of other keys."""
         for part in parts:
             _, high = bounds(_matrix(part.v))
             order = np.argsort(-high, axis=1, kind="stable")
-            enough = np.cumsum(size[order], axis=1) > k + 1
+            enough = np.cumsum(size[order], axis=1) > k + part.own.to_numpy()[:, None]
             take = np.maximum(enough.argmax(axis=1) + 1, 3)
             lists = [sorted({int(c), *map(int, o[:n])}) for c, o, n in zip(part.cell, order, take, strict=True)]
-            yield pd.DataFrame({"query_id": part.query_id, "v": part.v, "cells": lists})
+            yield pd.DataFrame({"query_id": part.query_id, "v": part.v, "own": part.own, "cells": lists})
 
     def next_cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             low, high = bounds(_matrix(part.v))
             order = np.argsort(-low, axis=1, kind="stable")
-            held = np.cumsum(size[order], axis=1) > k
+            held = np.cumsum(size[order], axis=1) >= k + part.own.to_numpy()[:, None]
             at = np.where(held.any(axis=1), held.argmax(axis=1), cells - 1)
             sure = np.where(held.any(axis=1), np.take_along_axis(low, order, 1)[np.arange(len(part)), at], -np.inf)
             least = np.maximum(sure, part.threshold.astype(float).fillna(-np.inf).to_numpy())
@@ -143,10 +144,10 @@ def voronoi_top_k(vectors: DataFrame, k: int = 10, queries: str = "id % 100 = 0"
         return needed.groupBy("cell", "block", "group").cogroup(wanted.groupBy("cell_q", "block_q", "group_q")).applyInPandas(solve, "query_id long, vec_id long, score long")
 
     rank = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    lists = materialize(asked.mapInPandas(first_cells, "query_id long, v array<long>, cells array<long>"), "knn-first")
+    lists = materialize(asked.mapInPandas(first_cells, "query_id long, v array<long>, own long, cells array<long>"), "knn-first")
     first = materialize(visit(lists), "knn-near")
     kth = first.withColumn("rank", F.row_number().over(rank)).filter(f"rank = {int(k)}").select("query_id", F.col("score").alias("threshold"))
-    more = lists.join(kth, "query_id", "left").select("query_id", "v", "cells", "threshold").mapInPandas(next_cells, "query_id long, v array<long>, cells array<long>")
+    more = lists.join(kth, "query_id", "left").select("query_id", "v", "own", "cells", "threshold").mapInPandas(next_cells, "query_id long, v array<long>, cells array<long>")
     both = first.unionByName(visit(materialize(more, "knn-more")))
     return both.withColumn("rank", F.row_number().over(rank)).filter(f"rank <= {int(k)}").select("query_id", "rank", "vec_id", "score")
 

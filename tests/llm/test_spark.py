@@ -150,6 +150,21 @@ def test_knn(spark):
     assert knn.voronoi_top_k(df.limit(0)).collect() == []
 
 
+def test_knn_of_repeated_query_keys(spark):
+    import numpy as np
+
+    ship(spark)
+    rng = random.Random(8)
+    data = [(i, [rng.gauss(0, 1) + 8 * (j == i % 8) for j in range(8)]) for i in range(1, 200)]
+    hot = [9.0] + [0.0] * 7
+    data = [x for x in data if x[0] != 100 and x[0] % 8] + [(100, hot)] * 60
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {r["rank"]: (r.vec_id, r.score) for r in knn.voronoi_top_k(df).filter("query_id = 100").collect()}
+    whole = [(i, np.floor(1024 * np.array(x)).astype(int)) for i, x in data]
+    best = sorted((-int(whole[-1][1] @ v), i) for i, v in whole if i != 100)[:10]
+    assert got == {k + 1: (i, -s) for k, (s, i) in enumerate(best)}
+
+
 def test_mixing_targets(spark, docs):
     got = mixing.fair_queue(docs).collect()
     assert all(r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in got)
