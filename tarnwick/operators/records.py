@@ -36,6 +36,7 @@ def cyclic_pick(rows: DataFrame, candidates: DataFrame, bucket: str, key: str, f
 
     Candidates are numbered by key in their bucket. Only one candidate per family and place matters, so what joins is each bucket's
     first place after start of each kind: the successor in the circle and, where that is of the row's family, the next of another one.
+    A run that ends at the last place may go on at place 0, which is one more step.
     """
     order = W.partitionBy(bucket).orderBy(key)
     c = candidates.withColumn("pos", F.row_number().over(order) - 1).withColumn("size", F.count("*").over(W.partitionBy(bucket)))
@@ -48,10 +49,13 @@ def cyclic_pick(rows: DataFrame, candidates: DataFrame, bucket: str, key: str, f
     sizes = places.select("b", "size").distinct()
     r = rows.join(sizes, F.col(bucket) == F.col("b")).withColumn("at", F.pmod(start, F.col("size"))).drop("b")
     first = r.join(places.drop("size"), (F.col(bucket) == F.col("b")) & (F.col("at") == F.col("p"))).drop("b", "p")
-    ok = first.filter(F.col("f") != F.col(family)).select(F.col(key), "picked")
-    again = first.filter(F.col("f") == F.col(family)).select(key, bucket, F.col(family), F.pmod(F.col("run_end") + 1, F.col("size")).alias("at"))
-    second = again.join(places.drop("size"), (F.col(bucket) == F.col("b")) & (F.col("at") == F.col("p"))).filter(F.col("f") != F.col(family)).select(key, "picked")
-    return ok.unionByName(second)
+    parts = []
+    for last in (False, False, True):
+        parts.append(first.filter(F.col("f") != F.col(family)).select(F.col(key), "picked"))
+        if not last:
+            again = first.filter(F.col("f") == F.col(family)).select(key, bucket, F.col(family), F.pmod(F.col("run_end") + 1, F.col("size")).alias("at"), "size")
+            first = again.join(places.drop("size"), (F.col(bucket) == F.col("b")) & (F.col("at") == F.col("p"))).drop("b", "p")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def missing_plan(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:

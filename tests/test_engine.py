@@ -88,3 +88,19 @@ def test_filters_never_relax(spark):
     assert run() == [2, 1] and run(filters=S.Filters(severity="HIGH")) == [1] and run(filters=S.Filters(severity="none")) == []
     with pytest.raises(ValueError):
         run(k=0)
+
+
+def test_cyclic_pick_around_the_end(spark):
+    from tarnwick.operators.records import cyclic_pick
+
+    buckets = {"a": "xxyzxx", "b": "xxx", "c": "xyx", "d": "xy", "e": "yxx"}
+    data = [(10 * n + i, b, f) for n, (b, fs) in enumerate(buckets.items()) for i, f in enumerate(fs)]
+    df = spark.createDataFrame(data, "doc_id long, lang string, source string")
+    got = {r.doc_id: r.picked for r in cyclic_pick(df, df, "lang", "doc_id", "source", F.col("doc_id")).collect()}
+    want = {}
+    for k, b, f in data:
+        own = [x for x in data if x[1] == b]
+        around = (own[(k + i) % len(own)] for i in range(len(own)))
+        if (found := next((x[0] for x in around if x[2] != f), None)) is not None:
+            want[k] = found
+    assert got == want
