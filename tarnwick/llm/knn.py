@@ -38,12 +38,12 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def pivots_of(data: DataFrame) -> np.ndarray:
-    """Cell centres: a bounded sample, thinned by farthest-first choice to about the square root of the sample, all of one dimension."""
-    rows = data.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    if not rows:
+    """Cell centres: a bounded sample, thinned by farthest-first choice to about the square root of the sample, all of the dimension that most rows have, the larger of equally many."""
+    common = data.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).filter("width > 0").orderBy(F.desc("n"), F.desc("width")).first()
+    if not common:
         return np.zeros((0, 0))
-    width = len(rows[0].v)
-    sample = np.array([r.v for r in rows if len(r.v) == width], dtype=np.float64)
+    rows = data.filter(F.size("v") == common.width).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    sample = np.array([r.v for r in rows], dtype=np.float64)
     count = min(MOST_CELLS, max(1, int(2 * len(sample) ** 0.5)))
     chosen, far = [0], ((sample - sample[0]) ** 2).sum(axis=1)
     while len(chosen) < count and far.max() > 0:
@@ -62,7 +62,7 @@ def voronoi_top_k(vectors: DataFrame, k: int = 10, queries: str = "id % 100 = 0"
     Cells are cut into blocks of rows, so a cell of any size, as of copies of one vector, spreads over tasks.
 
     Ties go to the smaller key. Rows that repeat a key are candidates each, and a query's own key is never its neighbour; a repeated query answers
-    once. Vectors of another dimension than the sample's first, null vectors and those with null or non-finite components
+    once. Vectors of another dimension than most rows have, null vectors and those with null or non-finite components
     take no part. An empty table gives no rows.
     """
     data = materialize(whole_vectors(vectors, key, vector), "knn-vectors")

@@ -165,6 +165,17 @@ def test_knn_of_repeated_query_keys(spark):
     assert got == {k + 1: (i, -s) for k, (s, i) in enumerate(best)}
 
 
+def test_knn_of_odd_widths(spark):
+    ship(spark)
+    odd = [(i, [1.0] * (i % 3)) for i in range(1000, 1008)]
+    for few in odd, [(i, []) for i in range(1000, 1008)]:
+        df = spark.createDataFrame([(i, [float(i), 1.0, 2.0, 3.0]) for i in range(98, 108)] + few, "vec_id long, embedding array<double>")
+        got = [r.vec_id for r in knn.voronoi_top_k(df).filter("query_id = 100").orderBy("rank").collect()]
+        assert got == [107, 106, 105, 104, 103, 102, 101, 99, 98]
+    only = spark.createDataFrame([(100, []), (101, [])], "vec_id long, embedding array<double>")
+    assert knn.voronoi_top_k(only).collect() == []
+
+
 def test_mixing_targets(spark, docs):
     got = mixing.fair_queue(docs).collect()
     assert all(r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in got)
