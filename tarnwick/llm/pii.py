@@ -177,16 +177,34 @@ def marginals(f: Field, p: Potentials, rounds: int = 60, damping: float = 0.3) -
     return np.exp(belief - np.logaddexp.reduce(belief, axis=1, keepdims=True))
 
 
+def reached(f: Field) -> set[int]:
+    """Mentions that a path of skip links joins with a labelled one."""
+    near: dict[int, list[int]] = {}
+    for a, b in f.skip:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    todo = [i for i, k in enumerate(f.known) if k >= 0 and k != OTHER]
+    out = set(todo)
+    while todo:
+        fresh = set(near.get(todo.pop(), ())) - out
+        out |= fresh
+        todo += fresh
+    return out
+
+
 def all_spans(text: str, p: Potentials, sure: float = 0.9) -> tuple[list[Span], list[Span]]:
-    """Base spans, and those that the field adds: free mentions whose label is some kind with at least that probability."""
+    """Base spans, and those that the field adds: free mentions that a path of skip links joins with a labelled one and whose label is some kind with at least that probability."""
     base = base_spans(text)
     if not base:
         return base, []
     f = field_of(text, base)
     if all(k >= 0 for k in f.known):
         return base, []
+    linked = reached(f)
+    if all(k >= 0 or i not in linked for i, k in enumerate(f.known)):
+        return base, []
     m = marginals(f, p)
-    added = [(int(y), *f.spans[i]) for i, y in enumerate(m.argmax(axis=1)) if f.known[i] < 0 and y != OTHER and m[i, y] >= sure]
+    added = [(int(y), *f.spans[i]) for i, y in enumerate(m.argmax(axis=1)) if f.known[i] < 0 and i in linked and y != OTHER and m[i, y] >= sure]
     return base, added
 
 

@@ -71,6 +71,13 @@ def test_field_carries_a_label_to_a_repeated_mention():
     assert pii.all_spans("room 504-555-2652 and 12", p) == ([], [])
 
 
+def test_field_leaves_mentions_that_are_not_linked():
+    p = pii.potentials([(*k, n) for k, n in pii.tally(["write to ann@example.com or bob@example.org"] * 200).items()])
+    t = "ann@example.com wrote to user@host"
+    base, added = pii.all_spans(t, p)
+    assert [t[s:e] for _, s, e in base] == ["ann@example.com"] and added == []
+
+
 def test_token_counts_equal_the_library(monkeypatch):
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(path("byte_bpe_50k.json"))
     rng = random.Random(3)
