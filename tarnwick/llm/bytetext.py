@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+#: Rows of a piece; operators pack a row's number into 16 bits.
+PIECE_ROWS = 1 << 16
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -39,12 +42,31 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (data[offsets[0] : offsets[-1]], offsets - offsets[0]) if n else (data[:0], np.zeros(1, np.int64))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, for workers are reused and what they keep counts against the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, with freed memory given back when a task's rows end."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def pieces(table: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose text bytes stay near the limit; a longer row stands alone."""
+    """Slices of a batch whose text bytes stay near the limit and whose rows are PIECE_ROWS at most; a longer text stands alone."""
     _, offsets = text_bytes(table.column(column))
     at, n = 0, len(offsets) - 1
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        end = min(at + PIECE_ROWS, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
         yield table.slice(at, end - at)
         at = end
 

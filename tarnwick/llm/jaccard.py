@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.runtime import materialize, ship, table
 
-from .bytetext import U64, lowered, mix, pieces, text_bytes, word_hashes, words_of
+from .bytetext import U64, give_back, lowered, mix, pieces, text_bytes, tidied, word_hashes, words_of
 from .components import components
 
 ROW = "tw_row"
@@ -23,16 +23,16 @@ ROW = "tw_row"
 class JoinRules:
     """words in a shingle; links hold where 100 * intersection >= percent * union.
 
-    more: linking sets must share so many prefix tokens, in percent of the smaller set, and prefixes are longer by as many; frequent: entries of the table of common shingles, an ordering aid whose size is fixed (16 bytes each); block: members of a group that are opened at once; queries: queries that one task holds against a block.
+    more: linking sets must share so many prefix tokens, in percent of the smaller set, and prefixes are longer by as many; sketch_bits: binary logarithm of the size of the table of frequencies, an ordering aid; block: members of a group that are opened at once; queries: queries that one task holds against a block.
     """
 
     words: int = 4
     percent: int = 85
     more: int = 8
-    frequent: int = 1_000_000
+    sketch_bits: int = 23
     block: int = 512
     queries: int = 2048
-    piece_bytes: int = 4 << 20
+    piece_bytes: int = 1 << 20
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,64 +78,73 @@ def prefix_lengths(sizes: np.ndarray, percent: int, more: int) -> np.ndarray:
     return np.where(sizes > 0, sizes - (percent * sizes + 99) // 100 + (more * sizes + 99) // 100, 0)
 
 
-def common_shingles(docs: DataFrame, rules: JoinRules) -> np.ndarray:
-    """Hashes and frequency classes of shingles that three texts or more share, those of most texts first, rules.frequent at most.
+def frequency_classes(docs: DataFrame, rules: JoinRules) -> np.ndarray:
+    """At the place of a shingle's low hash bits: the binary logarithm of how often texts have shingles of that place.
 
-    Counted are, over all texts, the shingles in the low part of the hash range: prefixes, which take rare tokens first and then low hashes,
-    lie there but for a few. The table only orders tokens; any table gives the same links. Row 0: sorted hashes, row 1: classes.
+    Every shingle of every text counts, so that one that many texts share comes late in every order. The table's size is fixed
+    (at most 2 ** sketch_bits bytes); it only orders tokens, and any order gives the same links.
     """
-    low = U64(int(2**48 * min(1.0, (100 - rules.percent + rules.more) * 1.5 / 100)))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    bits = min(rules.sketch_bits, max(12, int(size // 8).bit_length()))
+    part_bits = min(bits, 14)
+    low, parts, wide = U64((1 << bits) - 1), 1 << (bits - part_bits), 1 << part_bits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            for part in pieces(batch, "text", rules.piece_bytes):
-                tokens, offsets = shingle_sets(part.column(0), rules.words)
-                seen: dict[tuple[int, int], int] = {}
-                for i, h in enumerate(zip(*map(np.ndarray.tolist, set_hashes(tokens, offsets)), strict=True)):
-                    seen.setdefault(h, i)
-                fresh = np.zeros(len(offsets) - 1, dtype=bool)
-                fresh[list(seen.values())] = True
-                t, n = np.unique(tokens[np.repeat(fresh, np.diff(offsets)) & (tokens < low)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int32), pa.int32())], ["token", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 3")
-    counted = materialize(counted, "jaccard-common")
-    held, least = 0, 2**62
-    for r in counted.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():  # frequencies in falling order, until the table is full
-        if (held := held + r["count"]) > rules.frequent:
-            break
-        least = r.n
-    top = counted.filter(F.col("n") >= least).toArrow()
-    hashes, n = top.column("token").to_numpy().astype(np.int64).view(U64), top.column("n").to_numpy().astype(np.int64)
-    order = np.argsort(hashes)
-    return np.array([hashes[order], np.floor(np.log2(np.maximum(n[order], 1))).astype(U64)])
-
-
-def signatures(docs: DataFrame, common: np.ndarray, rules: JoinRules) -> DataFrame:
+            for piece in pieces(batch, "text", rules.piece_bytes):
+                at = (shingle_sets(piece.column(0), rules.words)[0] & low).astype(np.int64)
+                at.sort()
+                first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else at
+                counts[at[first]] += np.diff(np.concatenate((first, [len(at)]))).astype(np.uint32)
+        for p in range(parts):  # each part as small counts, where few are empty, and as places and counts of the others
+            own = counts[p * wide : (p + 1) * wide]
+            filled = np.flatnonzero(own)
+            dense = len(filled) * 6 > wide
+            over = np.flatnonzero(own > 255) if dense else filled
+            if len(filled):
+                rest = own[over] - 255 if dense else own[over]
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.minimum(own, 255).astype(np.uint8).tobytes() if dense else b""]), pa.array([over.astype(np.uint16).tobytes()]), pa.array([rest.astype(np.uint32).tobytes()])], ["part", "small", "place", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for p, small, place, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total = held.setdefault(p, np.zeros(wide, np.int64))
+                if small:
+                    total += np.frombuffer(small, np.uint8)
+                total[np.frombuffer(place, np.uint16)] += np.frombuffer(n, np.uint32)
+        for p, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()])], ["part", "classes"])
+
+    counted = docs.select("text").mapInArrow(tidied(count), "part int, small binary, place binary, n binary")
+    out = np.zeros(1 << bits, np.uint8)
+    for r in counted.repartition("part").mapInArrow(tidied(add), "part int, classes binary").collect():
+        out[r.part * wide : (r.part + 1) * wide] = np.frombuffer(r.classes, np.uint8)
+    return out
+
+
+def signatures(docs: DataFrame, classes: np.ndarray, rules: JoinRules) -> DataFrame:
     """doc_id, n, h1, h2 and the first tokens, in order of class and hash, of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, classes = shared.value
+        table = shared.value
         for batch in batches:
             for part in pieces(batch, "text", rules.piece_bytes):
                 tokens, offsets = shingle_sets(part.column(1), rules.words)
                 sizes = np.diff(offsets)
-                kind = np.zeros(len(tokens), U64)
-                if len(hashes) and len(tokens):
-                    at = np.minimum(np.searchsorted(hashes, tokens), len(hashes) - 1)
-                    kind = np.where(hashes[at] == tokens, classes[at], U64(0))
+                kind = table[(tokens & U64(len(table) - 1)).astype(np.int64)]
                 row = np.repeat(np.arange(len(sizes)), sizes)
-                # row, class and a mixed form of the hash, so that neither order nor prefix depends on how hashes cluster
                 order = np.lexsort((tokens, kind, row))
-                take = (np.arange(len(tokens)) - offsets[row]) < prefix_lengths(sizes, rules.percent, rules.more)[row]
+                lengths = prefix_lengths(sizes, rules.percent, rules.more)
+                take = (np.arange(len(tokens)) - offsets[row]) < lengths[row]
                 first = tokens[order][take]
-                ends = np.concatenate(([0], np.cumsum(prefix_lengths(sizes, rules.percent, rules.more))))
                 h1, h2 = set_hashes(tokens, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(first.view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(first.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int64)), pa.array(h1), pa.array(h2), lists], ["doc_id", "n", "h1", "h2", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>")
+    return docs.mapInArrow(tidied(run), "doc_id long, n long, h1 long, h2 long, prefix array<long>")
 
 
 def open_groups(members: pd.DataFrame, queries: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
@@ -229,32 +238,24 @@ def _verified(docs: DataFrame, candidates: DataFrame, grouped: DataFrame, rules:
         member = rows.role == 0
         members, queries = rows[member], rows[~member]
         links = open_groups(members, queries, rules.percent) if len(members) and len(queries) else []
+        give_back()
         return pd.DataFrame(spanning(links), columns=["u", "v"]).astype("int64")
 
-    dealt = fitted(docs, roles).select("doc_id", "text", "roles").mapInArrow(deal, "group long, block long, crowd long, role int, doc_id long, tokens array<long>")
+    dealt = fitted(docs, roles).select("doc_id", "text", "roles").mapInArrow(tidied(deal), "group long, block long, crowd long, role int, doc_id long, tokens array<long>")
     return dealt.groupBy("group", "block", "crowd").applyInPandas(solve, "u long, v long")
 
 
-def heads_of(signed: DataFrame) -> DataFrame:
-    """doc_id, n, head and, for heads only, prefix. Rows arrive by their set's hash, sorted, and stream; a class of any size needs one held row."""
+def heads_of(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of signed that stand for their sets, and doc_id and head of all others that have a set.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, head = None, None
-        for batch in batches:
-            n, h1, h2 = (batch.column(i).to_numpy() for i in (1, 2, 3))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            heads = np.empty(len(ids), np.int64)
-            is_head = np.zeros(len(ids), dtype=bool)
-            for i, sign in enumerate(zip(n.tolist(), h1.tolist(), h2.tolist(), strict=True)):
-                if sign != last:
-                    last, head = sign, int(ids[i])
-                    is_head[i] = True
-                heads[i] = head
-            prefix = pa.compute.if_else(pa.array(is_head), batch.column(4), pa.scalar(None, batch.column(4).type))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(heads), prefix], ["doc_id", "n", "head", "prefix"])
-
-    usable = signed.filter("doc_id is not null and n > 0").repartition("n", "h1", "h2").sortWithinPartitions("n", "h1", "h2", "doc_id")
-    return usable.mapInArrow(run, "doc_id long, n long, head long, prefix array<long>")
+    The least key of equal sets comes from a pre-aggregated groupBy, so a class of any size costs one row a task; only rows of classes with
+    several are looked up in it.
+    """
+    usable = signed.filter("doc_id is not null and n > 0")
+    same = ["n", "h1", "h2"]
+    several = usable.groupBy(*same).agg(F.min("doc_id").alias("head"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    rest = materialize(usable.select("doc_id", *same).join(several, same).filter("doc_id <> head"), "jaccard-copies")
+    return usable.join(rest.select("doc_id", *same).distinct(), ["doc_id", *same], "left_anti"), rest.select("doc_id", "head")
 
 
 def token_lists(heads: DataFrame, rules: JoinRules) -> DataFrame:
@@ -286,8 +287,8 @@ def token_lists(heads: DataFrame, rules: JoinRules) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["token", "doc_id", "n", "hub"])
 
-    entries = heads.filter("prefix is not null").select(F.explode("prefix").alias("token"), "doc_id", "n")
-    return entries.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(run, "token long, doc_id long, n long, hub long")
+    entries = heads.select(F.explode("prefix").alias("token"), "doc_id", "n")
+    return entries.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(tidied(run), "token long, doc_id long, n long, hub long")
 
 
 def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -296,18 +297,18 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), text: st
     1. Rows with the same set are one class, whose least key, the head, stands for it. 2. Heads that link share prefix tokens
     (in one order, common ones last). The head that draws most others through such tokens is their hub; a hub and those
     that it draws form a group of similar sets, and each is compared with its hub. 3. The token-group matrix holds, for every prefix token, the
-    groups with it, once each. A head is a candidate for its own group, and for one before it that has enough of its prefix tokens, unless
-    all of that is in its component by now. The union of a block of members bounds a head's overlap with any; only a block that
+    groups with it, once each, and the sizes of their sets that have it. Two groups whose unions share enough tokens between sets of fitting sizes
+    meet, unless all of both is in one component by now: the members of the smaller one are queries for the other, and those of a group that
+    is not in one component are for their own. The union of a block of members bounds a query's overlap with any; only a block that
     reaches the bound is opened. 4. All links found give the components.
 
     Null or empty text, or one without words: no shingles, its own component. A null key takes part in no links and its
     component is null. Rows that share a key count as one: a link of either joins both. Other columns are ignored; an empty table gives none.
     """
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    common = common_shingles(d.select("text"), rules)
-    signed = signatures(d, common, rules)
-    heads = materialize(heads_of(signed), "jaccard-heads")
-    copies = heads.filter("doc_id <> head").select(F.col("doc_id").alias("u"), F.col("head").alias("v"))
+    signed = materialize(signatures(d, frequency_classes(d.select("text"), rules), rules), "jaccard-signed")
+    heads, copied = heads_of(signed)
+    copies = copied.select(F.col("doc_id").alias("u"), F.col("head").alias("v"))
     entries = materialize(token_lists(heads, rules), "jaccard-lists")
     enough = f"greatest(1, ceil({rules.more} * ceil({rules.percent} * n / 100) / 100))"
     shared = entries.filter("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n")).filter(f"2 * common >= {enough}")
@@ -323,25 +324,26 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), text: st
     heads_in = entries.select("doc_id").distinct().join(stars, F.col("doc_id") == F.col("q1"), "left").join(linked, F.col("doc_id") == F.col("n1"), "left")
     heads_in = materialize(heads_in.select("doc_id", F.coalesce("group", "doc_id").alias("group"), F.coalesce("component", "doc_id").alias("component")), "jaccard-groups")
     one = heads_in.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
-    one = one.select(F.col("group").alias("g"), "members", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("only"))
-    placed = entries.select("token", "doc_id", "n").join(heads_in, "doc_id")
-    matrix = placed.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    several = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
-    matrix = matrix.join(several, "token").withColumnRenamed("group", "other")
-    fitting = F.expr(f"group > other and {rules.percent} * least <= 100 * n and {rules.percent} * n <= 100 * most")
-    across = placed.join(several, "token").join(matrix, "token").filter(fitting).groupBy("doc_id", "other").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("component").alias("component"))
-    across = across.filter(f"common >= {enough}").select(F.col("doc_id").alias("query"), F.col("other").alias("group"), "component")
-    within = heads_in.select(F.col("doc_id").alias("query"), "group", "component")
-    candidates = across.unionByName(within).join(one, F.col("group") == F.col("g")).filter("members > 1 or query <> group").filter("only is null or only <> component").select("query", "group")
+    one = materialize(one.select(F.col("group").alias("g"), "members", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("only")), "jaccard-sizes")
+    matrix = entries.select("token", "doc_id", "n").join(heads_in.select("doc_id", "group"), "doc_id").groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    other = matrix.select(F.col("token").alias("t"), F.col("group").alias("other"), F.col("least").alias("least2"), F.col("most").alias("most2"))
+    fitting = F.expr(f"token = t and group < other and {rules.percent} * least <= 100 * most2 and {rules.percent} * least2 <= 100 * most")
+    pairs = matrix.join(other, fitting).groupBy("group", "other").agg(F.count("*").alias("common"), F.min(F.least("least", "least2")).alias("n")).filter(f"common >= {enough}")
+    a, b = (one.select(*[F.col(c).alias(c + x) for c in one.columns]) for x in "12")
+    pairs = pairs.join(a, F.col("group") == F.col("g1")).join(b, F.col("other") == F.col("g2")).filter("only1 is null or only2 is null or only1 <> only2")
+    # the smaller group asks, the larger one is opened
+    small = F.col("members1") < F.col("members2")
+    pairs = pairs.select(F.when(small, F.col("group")).otherwise(F.col("other")).alias("asks"), F.when(small, F.col("other")).otherwise(F.col("group")).alias("opens"))
+    across = pairs.join(heads_in, F.col("asks") == F.col("group")).select(F.col("doc_id").alias("query"), F.col("opens").alias("group"))
+    within = heads_in.join(one, F.col("group") == F.col("g")).filter("members > 1 and only is null").select(F.col("doc_id").alias("query"), "group")
+    candidates = across.unionByName(within)
     candidates = materialize(candidates, "jaccard-candidates")
     members = heads_in.select("doc_id", "group").join(candidates.select("group").distinct(), "group", "left_semi")
     many = members.groupBy("group").agg(F.ceil(F.count("*") / rules.block).alias("blocks")).withColumnRenamed("group", "g")
     members = members.join(many, F.col("group") == F.col("g")).select("doc_id", "group", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
     links = near.unionByName(_verified(d, candidates, members, rules)).unionByName(copies)
     found = components(links).withColumnRenamed("node", "n0")
-    placed = heads.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("n0"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    rest = d.filter(r"doc_id is null or text is null or not text rlike '[^\\x20\\x09-\\x0D]'")
-    return placed.unionByName(signatures(rest, common, rules).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("n0"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:

@@ -98,7 +98,7 @@ def test_jaccard(plain):
                     least[a] = least[b] = min(least[a], least[b])
     got = jaccard.jaccard_components(plain).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {k: (len(sets[k]), least[k]) for k in sets}
-    tiny = jaccard.JoinRules(frequent=3, block=2, queries=2)
+    tiny = jaccard.JoinRules(sketch_bits=4, block=2, queries=2)
     assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(plain, tiny).collect()} == least
 
 
