@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from tarnwick.runtime import materialize, ship, table
 
-from .bytetext import U64, lowered, pieces, text_bytes, word_hashes, words_of
+from .bytetext import U64, give_back, lowered, pieces, text_bytes, tidied, word_hashes, words_of
 
 #: Codes of words have this bit; contexts with symbols lie below it.
 WORD_BIT = 1 << 62
@@ -24,15 +24,18 @@ BEFORE, END = 0xFF, 0xFE
 SYMBOLS = 255
 END_WORD = 0x7F6E646F66746578
 GRAM, WORD = 0, 1
+#: Blocks whose numbers one row of a code lists.
+BAND = 64
 
 
 @dataclass(frozen=True)
 class PpmModel:
-    """order: bytes of the longest context, at most 6; block_bytes: text that one task scores against its part of the trie."""
+    """order: bytes of the longest context, at most 6; block_bytes: text that one task scores against its part of the trie; held_codes: codes that a counting task holds at most before it passes them on."""
 
     order: int = 5
-    block_bytes: int = 64 << 20
-    piece_bytes: int = 4 << 20
+    block_bytes: int = 32 << 20
+    piece_bytes: int = 1 << 20
+    held_codes: int = 3_000_000
 
 
 def gram_codes(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,26 +76,32 @@ def distinct_counts(piece: pa.RecordBatch, learns: np.ndarray, order: int) -> tu
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order and their counts."""
+    if len(parts) == 1 and len(parts[0][0]) < 2:
+        return parts[0]
     keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, n = keys[order], n[order]
+    del order
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[at], np.add.reduceat(n, at)
 
 
 def gathered(model: PpmModel):
-    """code and, in one number, block and training count of the distinct codes of each block that a task sees."""
+    """code, block and training count of the distinct codes of each block that a task sees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = lambda: sum(len(p[0]) for parts in held.values() for p in parts)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for block, parts in held.items():
+            while held:
+                block, parts = held.popitem()
                 keys, n = merged(parts)
+                del parts
                 for i in range(0, len(keys), 1 << 17):
                     k, c = keys[i : i + (1 << 17)], n[i : i + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array((np.int64(block) << np.int64(32)) | c)], ["code", "part"])
-            held.clear()
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), block, np.int32)), pa.array(c)], ["code", "block", "c"])
 
         for batch in batches:
             blocks = batch.column(0).to_numpy()
@@ -104,21 +113,21 @@ def gathered(model: PpmModel):
                     parts.append(distinct_counts(piece, learns, model.order))
                     if len(parts) >= 6:
                         parts[:] = [merged(parts)]
-            if sum(len(p[0]) for parts in held.values() for p in parts) > 8_000_000:
-                yield from flush()
+                        if size() > model.held_codes:
+                            yield from flush()
         yield from flush()
 
     return run
 
 
 def trie_log10(grams: DataFrame, order: int) -> DataFrame:
-    """code and log10 probability of its symbol after its context, from grams (code, c: training count).
+    """code and log10 probability of its symbol after its context, from grams (code, c: a part of its training count).
 
     Escapes follow method C: a context that saw d different symbols n times escapes with d / (n + d). A shorter context then leaves
     out the symbols of the longer one. These are its own as well, so their total there (t) and number take the place of a list.
     Unseen contexts pass on without cost; below the empty context all symbols not seen there are alike.
     """
-    counts = {order: grams.select(F.col("code").alias("x"), "c")}
+    counts = {order: grams.groupBy(F.col("code").alias("x")).agg(F.sum("c").alias("c"))}
     for k in reversed(range(order)):
         counts[k] = counts[k + 1].groupBy(F.col("x").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("x")).agg(F.sum("c").alias("c"))
     whole = lambda gone, known: (F.col("n") - gone + F.col("d") - known).cast("double")
@@ -146,16 +155,17 @@ def trie_log10(grams: DataFrame, order: int) -> DataFrame:
 
 
 def placed_texts(docs: DataFrame, held_out: Column, blocks: int, text: str, key: str) -> DataFrame:
-    """block, held_out, text and doc_id. Rows of files fall into blocks by their place in the file, so that a block's rows are read together and counting needs no shuffle; other rows by their hash."""
+    """block, held_out, text and doc_id. A block is a run of rows of one file, so that its rows are read together and counting needs no shuffle; where files are more than blocks several share one, and rows that come of no file fall into blocks by their hash."""
     columns = [held_out.alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(key).cast("long").alias("doc_id")]
     try:
-        rows = docs.count()
-        place = F.struct(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / F.lit(max(1, -(-rows // blocks)))))
-        d = docs.select(F.xxhash64(place).alias("place"), *columns)
+        files = len(docs.inputFiles())
+        run = F.floor(F.col("_metadata.row_index") / F.lit(max(1, -(-docs.count() // blocks))))
+        place = F.hash("_metadata.file_path", run)
+        d = docs.select((place if files <= 2 * blocks else F.pmod(place, F.lit(blocks))).alias("block"), *columns)
         d.schema  # resolves the file's metadata columns, if there are any
     except AnalysisException:
         return docs.select(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(blocks)).cast("int").alias("block"), *columns)
-    return d.select(F.pmod("place", F.lit(blocks)).cast("int").alias("block"), "held_out", "text", "doc_id")
+    return d
 
 
 def score_texts(docs: DataFrame, held_out: Column, model: PpmModel = PpmModel(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -172,26 +182,34 @@ def score_texts(docs: DataFrame, held_out: Column, model: PpmModel = PpmModel(),
     if not 1 <= model.order <= 6:
         raise ValueError("order must lie between 1 and 6")
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("n")).first().n or 0
-    d = placed_texts(docs, held_out, int(1 + size // model.block_bytes), text, key)
-    parts = d.select("block", "held_out", "text").mapInArrow(gathered(model), "code long, part long")
-    count = F.sum(F.col("part").bitwiseAND(0xFFFFFFFF)).alias("c")
-    sums = materialize(parts.groupBy("code").agg(count, F.collect_set(F.shiftright("part", 32).cast("int")).alias("blocks")), "ppm-sums")
-    words = sums.filter(F.col("code") >= WORD_BIT)
+    blocks = int(1 + size // model.block_bytes)
+    d = placed_texts(docs, held_out, blocks, text, key)
+    parts = d.select("block", "held_out", "text").mapInArrow(tidied(gathered(model)), "code long, block int, c long")
+    # a code's blocks are listed in bands, so that no list grows with the number of blocks
+    band = F.pmod("block", F.lit(-(-blocks // BAND)))
+    sums = materialize(parts.groupBy("code", band.alias("band")).agg(F.sum("c").alias("c"), F.collect_set("block").alias("blocks")).drop("band"), "ppm-sums")
+    words = sums.filter(F.col("code") >= WORD_BIT).groupBy("code").agg(F.sum("c").alias("c"), (F.sum(F.size("blocks")) > 1).alias("several"))
+    words = materialize(words, "ppm-words")
     total = words.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     n, v = total.n or 0, total.v or 0
     own = sums.filter(F.col("code") < WORD_BIT)
     values = trie_log10(own.select("code", "c"), model.order).withColumnRenamed("code", "x")
     grams = own.select("code", "blocks").join(values, F.col("code") == F.col("x")).select(F.explode("blocks").alias("b"), "code", "value")
     # a word of one block only is counted there
-    shared = words.filter(F.size("blocks") > 1).select(F.explode("blocks").alias("b"), "code", F.col("c").cast("double").alias("value"))
+    shared = sums.filter(F.col("code") >= WORD_BIT).select("code", "blocks").join(words.filter("several").select("code", "c"), "code").select(F.explode("blocks").alias("b"), "code", F.col("c").cast("double").alias("value"))
     part = grams.unionByName(shared)
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
-    def score(texts: pa.Table, values: pa.Table) -> pa.Table:
-        """The texts of one block with what the others know of its codes."""
-        code, value = values.column("code").to_numpy(), values.column("value").to_numpy()
+    names = [x.split()[0] for x in shape.split(", ")]
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+    types = [kinds[x.split()[1]] for x in shape.split(", ")]
+
+    def looked_up(texts: pa.Table, values: pa.Table) -> tuple[tuple, tuple]:
+        """Sorted codes with values and whether they are known: of symbols in contexts, and of words."""
+        code = values.column("code").to_numpy()
         order = np.argsort(code)
-        code, value = code[order], value[order]
+        code, value = code[order], values.column("value").to_numpy()[order]
+        del order
         edge = int(np.searchsorted(code, WORD_BIT))
         local: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in texts.to_batches():
@@ -206,31 +224,32 @@ def score_texts(docs: DataFrame, held_out: Column, model: PpmModel = PpmModel(),
         own_words, counts = merged(local) if local else (np.empty(0, np.int64), np.empty(0, np.int64))
         if edge < len(code):
             counts[np.searchsorted(own_words, code[edge:])] = value[edge:].astype(np.int64)
-        look = {GRAM: (code[:edge], value[:edge], np.zeros(edge, np.int64)), WORD: (own_words, np.log10((counts + 1) / float(n + v + 1)), (counts > 0).astype(np.int64))}
+        return (code[:edge], value[:edge], None), (own_words, np.log10((counts + 1) / float(n + v + 1)), counts > 0)
+
+    def score(texts: pa.Table, values: pa.Table) -> pa.Table:
+        """The texts of one block with what the others know of its codes."""
+        grams_known, words_known = looked_up(texts, values)
         out = []
         for batch in texts.to_batches():
             for piece in pieces(batch, "text", model.piece_bytes):
                 data, offsets = text_bytes(piece.column("text"))
-                rows = len(offsets) - 1
-                sums = {}
-                for k, (codes_, row) in ((GRAM, gram_codes(data, offsets, model.order)), (WORD, word_codes(data, offsets))):
-                    place, keys = pd.factorize(codes_)
-                    at = np.searchsorted(look[k][0], keys)
-                    sums[k] = np.bincount(row, look[k][1][at][place], rows), np.bincount(row, look[k][2][at][place], rows).astype(np.int64), np.bincount(row, minlength=rows)
-                length = np.diff(offsets)
-                columns = [piece.column("doc_id"), piece.column("held_out"), sums[WORD][2], sums[WORD][1], np.full(rows, n), sums[WORD][0], sums[GRAM][0], length, -sums[GRAM][0] / np.log10(2) / np.maximum(1, length)]
-                names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
-                types = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2, pa.int64(), pa.float64()]
+                rows, length = len(offsets) - 1, np.diff(offsets)
+                codes, row = gram_codes(data, offsets, model.order)
+                place, keys = pd.factorize(codes)
+                score = np.bincount(row, grams_known[1][np.searchsorted(grams_known[0], keys)][place], rows)
+                codes, row = word_codes(data, offsets)
+                place, keys = pd.factorize(codes)
+                at = np.searchsorted(words_known[0], keys)
+                base, known = np.bincount(row, words_known[1][at][place], rows), np.bincount(row, words_known[2][at][place], rows)
+                columns = [piece.column("doc_id"), piece.column("held_out"), np.bincount(row, minlength=rows), known.astype(np.int64), np.full(rows, n), base, score, length, -score / np.log10(2) / np.maximum(1, length)]
                 out.append(pa.RecordBatch.from_arrays([c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names))
-        return pa.Table.from_batches(out) if out else pa.table({f: pa.array([], t) for f, t in zip(names_of(shape), [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2, pa.int64(), pa.float64()], strict=True)})
+        del grams_known, words_known, texts, values
+        give_back()
+        return pa.Table.from_batches(out, pa.schema(list(zip(names, types, strict=True))))
 
     return d.groupBy("block").cogroup(part.groupBy("b")).applyInArrow(score, shape)
 
 
-def names_of(shape: str) -> list[str]:
-    return [x.split()[0] for x in shape.split(", ")]
-
-
 def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     held_out = F.coalesce(F.expr("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2"), F.lit(False))
