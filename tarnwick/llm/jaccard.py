@@ -255,7 +255,8 @@ def heads_of(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = ["n", "h1", "h2"]
     several = usable.groupBy(*same).agg(F.min("doc_id").alias("head"), F.count("*").alias("c")).filter("c > 1").drop("c")
     rest = materialize(usable.select("doc_id", *same).join(several, same).filter("doc_id <> head"), "jaccard-copies")
-    return usable.join(rest.select("doc_id", *same).distinct(), ["doc_id", *same], "left_anti"), rest.select("doc_id", "head")
+    # by a shuffle at every size, so that its cost grows with the input alone
+    return usable.join(rest.select("doc_id", *same).distinct().hint("merge"), ["doc_id", *same], "left_anti"), rest.select("doc_id", "head")
 
 
 def token_lists(heads: DataFrame, rules: JoinRules) -> DataFrame:
@@ -325,7 +326,7 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), text: st
     heads_in = materialize(heads_in.select("doc_id", F.coalesce("group", "doc_id").alias("group"), F.coalesce("component", "doc_id").alias("component")), "jaccard-groups")
     one = heads_in.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
     one = materialize(one.select(F.col("group").alias("g"), "members", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("only")), "jaccard-sizes")
-    matrix = entries.select("token", "doc_id", "n").join(heads_in.select("doc_id", "group"), "doc_id").groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = entries.select("token", "doc_id", "n").join(heads_in.select("doc_id", "group").hint("merge"), "doc_id").groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     other = matrix.select(F.col("token").alias("t"), F.col("group").alias("other"), F.col("least").alias("least2"), F.col("most").alias("most2"))
     fitting = F.expr(f"token = t and group < other and {rules.percent} * least <= 100 * most2 and {rules.percent} * least2 <= 100 * most")
     pairs = matrix.join(other, fitting).groupBy("group", "other").agg(F.count("*").alias("common"), F.min(F.least("least", "least2")).alias("n")).filter(f"common >= {enough}")
