@@ -33,7 +33,7 @@ class PpmModel:
     """order: bytes of the longest context, at most 6; block_bytes: text that one task scores against its part of the trie; held_codes: codes that a counting task holds at most before it passes them on."""
 
     order: int = 5
-    block_bytes: int = 32 << 20
+    block_bytes: int = 64 << 20
     piece_bytes: int = 1 << 20
     held_codes: int = 3_000_000
 
@@ -184,7 +184,8 @@ def score_texts(docs: DataFrame, held_out: Column, model: PpmModel = PpmModel(),
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("n")).first().n or 0
     blocks = int(1 + size // model.block_bytes)
     d = placed_texts(docs, held_out, blocks, text, key)
-    parts = d.select("block", "held_out", "text").mapInArrow(tidied(gathered(model)), "code long, block int, c long")
+    # small partitions are read together, so that a task's distinct codes stay far fewer than its bytes
+    parts = d.select("block", "held_out", "text").coalesce(int(1 + size // (model.block_bytes // 8))).mapInArrow(tidied(gathered(model)), "code long, block int, c long")
     # a code's blocks are listed in bands, so that no list grows with the number of blocks
     band = F.pmod("block", F.lit(-(-blocks // BAND)))
     sums = materialize(parts.groupBy("code", band.alias("band")).agg(F.sum("c").alias("c"), F.collect_set("block").alias("blocks")).drop("band"), "ppm-sums")
