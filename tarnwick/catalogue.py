@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .functions import canonical as C
 from .functions import text as T
 from .functions import vector as V
+from .functions import versions as X
 from .operators import analytics as A
+from .operators import graph as G
+from .operators import merge as M
 from .operators import records as R
+from .operators import reports as P
 from .operators import retrieval as S
+from .plans import datasets as D
 from .runtime import ship, table
+from .sources import records as R_
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,9 +91,9 @@ c AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v
 
 def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("query_label"))
-    pairs = e.crossJoin(F.broadcast(asked)) if asked.count() <= 20_000 else e.join(asked)
-    return pairs.filter("vec_id <> query_id").select("query_id", "vec_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("score"), "query_label", "label")
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    pairs = S.dense(e, asked, "vec_id", "embedding", "query_id", "q")
+    return pairs.filter("vec_id <> query_id").select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {COSINE_SQL} SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c) WHERE rank <= 10")
@@ -100,7 +108,8 @@ SELECT count(*) AS queries, round(avg(found / total), 6) AS recall, round(avg(co
 def ir_recall_mrr_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _cosine(spark, sf_dir)
     ranks = c.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).select("query_id", "vec_id", "rank")
-    relevant = c.filter("query_label = label").select("query_id", "vec_id")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    relevant = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e, "label").filter("vec_id <> query_id").select("query_id", "vec_id")
     return S.evaluate(ranks, relevant, "query_id", "vec_id", 10).select("queries", *[F.round(x, 6).alias(x) for x in ("recall", "mrr", "ndcg")])
 
 
@@ -113,19 +122,18 @@ r2 AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY
 f2 AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY item_id, doc_id)"""
 
 
-def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("t"))
-    q = b.select("item_id", F.size("t").alias("n"), F.explode("t").alias("term"))
-    return d.join(q, "term").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("c")).select("item_id", "doc_id", F.round(F.col("c").cast("double") / F.col("n"), 6).alias("score"))
+def channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ranked BM25 and token overlap of every benchmark text with the documents, from one term table."""
+    docs, asked = table(spark, sf_dir, "documents"), S.question_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    terms, stats = S.indexed(docs, "doc_id", "text")
+    sparse = S.bm25_of(terms, stats, asked, "doc_id", "item_id").withColumn("score", F.round("score", 6))
+    over = S.overlap_of(terms, asked, "doc_id", "item_id").withColumn("score", F.round("score", 6))
+    return S.ranked(sparse, "item_id", "doc_id"), S.ranked(over, "item_id", "doc_id")
 
 
 def hybrid(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """BM25 and token overlap of every benchmark text with the documents, fused by reciprocal rank."""
-    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("text", "query")
-    sparse = S.bm25(docs, asked, "doc_id", "text", "item_id", "query").withColumn("score", F.round("score", 6))
-    fused = S.fuse([S.ranked(sparse, "item_id", "doc_id"), S.ranked(_overlap(spark, sf_dir), "item_id", "doc_id")], "item_id", "doc_id")
-    return S.top(fused, "item_id", "doc_id", "rrf", k).select("item_id", "doc_id", "rrf", "rank")
+    return S.top(S.fuse(list(channels(spark, sf_dir)), "item_id", "doc_id"), "item_id", "doc_id", "rrf", k).select("item_id", "doc_id", "rrf", "rank")
 
 
 @query(f"WITH {BM25_SQL}, {OVERLAP_SQL}, {RRF_SQL} SELECT item_id, doc_id, rrf, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id) AS rank FROM f2) WHERE rank <= 10")
@@ -160,9 +168,7 @@ def spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256({NORMAL})) AS family FROM documents)
 SELECT doc_id, family, CASE WHEN ('0x' || substr(sha256('seed:' || family), 1, 8))::BIGINT % 100 < 80 THEN 'train' WHEN ('0x' || substr(sha256('seed:' || family), 1, 8))::BIGINT % 100 < 90 THEN 'validation' ELSE 'test' END AS split FROM h""")
 def exact_dup_families_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", T.text_hash(F.col("text")).alias("h"))
-    heads = d.groupBy("h").agg(F.min("doc_id").alias("family"))
-    return d.join(heads, "h").select("doc_id", "family", T.split_bucket(F.col("family").cast("string"), "seed").alias("split"))
+    return D.exact_families(table(spark, sf_dir, "documents"), "doc_id", "text", "seed")
 
 
 @query("SELECT split, label, count(*) AS n FROM (SELECT CASE WHEN ('0x' || substr(sha256('seed:' || doc_id), 1, 8))::BIGINT % 100 < 80 THEN 'train' WHEN ('0x' || substr(sha256('seed:' || doc_id), 1, 8))::BIGINT % 100 < 90 THEN 'validation' ELSE 'test' END AS split, quality AS label FROM labels) GROUP BY split, label")
@@ -170,9 +176,9 @@ def manifest_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(T.split_bucket(F.col("doc_id").cast("string"), "seed").alias("split"), F.col("quality").alias("label")).groupBy("split", "label").agg(F.count("*").alias("n"))
 
 
-@query("SELECT source AS family, count(DISTINCT split) AS splits, count(*) AS n FROM (SELECT source, CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'test' END AS split FROM documents) GROUP BY source HAVING count(DISTINCT split) > 1")
+@query("SELECT source AS family, count(DISTINCT split) AS splits, count(*) AS n FROM (SELECT source, CASE WHEN ('0x' || substr(sha256('seed:' || doc_id), 1, 8))::BIGINT % 100 < 80 THEN 'train' WHEN ('0x' || substr(sha256('seed:' || doc_id), 1, 8))::BIGINT % 100 < 90 THEN 'validation' ELSE 'test' END AS split FROM documents) GROUP BY source HAVING count(DISTINCT split) > 1")
 def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("family"), F.when(F.col("doc_id") % 10 < 8, "train").otherwise("test").alias("split"))
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("family"), T.split_bucket(F.col("doc_id").cast("string"), "seed").alias("split"))
     return A.split_leaks(d, "family", "split")
 
 
@@ -266,7 +272,14 @@ def alias_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.collisions(p, "alias", "p_brand")
 
 
-@query(r"SELECT lang, count(*) AS docs, " + ", ".join(f"count(*) FILTER (regexp_matches(text, '{p}')) AS {k}" for k, p in T.BEHAVIOURS.items()) + " FROM documents GROUP BY lang")
+@query(r"""WITH d AS (SELECT lang, lower(text) AS t FROM documents) SELECT lang, count(*) AS docs,
+ count(*) FILTER (regexp_matches(t, '\\b(socket|connect|requests\\.|requests\\b|urllib|curl|wget|https?://|httpss?://)') OR regexp_matches(t, '\\bhttp[s]?://')) AS network,
+ count(*) FILTER (regexp_matches(t, '\\b(subprocess|popen|execve|createprocess|runtime\\.getruntime)') OR regexp_matches(t, '\\bsystem\\s*\\(')) AS process,
+ count(*) FILTER (regexp_matches(t, '\\b(open|write|remove)\\s*\\(') OR regexp_matches(t, '\\b(unlink|pathlib|fopen|ofstream)')) AS filesystem,
+ count(*) FILTER (regexp_matches(t, '\\b(eval|exec)\\s*\\(') OR regexp_matches(t, '\\bshell\\s*=\\s*true') OR regexp_matches(t, '\\bcmd\\.exe') OR regexp_matches(t, '\\b/bin/sh')) AS command_execution,
+ count(*) FILTER (regexp_matches(t, '\\b(base64|hexlify|fromhex)') OR regexp_matches(t, '\\bdecode\\s*\\(')) AS encoding,
+ count(*) FILTER (regexp_matches(t, '\\b(select|insert|update|delete)\\b') OR regexp_matches(t, '\\b(execute|query)\\s*\\(')) AS database,
+ count(*) FILTER (regexp_matches(t, '\\b(memcpy|malloc|virtualalloc)') OR regexp_matches(t, '\\b(free|mmap)\\s*\\(')) AS memory FROM d GROUP BY lang""".replace("\\\\", "\\"))
 def code_behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("lang", T.behaviours(F.col("text")).alias("b"))
     return d.groupBy("lang").agg(F.count("*").alias("docs"), *[F.count_if(F.array_contains("b", k)).alias(k) for k in T.BEHAVIOURS])
@@ -281,6 +294,212 @@ portable("offset_page", "customer", "SELECT c_custkey, c_name FROM {customer} OR
 portable("key_lookup", "customer nation", "SELECT c_custkey, c_name, n_name FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey = 42 OR upper(c_name) = 'CUSTOMER#000000007'")
 portable("event_abnormal_summary", "events", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS runs, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS abnormal FROM {events} GROUP BY event_type")
 ORACLE["event_abnormal_summary"] = "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS runs, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS abnormal FROM events GROUP BY event_type"
-portable("step_phase_check", "conversations", "SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, min(turn) AS first_turn, max(turn) AS last_turn FROM {conversations} GROUP BY conv_id")
 portable("paired_turns", "conversations", "SELECT u.conv_id, u.turn, length(u.text) AS asked, length(a.text) AS answered FROM {conversations} u JOIN {conversations} a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'")
-portable("disjoint_negative_pairs", "part", "SELECT a.p_partkey AS left_key, b.p_partkey AS right_key FROM {part} a JOIN {part} b ON a.p_partkey < b.p_partkey AND a.p_type <> b.p_type AND a.p_brand <> b.p_brand AND a.p_size = b.p_size ORDER BY left_key, right_key LIMIT 200")
+
+
+def rows_of(spark: SparkSession, rows: list[tuple], shape: str) -> DataFrame:
+    return spark.createDataFrame(rows, shape)
+
+
+def expected(names: str, rows: list[tuple]) -> str:
+    """SQL of rows that are known beforehand."""
+    show = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({names})"
+
+
+@query("""SELECT a.p_partkey AS "left", b.p_partkey AS "right" FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_brand <> b.p_brand AND a.p_type <> b.p_type ORDER BY 1, 2 LIMIT 200""")
+def disjoint_negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", F.array("p_brand", "p_type").alias("labels"))
+    return G.pairs_of_disjoint_labels(p, "p_partkey", "labels", 200)
+
+
+@query("""WITH c AS (SELECT *, lag(role) OVER w AS before, row_number() OVER w AS nth, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+k AS (SELECT conv_id, unnest([CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty_text' END, CASE WHEN role NOT IN ('system', 'user', 'assistant') THEN 'unknown_role' END, CASE WHEN role = before THEN 'repeated_role' END, CASE WHEN nth = 1 AND role = 'assistant' THEN 'answer_first' END, CASE WHEN nth = n AND role = 'user' THEN 'unanswered' END, CASE WHEN nth = 1 AND role <> 'system' THEN 'no_instruction' END]) AS kind FROM c)
+SELECT kind, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM k WHERE kind IS NOT NULL GROUP BY kind""")
+def step_phase_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = W.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").withColumn("before", F.lag("role").over(w)).withColumn("nth", F.row_number().over(w)).withColumn("n", F.count("*").over(W.partitionBy("conv_id")))
+    found = P.findings(c, ["conv_id"], {"empty_text": F.trim(F.coalesce("text", F.lit(""))) == "", "unknown_role": ~F.col("role").isin("system", "user", "assistant"), "repeated_role": F.col("role") == F.col("before"), "answer_first": (F.col("nth") == 1) & (F.col("role") == "assistant"), "unanswered": (F.col("nth") == F.col("n")) & (F.col("role") == "user"), "no_instruction": (F.col("nth") == 1) & (F.col("role") != "system")})
+    return found.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("conversations"))
+
+
+@query("SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role = 'assistant') > 0")
+def conversation_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = D.conversations_to_messages(table(spark, sf_dir, "conversations")).withColumn("m", F.from_json("messages", "array<struct<role:string,content:string>>"))
+    return m.select("conv_id", F.size("m").cast("long").alias("turns"), F.aggregate("m", F.lit(0).cast("long"), lambda s, x: s + F.coalesce(F.length(x["content"]), F.lit(0))).alias("chars"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(list_distinct({TOKENS})) AS term FROM documents), g AS (SELECT doc_id, string_agg(term, chr(31) ORDER BY term) AS s, count(*) AS n FROM t GROUP BY doc_id),
+h AS (SELECT *, min(doc_id) OVER (PARTITION BY s) AS head FROM g), r AS (SELECT doc_id, n FROM h WHERE doc_id = head), x AS (SELECT t.* FROM t JOIN r USING (doc_id)),
+c AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS c FROM x a JOIN x b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT l AS "left", c.r AS "right", round(c::DOUBLE / (a.n + b.n - c), 6) AS score FROM c JOIN r a ON a.doc_id = l JOIN r b ON b.doc_id = c.r WHERE 100 * c >= 65 * (a.n + b.n - c) UNION ALL SELECT head, doc_id, 1.0 FROM h WHERE doc_id <> head""")
+def jaccard_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    return G.jaccard_pairs(d, "doc_id", "tokens", 65).withColumn("score", F.round("score", 6))
+
+
+@query()
+def chunk_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    whole = docs.select(T.text_hash(F.col("text")).alias("h"), "doc_id")
+    parts = D.chunks(docs, "doc_id", "text", 400, 0).filter("length(text) >= 200").select(T.text_hash(F.col("text")).alias("h"), "doc_id")
+    return G.families(docs, "doc_id", [whole, parts], "seed")
+
+
+@query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT a.vec_id AS left_id, b.vec_id AS right_id, 'embedding' AS view, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")
+def record_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.lit("embedding").alias("view"), "embedding")
+    left = e.select(F.col("vec_id").alias("left_id"), (F.col("vec_id") + 1).alias("right_id"), "view", "embedding")
+    right = e.select((F.col("vec_id") - 1).alias("left_id"), F.col("vec_id").alias("right_id"), "view", "embedding")
+    return S.view_similarity(left, right, ["left_id", "right_id"], "view", "embedding")
+
+
+@query(f"""WITH {BM25_SQL}, {OVERLAP_SQL}, {RRF_SQL}, m AS (SELECT 'hybrid' AS mode, item_id, doc_id, rrf FROM f2 UNION ALL SELECT 'sparse', item_id, doc_id, round(1.0::DOUBLE / (60 + rank), 9) FROM r1 UNION ALL SELECT 'overlap', item_id, doc_id, round(1.0::DOUBLE / (60 + rank), 9) FROM r2)
+SELECT mode, item_id, doc_id, rrf, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY mode, item_id ORDER BY rrf DESC, doc_id) AS rank FROM m) WHERE rank <= 3""")
+def rrf_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sparse, over = channels(spark, sf_dir)
+    mode = lambda name, lists: S.top(S.fuse(lists, "item_id", "doc_id"), "item_id", "doc_id", "rrf", 3).select(F.lit(name).alias("mode"), "item_id", "doc_id", "rrf", "rank")
+    return mode("hybrid", [sparse, over]).unionByName(mode("sparse", [sparse])).unionByName(mode("overlap", [over]))
+
+
+FEATURES_SQL = "SELECT k, idx, value / nullif(sqrt(sum(value * value) OVER (PARTITION BY k)), 0) AS value FROM (SELECT k, CAST(('0x' || substr(h, 14, 3))::BIGINT % 512 AS INTEGER) AS idx, sum((CASE WHEN ('0x' || substr(h, 17, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END) * (1 + ln(tf))) AS value FROM (SELECT k, term, count(*) AS tf, sha256(term) AS h FROM {t} GROUP BY k, term) GROUP BY ALL)"
+
+
+@query(f"""WITH dt AS (SELECT doc_id AS k, unnest({TOKENS}) AS term FROM documents), bt AS (SELECT item_id AS k, unnest({TOKENS}) AS term FROM benchmark), q AS (SELECT DISTINCT k AS item_id, term FROM bt),
+dv AS ({FEATURES_SQL.format(t="dt")}), bv AS ({FEATURES_SQL.format(t="bt")}), {OVERLAP_SQL}, keys AS (SELECT item_id, doc_id FROM (SELECT DISTINCT k AS item_id FROM bt), (SELECT DISTINCT k AS doc_id FROM dt)),
+c AS (SELECT bv.k AS item_id, dv.k AS doc_id, sum(bv.value * dv.value) AS c FROM bv JOIN dv USING (idx) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, round(coalesce(c, 0) + 0.25::DOUBLE * coalesce(score, 0), 6) + 0.0 AS prescore FROM keys LEFT JOIN c USING (item_id, doc_id) LEFT JOIN ov USING (item_id, doc_id))
+SELECT item_id, doc_id, prescore, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY prescore DESC, doc_id DESC) AS place FROM s) WHERE place <= 50""")
+def two_stage_prescore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    vectors = lambda df, key: V.dense_features(df.select(key, F.explode(T.tokens(F.col("text"))).alias("term")), key, "term", 512)
+    cosines = S.dense(vectors(docs, "doc_id"), vectors(asked, "item_id").withColumnRenamed("vector", "asked"), "doc_id", "vector", "item_id", "asked")
+    over = S.overlap_of(S.term_table(docs, "doc_id", "text"), S.question_terms(asked, "item_id", "text"), "doc_id", "item_id").withColumn("score", F.round("score", 6))
+    return S.prescored(cosines, over, "item_id", "doc_id", 50).withColumn("prescore", F.col("prescore") + F.lit(0.0)).select("item_id", "doc_id", "prescore", "place")
+
+
+MANIFEST_SQL = "SELECT doc_id AS line, 's' || (doc_id % 900) AS sample_id, CASE WHEN doc_id % 50 <> 3 THEN 'v' || (doc_id // 2) END AS vuln_id, source AS family_id, CASE WHEN doc_id % 97 = 5 THEN 'dev' WHEN doc_id % 10 < 8 THEN 'train' ELSE 'test' END AS split, CASE WHEN quality IS NOT NULL THEN ['q' || quality] ELSE [] END AS labels, [lang] AS modalities, CASE WHEN doc_id % 31 = 1 THEN -1.0 ELSE 1.0 END::DOUBLE AS weight FROM documents LEFT JOIN labels USING (doc_id)"
+
+
+def manifest_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as rows of a manifest, with faults."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return d.selectExpr(
+        "doc_id as line", "concat('s', doc_id % 900) as sample_id", "case when doc_id % 50 <> 3 then concat('v', doc_id div 2) end as vuln_id", "source as family_id", "case when doc_id % 97 = 5 then 'dev' when doc_id % 10 < 8 then 'train' else 'test' end as split",
+        "case when quality is not null then array(concat('q', quality)) else array() end as labels", "array(lang) as modalities", "case when doc_id % 31 = 1 then -1d else 1d end as weight",
+    )
+
+
+@query(f"""WITH m AS ({MANIFEST_SQL}), p AS (SELECT * FROM m WHERE split IN ('train', 'validation', 'test')),
+f AS (SELECT 'missing_vuln_id' AS kind FROM m WHERE vuln_id IS NULL UNION ALL SELECT 'invalid_split' FROM m WHERE split = 'dev' UNION ALL SELECT 'invalid_weight' FROM m WHERE weight <= 0 UNION ALL SELECT 'duplicate_sample_id' FROM m GROUP BY sample_id HAVING count(*) > 1
+UNION ALL SELECT 'vulnerability_split_leakage' FROM p WHERE vuln_id IS NOT NULL GROUP BY vuln_id HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'family_split_leakage' FROM p WHERE family_id IS NOT NULL GROUP BY family_id HAVING count(DISTINCT split) > 1
+UNION ALL SELECT 'unknown_vulnerability' FROM m WHERE vuln_id IS NOT NULL AND vuln_id NOT IN (SELECT 'v' || doc_id FROM labels))
+SELECT kind, count(*) AS n FROM f GROUP BY kind""")
+def manifest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "labels").selectExpr("concat('v', doc_id) as id").distinct()
+    return P.manifest_findings(manifest_of(spark, sf_dir), known).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH m AS ({MANIFEST_SQL}), p AS (SELECT * FROM m WHERE split IN ('train', 'validation', 'test')), l AS (SELECT split, unnest(labels) AS name FROM m), c AS (SELECT 'split' AS facet, split AS name, count(*) AS n FROM p GROUP BY split UNION ALL SELECT 'label', name, count(*) FROM l GROUP BY name
+UNION ALL SELECT 'modality', x, count(*) FROM (SELECT unnest(modalities) AS x FROM m) GROUP BY x UNION ALL SELECT 'label_by_split', split || ':' || name, count(*) FROM l WHERE split <> 'dev' GROUP BY ALL)
+SELECT facet, name, n, round(n / sum(n) OVER (PARTITION BY facet), 6) AS share, facet IN ('label', 'modality') AND n / sum(n) OVER (PARTITION BY facet) < 0.12 AS rare FROM c""")
+def manifest_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.manifest_counts(manifest_of(spark, sf_dir), 0.12)
+
+
+@query("""WITH e AS (SELECT l_linestatus AS variant, l_returnflag AS task, CASE WHEN l_returnflag = 'R' THEN 'minimize' ELSE 'maximize' END AS direction, l_suppkey AS seed, l_orderkey * 10 + l_linenumber AS line, l_extendedprice AS value FROM lineitem),
+b AS (SELECT task, seed, arg_max(value, line) AS base FROM e WHERE variant = 'F' GROUP BY ALL), d AS (SELECT e.*, CASE WHEN direction = 'maximize' THEN value - base ELSE base - value END AS delta FROM e LEFT JOIN b USING (task, seed) WHERE variant <> 'F'),
+g AS (SELECT task, direction, variant, count(delta) AS pairs, avg(delta) AS m, CASE WHEN count(delta) > 1 THEN 1.96 * stddev_samp(delta) / sqrt(count(delta)) END AS h FROM d GROUP BY ALL)
+SELECT task, 'price' AS metric, direction, variant, pairs, round(m, 3) AS mean_delta, round(m - h, 3) AS low, round(m + h, 3) AS high, CASE WHEN m - h > 0 THEN 'improved' WHEN m + h < 0 THEN 'regressed' ELSE 'unchanged_or_uncertain' END AS outcome, CASE WHEN pairs >= 2 THEN 'repeated_pairs' ELSE 'insufficient_pairs' END AS evidence FROM g""")
+def effect_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "lineitem").selectExpr("l_linestatus as variant", "l_returnflag as task", "'price' as metric", "case when l_returnflag = 'R' then 'minimize' else 'maximize' end as direction", "l_suppkey as seed", "'v1' as dataset_version", "l_orderkey * 10 + l_linenumber as line", "l_extendedprice as value")
+    r = P.effect_report(e, "F")
+    return r.select("task", "metric", "direction", "variant", "pairs", *[F.round(c, 3).alias(c) for c in ("mean_delta", "low", "high")], "outcome", "evidence")
+
+
+@query("""WITH e AS (SELECT user_id AS run_id, event_id AS step, event_type AS t, value, event_id % 41 = 0 AS later, event_id % 53 = 0 AS broke FROM events),
+l AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS rn, count(*) OVER (PARTITION BY run_id) AS n, lag(value) OVER (PARTITION BY run_id ORDER BY step) AS before FROM e WHERE t IN ('click', 'view') AND value IS NOT NULL),
+lg AS (SELECT run_id, regr_slope(value, step) FILTER (rn > n // 2) AS slope, CASE WHEN count(value - before) >= 2 THEN stddev_samp(value - before) END AS dev FROM l GROUP BY run_id),
+v AS (SELECT run_id, count(*) AS evals, arg_min(step, (value, step)) AS best_step, min(value) AS best, arg_max(value, step) AS last FROM e WHERE t = 'purchase' AND value IS NOT NULL GROUP BY run_id),
+g AS (SELECT run_id, count(*) >= 3 AND max(value) > greatest(100, 10 * quantile_cont(value, 0.5)) AS spike FROM e WHERE t = 'error' AND value >= 0 GROUP BY run_id),
+sp AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS rn, count(*) OVER (PARTITION BY run_id) AS n FROM e WHERE t = 'signup' AND value IS NOT NULL),
+sg AS (SELECT run_id, max(n) >= 6 AND avg(value) FILTER (rn <= n // 3) > 0 AND avg(value) FILTER (rn > n - n // 3) < 0.5 * avg(value) FILTER (rn <= n // 3) AS collapse FROM sp GROUP BY run_id),
+r AS (SELECT run_id, count(*) AS observations, min(step)::DOUBLE AS first_step, max(step)::DOUBLE AS last_step, count(DISTINCT later) > 1 AS changed, bool_or(broke) AS broke, arg_max(broke, step) AS last_broke, string_agg(DISTINCT CASE WHEN later THEN 'v2' ELSE 'v1' END, ',' ORDER BY CASE WHEN later THEN 'v2' ELSE 'v1' END) AS versions FROM e GROUP BY run_id)
+SELECT r.run_id, observations, first_step, last_step, best_step::DOUBLE AS best_step, round(best, 6) AS best_eval, round(last, 6) AS last_eval, round(CASE WHEN isnan(slope) THEN NULL ELSE slope END, 6) AS tail_loss_slope, round(dev, 6) AS loss_change_std, CASE WHEN last_broke THEN 'failed' ELSE 'running' END AS last_status, versions AS dataset_versions,
+concat_ws(',', CASE WHEN evals >= 3 AND last > best * 1.02 THEN 'eval_regression' END, CASE WHEN changed THEN 'dataset_version_changed' END, CASE WHEN broke THEN 'run_interrupted' END, CASE WHEN spike THEN 'gradient_spike' END, CASE WHEN collapse THEN 'throughput_collapse' END) AS findings
+FROM r LEFT JOIN lg USING (run_id) LEFT JOIN v USING (run_id) LEFT JOIN g USING (run_id) LEFT JOIN sg USING (run_id)""")
+def training_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda kinds: f"case when event_type in ({kinds}) then value end"
+    log = table(spark, sf_dir, "events").selectExpr("user_id as run_id", "'f' as file", "event_id as line", "event_id as step", f"{of("'click', 'view'")} as loss", f"{of("'purchase'")} as eval_loss", f"{of("'error'")} as grad_norm", f"{of("'signup'")} as throughput", "if(event_id % 41 = 0, 'v2', 'v1') as dataset_version", "'m' as model_version", "if(event_id % 53 = 0, 'failed', 'running') as status")
+    return P.training_report(log).drop("final_gap")
+
+
+@query("SELECT 'total' AS facet, 'all' AS name, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents UNION ALL SELECT 'lang', lang, count(*), CAST(sum(n_chars) AS BIGINT) FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*), CAST(sum(n_chars) AS BIGINT) FROM documents GROUP BY source")
+def artifact_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.artifact_status(table(spark, sf_dir, "documents"), ["lang", "source"], "n_chars")
+
+
+@query("SELECT lang, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95 FROM documents GROUP BY lang")
+def nearest_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.nearest_rank(table(spark, sf_dir, "documents"), ["lang"], "n_chars")
+
+
+@query("SELECT CASE WHEN event_type = 'error' THEN 'oom' ELSE 'syscall_error' END AS kind, count(*) AS n, min(event_id) AS first FROM events WHERE event_type = 'error' OR (event_type = 'view' AND event_id % 7 = 0) GROUP BY 1")
+def event_abnormalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").selectExpr("event_id as line", "user_id as run_id", "ts as timestamp", "if(event_type = 'error', 'oom', 'syscall') as type", "event_type as name", "1 as pid", "if(event_type = 'view' and event_id % 7 = 0, -1, 0) as return_code")
+    return P.event_report(e)[1].groupBy("kind").agg(F.count("*").alias("n"), F.min("line").alias("first"))
+
+
+@query(r"""WITH d AS (SELECT text FROM documents WHERE regexp_matches(text, '\S')), n AS (SELECT count(*) AS texts, CAST(sum(len(regexp_extract_all(text, '(?s)```[^\n`]*\n.*?```'))) AS BIGINT) AS fences, CAST(sum(len(regexp_extract_all(text, '(?is)<pre(?:\s[^>]*)?>\s*<code(?:\s[^>]*)?>.*?</code>\s*</pre>'))) AS BIGINT) AS pres, CAST(sum(len(regexp_extract_all(text, '!\[[^\]]*\]\([^)\s]+(?:\s+[''"][^''"]*[''"])?\)'))) AS BIGINT) AS images FROM d),
+r AS (SELECT 'modality' AS facet, 'text' AS name, texts AS n FROM n UNION ALL SELECT 'extraction', 'source_field', texts FROM n UNION ALL SELECT 'modality', 'code', fences + pres FROM n UNION ALL SELECT 'extraction', 'markdown_fence/v1', fences FROM n UNION ALL SELECT 'extraction', 'html_pre_code/v1', pres FROM n UNION ALL SELECT 'modality', 'image_reference', images FROM n UNION ALL SELECT 'extraction', 'markdown_image/v1', images FROM n UNION ALL SELECT 'finding', 'unverified_evidence', images FROM n)
+SELECT * FROM r WHERE n > 0""")
+def modality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    d = table(spark, sf_dir, "documents").select(F.lit("cve").alias("source"), F.col("doc_id").cast("string").alias("source_id"), F.col("text").alias("description"))
+    return C.alignment(C.evidence(d)).filter("facet <> 'behaviour'")
+
+
+@query()
+def html_pairs_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return R_.page_details(table(spark, sf_dir, "pages"))
+
+
+# Rules, versions and the status that each version has.
+RANGE = {"default_status": "unaffected", "versions": [{"version": "1.0.0", "lessThan": "1.2.0", "versionType": "semver", "status": "affected"}]}
+CUSTOM = {"default_status": "unaffected", "versions": [{"version": "1.0", "lessThan": "2.0", "versionType": "vendor-custom", "status": "affected"}]}
+PYPI = {"name": "widget", "packageURL": "pkg:pypi/widget", "default_status": "unaffected", "versions": [{"version": "1.0rc1", "lessThan": "2.0", "status": "affected"}]}
+NPM = {"name": "widget", "packageURL": "pkg:npm/widget", "default_status": "unaffected", "versions": [{"version": "1.0.0", "lessThan": "3.0.0", "versionType": "semver", "status": "affected", "changes": [{"at": "2.0.0", "status": "unaffected"}]}]}
+VERSION_CASES = [("range", RANGE, v, s) for v, s in (("1.0.0", "affected"), ("1.1.0", "affected"), ("1.2.0", "unaffected"), ("0.9.0", "unaffected"), ("1.1.0-rc1", "affected"))] + [("custom", CUSTOM, "1.5", "unknown"), ("pypi", PYPI, "1.0", "affected"), ("pypi", PYPI, "2.0", "unaffected"), ("npm", NPM, "1.9.0", "affected"), ("npm", NPM, "2.1.0", "unaffected")]
+WIDGET, WIN11, WINXP = "cpe:2.3:a:acme:widget:{}:*:*:*:*:*:*:*", "cpe:2.3:o:microsoft:windows_11:{}:*:*:*:*:*:*:*", "cpe:2.3:o:microsoft:windows_xp:{}:*:*:*:*:*:*:*"
+BOTH = [{"nodes": [{"operator": "AND", "negate": False, "cpeMatch": [{"vulnerable": True, "criteria": WIDGET.format("*"), "versionStartIncluding": "1.0", "versionEndExcluding": "2.0"}, {"vulnerable": False, "criteria": WIN11.format("*")}]}]}]
+PLACE = [{"nodes": [{"operator": "OR", "cpeMatch": [{"vulnerable": False, "criteria": WIN11.format("*")}]}]}]
+NOT_XP = [{"operator": "AND", "children": [{"operator": "OR", "cpeMatch": [{"vulnerable": True, "criteria": WIDGET.format("*")}]}, {"operator": "OR", "negate": True, "cpeMatch": [{"vulnerable": False, "criteria": WINXP.format("*")}]}]}]
+PRESENT = [WIDGET.format("1.5"), WIN11.format("23h2")]
+CPE_CASES = [("both", BOTH, PRESENT, "affected"), ("wrong_system", BOTH, [PRESENT[0], "cpe:2.3:o:linux:linux_kernel:6.0:*:*:*:*:*:*:*"], "unaffected"), ("no_system", BOTH, PRESENT[:1], "unaffected"), ("place_only", PLACE, PRESENT, "unknown"), ("not_xp", NOT_XP, PRESENT, "affected"), ("xp", NOT_XP, [PRESENT[0], WINXP.format("sp3")], "unaffected")]
+
+
+@query(expected("rule, version, status", [(n, v, s) for n, _, v, s in VERSION_CASES]))
+def version_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = rows_of(spark, [(n, json.dumps(c), v) for n, c, v, _ in VERSION_CASES], "rule string, component string, version string")
+    return rows.select("rule", "version", X.version_status("version", "component").alias("status"))
+
+
+@query(expected("name, status", [(n, s) for n, _, _, s in CPE_CASES]))
+def cpe_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = rows_of(spark, [(n, json.dumps(t), p) for n, t, p, _ in CPE_CASES], "name string, trees string, present array<string>")
+    return rows.select("name", X.cpe_applicability("trees", "present").alias("status"))
+
+
+STATES = [("CVE-2099-1001", f, s) for f, s in (("attack_preconditions", "present"), ("components", "present"), ("description", "present"), ("patch", "present"), ("poc", "missing"), ("severity", "conflicted"), ("title", "present"), ("weaknesses", "present"))]
+STATES += [(f"CVE-2099-100{i}", f, "present" if f in ("description", "severity", "weaknesses") else "missing") for i in (2, 3) for f in ("attack_preconditions", "components", "description", "patch", "poc", "severity", "title", "weaknesses")]
+
+
+@query(expected("vuln_id, field, state", STATES))
+def conflict_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    c = M.canonical_records(R_.demo_records(spark))
+    return c.select("vuln_id", F.explode("field_states").alias("field", "state")).filter(F.col("field").isin(*M.CORE))

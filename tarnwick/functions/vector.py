@@ -44,3 +44,9 @@ def signed_features(tokens: DataFrame, key: str, token: str, width: int) -> Data
     value = tf.select(key, index.cast("int").alias("idx"), F.when(odd, weight).otherwise(-weight).alias("w")).groupBy(key, "idx").agg(F.sum("w").alias("value"))
     length = value.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"))
     return value.join(length, key).select(key, "idx", F.when(F.col("length") == 0, 0.0).otherwise(F.col("value") / F.col("length")).alias("value"))
+
+
+def dense_features(tokens: DataFrame, key: str, token: str, width: int) -> DataFrame:
+    """key and vector, an array of width, of hashed features."""
+    parts = signed_features(tokens, key, token, width).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("m"))
+    return parts.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))

@@ -73,12 +73,12 @@ def run_diagnostics(log: DataFrame, run: str, step: str, loss: str, order: str)
     )
 
 
-def paired_effects(log: DataFrame, variant: str, baseline: str, pair: list[str], value: str, by: list[str], minimize: bool = False) -> DataFrame:
+def paired_effects(log: DataFrame, variant: str, baseline: str, pair: list[str], value: str, by: list[str], minimize: bool = False, order: str | None = None) -> DataFrame:
     """Mean paired difference to the baseline with a normal 95 % interval, for each variant and group; positive is better.
 
-    A pair needs both values; of several for one key the last in row order has been chosen before. Fewer than two pairs: no interval, outcome uncertain.
+    A pair needs both values; of several baselines for one key the last by order counts, or the greatest. Fewer than two pairs: no interval, outcome uncertain.
     """
-    base = log.filter(F.col(variant) == baseline).select(*pair, F.col(value).alias("base"))
+    base = log.filter(F.col(variant) == baseline).groupBy(*pair).agg(F.max_by(value, order or value).alias("base"))
     sign = -1.0 if minimize else 1.0
     d = log.filter(F.col(variant) != baseline).join(base, pair).withColumn("delta", (F.col(value) - F.col("base")) * sign)
     g = d.groupBy(variant, *by).agg(F.count("*").alias("pairs"), F.avg("delta").alias("m"), F.stddev_samp("delta").alias("s"))

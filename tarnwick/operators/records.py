@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tarnwick.runtime import materialize
+
 
 def merge_by_priority(rows: DataFrame, key: str, priority: Column, tie: str, fields: list[str]) -> DataFrame:
     """One row per key: of each field the first non-empty value by priority, then tie, and whether sources conflict on it (missing, present or conflicted)."""
@@ -31,31 +33,27 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str, stamp: str, digest:
     return incoming.join(s, F.col(key) == F.col("k"), "left").withColumn("outcome", outcome).drop("k", "old_stamp", "old_digest")
 
 
-def cyclic_pick(rows: DataFrame, candidates: DataFrame, bucket: str, key: str, family: str, start: Column) -> DataFrame:
-    """For each row the first candidate of its bucket, from place start on and around, of another family.
+def cyclic_pick(rows: DataFrame, candidates: DataFrame, bucket: str, key: str, family: str, start: Column, also: list[str] | None = None, row: str | None = None) -> DataFrame:
+    """For each row of rows, named by row (key, if not given), the first candidate of its bucket, from place start on and around, of another family.
 
-    Candidates are numbered by key in their bucket. Only one candidate per family and place matters, so what joins is each bucket's
-    first place after start of each kind: the successor in the circle and, where that is of the row's family, the next of another one.
-    A run that ends at the last place may go on at place 0, which is one more step.
+    Candidates are numbered by key in their bucket, and neighbours of one family form a run. The answer is the candidate at the place itself, else the
+    start of the next run, else, after the bucket's end, the first candidate or that of the second run: four lookups, whatever the sizes. A null family is one of its own.
     """
-    order = W.partitionBy(bucket).orderBy(key)
-    c = candidates.withColumn("pos", F.row_number().over(order) - 1).withColumn("size", F.count("*").over(W.partitionBy(bucket)))
-    # the next place with another family than this place's, in the circle: runs of one family end where it changes
-    nxt = F.lead(family).over(order)
-    change = c.withColumn("ends", F.when(nxt.isNull() | (nxt != F.col(family)), F.col("pos")))
-    back = W.partitionBy(bucket).orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, 0)
-    change = change.withColumn("run_end", F.min("ends").over(back))
-    places = change.select(F.col(bucket).alias("b"), F.col("pos").alias("p"), F.col(key).alias("picked"), F.col(family).alias("f"), "run_end", "size")
-    sizes = places.select("b", "size").distinct()
-    r = rows.join(sizes, F.col(bucket) == F.col("b")).withColumn("at", F.pmod(start, F.col("size"))).drop("b")
-    first = r.join(places.drop("size"), (F.col(bucket) == F.col("b")) & (F.col("at") == F.col("p"))).drop("b", "p")
-    parts = []
-    for last in (False, False, True):
-        parts.append(first.filter(F.col("f") != F.col(family)).select(F.col(key), "picked"))
-        if not last:
-            again = first.filter(F.col("f") == F.col(family)).select(key, bucket, F.col(family), F.pmod(F.col("run_end") + 1, F.col("size")).alias("at"), "size")
-            first = again.join(places.drop("size"), (F.col(bucket) == F.col("b")) & (F.col("at") == F.col("p"))).drop("b", "p")
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    name = row or key
+    fam = F.coalesce(F.concat(F.lit("="), F.col(family).cast("string")), F.lit(""))
+    c = candidates.select(F.col(bucket).alias("b"), F.col(key).alias("k"), fam.alias("f")).withColumnRenamed("k", "picked")
+    by = W.partitionBy("b").orderBy("picked")
+    c = c.withColumn("p", F.row_number().over(by) - 1).withColumn("new", F.coalesce((F.lag("f").over(by) != F.col("f")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(by))
+    heads = c.filter("new = 1").select("b", "run", "picked", "f")
+    following = heads.select("b", (F.col("run") - 1).alias("run"), F.col("picked").alias("next"))
+    turn = heads.filter("run <= 2").groupBy("b").agg(F.max(F.when(F.col("run") == 1, F.struct("picked", "f"))).alias("r1"), F.max(F.when(F.col("run") == 2, F.struct("picked", "f"))).alias("r2"))
+    sizes = c.groupBy("b").agg(F.count("*").alias("size"))
+    around = sizes.join(turn, "b")
+    r = rows.select(*dict.fromkeys([name, *(also or [])]), F.col(bucket).alias("b"), fam.alias("own"), start.alias("start")).join(around, "b").withColumn("p", F.pmod("start", F.col("size")))
+    at = r.join(c.select("b", "p", "picked", "f", "run"), ["b", "p"]).join(following, ["b", "run"], "left")
+    wrapped = F.when(F.col("r1.f") != F.col("own"), F.col("r1.picked")).otherwise(F.col("r2.picked"))
+    found = F.when(F.col("f") != F.col("own"), F.col("picked")).otherwise(F.coalesce("next", wrapped))
+    return at.select(*dict.fromkeys([name, *(also or [])]), found.alias("picked")).filter("picked is not null")
 
 
 def missing_plan(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -64,6 +62,20 @@ def missing_plan(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return rows.select(key, F.array_join(lacking, ",").alias("missing")).filter("missing <> ''")
 
 
+def nth_rows(rows: DataFrame, key: str, places: list[int]) -> list:
+    """The rows at some places in order of key: ranges are sorted apart, and only their sizes and the rows asked for reach the driver."""
+    ordered = materialize(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("tw_range", F.spark_partition_id()), "ordered")
+    sizes = sorted((r.tw_range, r["count"]) for r in ordered.groupBy("tw_range").count().collect())
+    wanted, before = [], 0
+    for part, size in sizes:
+        wanted += [(part, at - before) for at in places if before <= at < before + size]
+        before += size
+    asked = rows.sparkSession.createDataFrame(wanted, "tw_range int, tw_place long")
+    numbered = ordered.join(F.broadcast(asked.select("tw_range").distinct()), "tw_range").withColumn("tw_place", (F.row_number().over(W.partitionBy("tw_range").orderBy(key)) - 1).cast("long"))
+    found = numbered.join(F.broadcast(asked), ["tw_range", "tw_place"]).orderBy("tw_range", "tw_place").drop("tw_range", "tw_place")
+    return found.collect()
+
+
 def spherical_kmeans(vectors: DataFrame, key: str, vector: str, k: int, rounds: int = 25) -> DataFrame:
     """key and cluster by deterministic spherical k-means; the k centroids, whose number bounds them, are all that the driver holds.
 
@@ -77,9 +89,8 @@ def spherical_kmeans(vectors: DataFrame, key: str, vector: str, k: int, rounds:
     k = min(k, n)
     if not k:
         return spark.createDataFrame([], "key long, cluster int")
-    numbered = vectors.select(F.col(key).alias("key"), unit.alias("v"), (F.row_number().over(W.orderBy(key)) - 1).alias("pos"))
-    starts = sorted({i * n // k for i in range(k)})
-    centres = np.array([r.v for r in numbered.filter(F.col("pos").isin(starts)).orderBy("pos").collect()])
+    places = sorted({i * n // k for i in range(k)})
+    centres = np.array([v for _, v in nth_rows(vectors.select(F.col(key).alias("key"), unit.alias("v")), "key", places)])
     centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
     data = vectors.select(F.col(key).alias("key"), unit.alias("v"))
 

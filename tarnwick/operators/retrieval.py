@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tarnwick.functions.text import tokens
 from tarnwick.functions.vector import cosine
+from tarnwick.functions.versions import cpe_applicability, named_status, split_cpe
+from tarnwick.runtime import materialize
 
 
 def term_table(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -18,24 +21,168 @@ def term_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     return d.select(key, "dl", F.explode("t").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def indexed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The term table of docs, written once, and the number and mean length of all of them, also of those without a term."""
+    terms = materialize(term_table(docs, key, text), "terms")
+    sizes = terms.groupBy(key).agg(F.max("dl").alias("dl")).agg(F.sum("dl").cast("double").alias("total"))
+    return terms, docs.agg(F.count("*").cast("double").alias("n")).join(sizes).select("n", (F.coalesce("total", F.lit(0.0)) / F.col("n")).alias("avgdl"))
+
+
+def question_terms(queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
+    """query_key and each distinct term of its text."""
+    return queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
+
+
+def bm25_of(terms: DataFrame, stats: DataFrame, asked: DataFrame, key: str, query_key: str) -> DataFrame:
+    """query_key, key and score from a term table, stats (n, avgdl) and the terms asked for."""
+    own = terms.join(asked.select("term").distinct(), "term", "left_semi")
+    df = own.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    idf = F.log(F.expr("1e0 + (n - df + 5e-1) / (df + 5e-1)"))
+    part = F.expr("tf * 22e-1 / (tf + 12e-1 * (25e-2 + 75e-2 * dl / avgdl))") * idf
+    weighted = own.join(df, "term").join(F.broadcast(stats))  # one row
+    return weighted.select("term", key, part.alias("part")).join(asked, "term").groupBy(query_key, key).agg(F.sum("part").alias("score"))
+
+
+def overlap_of(terms: DataFrame, asked: DataFrame, key: str, query_key: str) -> DataFrame:
+    """query_key, key and the share of the query's terms that the document has."""
+    sizes = asked.groupBy(query_key).agg(F.count("*").alias("m"))
+    met = terms.select(key, "term").join(asked, "term").groupBy(query_key, key).agg(F.count("*").alias("c"))
+    return met.join(sizes, query_key).select(query_key, key, (F.col("c").cast("double") / F.col("m")).alias("score"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str) -> DataFrame:
     """query_key, key and score of documents that share a term with a query; query terms are a set.
 
     df and the mean length come from all of docs, so filters belong before. Documents meet queries on terms, never as a cross product.
     """
-    asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    stats = docs.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = term_table(docs, key, text).join(asked.select("term").distinct(), "term", "left_semi")
-    df = terms.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    weighted = terms.join(df, "term").join(F.broadcast(stats))
-    idf = F.log(F.expr("1e0 + (n - df + 5e-1) / (df + 5e-1)"))
-    part = F.expr("tf * 22e-1 / (tf + 12e-1 * (25e-2 + 75e-2 * dl / avgdl))") * idf
-    return weighted.select("term", key, part.alias("part")).join(asked, "term").groupBy(query_key, key).agg(F.sum("part").alias("score"))
+    terms, stats = indexed(docs, key, text)
+    return bm25_of(terms, stats, question_terms(queries, query_key, query_text), key, query_key)
+
+
+def dense(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, most: int = 4096) -> DataFrame:
+    """query_key, key and cosine of every pair, from matrix products of batches of vectors with blocks of at most `most` queries, one after another.
+
+    0 where a vector has no length; vectors of another width than the query's give nothing.
+    """
+    import numpy as np
+
+    q = queries.select(F.col(query_key).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).filter("q is not null and v is not null")
+    kind, own = dict(queries.dtypes)[query_key], dict(vectors.dtypes)[key]
+    shape = f"`{query_key}` {kind}, `{key}` {own}, score double"
+    out = None
+    blocks = max(1, -(-q.count() // most))
+    numbered = q.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)))
+    for block in range(blocks):
+        rows = numbered.filter(F.col("block") == block).orderBy("q").collect()  # a stated query set, block by block
+        by_width: dict[int, tuple[list, list]] = {}
+        for r in rows:
+            names, values = by_width.setdefault(len(r.v), ([], []))
+            names.append(r.q)
+            values.append(r.v)
+        unit = {w: (np.array(names, dtype=object), _units(np.array(values, dtype=float))) for w, (names, values) in by_width.items() if w}
+
+        def run(parts, unit=unit):
+            for part in parts:
+                widths = part.v.map(lambda v: -1 if v is None else len(v)).to_numpy()
+                for w, (names, m) in unit.items():
+                    mine = np.flatnonzero(widths == w)
+                    if len(mine):
+                        scores = _units(np.array(part.v.iloc[mine].tolist(), dtype=float)) @ m.T
+                        keys = part.k.to_numpy()[mine]
+                        yield pd.DataFrame({query_key: np.tile(names, len(mine)), key: np.repeat(keys, len(names)), "score": scores.ravel()})
+
+        made = vectors.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, shape)
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def _units(m):
+    """Rows brought to length 1; rows without a length stay 0."""
+    import numpy as np
 
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
-def dense(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str) -> DataFrame:
-    """query_key, key and cosine of every pair; queries are few and are broadcast by their size."""
-    return vectors.crossJoin(F.broadcast(queries)).select(query_key, key, cosine(F.col(vector), F.col(query_vector)).alias("score"))
+
+#: Channels of a search with their weights and the views that each looks at.
+CHANNELS = {"query": (1.0, ("description", "metadata", "patch", "aggregate")), "poc": (1.3, ("poc", "description", "aggregate")), "component": (0.8, ("component", "aggregate"))}
+
+
+def channel_scores(views: DataFrame, questions: DataFrame, key: str) -> DataFrame:
+    """query_id, key, dense, sparse and best_view of every record, over the channels that its query has.
+
+    views: key, view, text, vector; questions: query_id, channel, text, vector. Dense: the best cosine among the channel's views; sparse: BM25 over the texts
+    of those views together; both are means weighted by channel. One pass of the views per channel, of which there are three.
+    """
+    parts = None
+    for channel, (weight, names) in CHANNELS.items():
+        asked = questions.filter(F.col("channel") == channel)
+        if not asked.take(1):
+            continue
+        own = views.filter(F.col("view").isin(*names))
+        texts = own.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.array_position(F.array(*map(F.lit, names)), F.col("view")).alias("i"), "text"))), lambda x: x["text"]), "\n").alias("text"))
+        sparse = bm25(texts, asked.select("query_id", F.col("text").alias("asked")), key, "text", "query_id", "asked").withColumnRenamed("score", "sparse")
+        named = own.withColumn("place", F.struct(F.col(key), F.col("view")))
+        cosines = dense(named.select(F.to_json("place").alias("place"), "vector"), asked.select("query_id", F.col("vector").alias("asked")), "place", "vector", "query_id", "asked")
+        pair = F.from_json("place", f"`{key}` {dict(views.dtypes)[key]}, view string")
+        best = cosines.select("query_id", pair.alias("p"), "score").groupBy("query_id", F.col("p")[key].alias(key)).agg(F.max(F.struct("score", F.col("p.view").alias("view"))).alias("b"))
+        both = best.select("query_id", key, F.col("b.score").alias("dense"), F.col("b.view").alias("best_view")).join(sparse, ["query_id", key], "left")
+        rows = both.select("query_id", key, F.lit(weight).alias("weight"), "dense", F.coalesce("sparse", F.lit(0.0)).alias("sparse"), F.concat(F.lit(f"{channel}:"), "best_view").alias("best_view"))
+        parts = rows if parts is None else parts.unionByName(rows)
+    if parts is None:
+        raise ValueError("no channel has a text")
+    weights = F.expr(" + ".join(f"if(array_contains(channels, '{c}'), {w}e0, 0e0)" for c, (w, _) in CHANNELS.items()))
+    total = questions.groupBy("query_id").agg(F.collect_set("channel").alias("channels")).select("query_id", weights.alias("all_weights"))
+    sums = parts.groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("dense")).alias("d"), F.sum(F.col("weight") * F.col("sparse")).alias("s"), F.array_sort(F.collect_list("best_view")).alias("best_views"))
+    return sums.join(F.broadcast(total), "query_id").select("query_id", key, (F.col("d") / F.col("all_weights")).alias("dense"), (F.col("s") / F.col("all_weights")).alias("sparse"), "best_views")
+
+
+def fused_hits(scores: DataFrame, key: str, mode: str = "hybrid", least: float | None = None, offset: int = 0, k: int = 10, named: DataFrame | None = None) -> DataFrame:
+    """query_id, key, dense, sparse, rrf and rank of the hits after offset.
+
+    least cuts by the dense score, for both lists. named (query_id, key): records that a query names, which come first. Ties go to the smaller key.
+    """
+    if mode not in ("hybrid", "dense", "sparse"):
+        raise ValueError(f"no such mode: {mode}")
+    if not 1 <= k <= 100 or not 0 <= offset <= 10_000 or (least is not None and not -1 <= least <= 1):
+        raise ValueError("k must lie in 1..100, offset in 0..10000 and least in -1..1")
+    s = scores if least is None else scores.filter(F.col("dense") >= least)
+    lists = [ranked(s.select("query_id", key, F.col(c).alias("score")), "query_id", key) for c in (("dense", "sparse") if mode == "hybrid" else (mode,))]
+    fused = fuse(lists, "query_id", key).join(s.select("query_id", key, "dense", "sparse"), ["query_id", key]).withColumn("rrf", F.round("rrf", 9))
+    if named is not None:
+        fused = fused.join(F.broadcast(named.select("query_id", key).distinct().withColumn("asked_for", F.lit(0))), ["query_id", key], "left")
+    else:
+        fused = fused.withColumn("asked_for", F.lit(1))
+    w = W.partitionBy("query_id").orderBy(F.coalesce("asked_for", F.lit(1)), F.desc("rrf"), key)
+    return fused.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") > offset) & (F.col("rank") <= offset + k)).drop("asked_for")
+
+
+def prescored(cosines: DataFrame, overlaps: DataFrame, query_key: str, key: str, pool: int, share: float = 0.25) -> DataFrame:
+    """The pool rows of each query with the largest cosine + share * overlap, ties to the greater key: what a second stage looks at."""
+    both = cosines.select(query_key, key, F.col("score").alias("c")).join(overlaps.select(query_key, key, F.col("score").alias("o")), [query_key, key], "left")
+    s = both.select(query_key, key, F.round(F.col("c") + F.lit(share) * F.coalesce("o", F.lit(0.0)), 6).alias("prescore"))
+    return s.withColumn("place", F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("prescore"), F.desc(key)))).filter(F.col("place") <= pool)
+
+
+def pool_size(offset: int, k: int) -> int:
+    return max(2_000, min(12_000, offset + k + 1_000))
+
+
+def hits_with_evidence(hits: DataFrame, records: DataFrame, evidence: DataFrame, questions: DataFrame, key: str) -> DataFrame:
+    """hits with the record's columns, the terms that its text and the query share, and its two evidence texts of most shared terms, of 600 characters each."""
+    asked = questions.select("query_id", F.explode(tokens(F.col("text"))).alias("t")).groupBy("query_id").agg(F.array_sort(F.collect_set("t")).alias("asked"))
+    h = hits.join(F.broadcast(asked), "query_id", "left").join(records, key, "left")
+    h = h.withColumn("matched_terms", F.array_intersect("asked", tokens(F.col("text"))))
+    e = hits.select("query_id", key).join(F.broadcast(asked), "query_id").join(evidence.select(key, "evidence_id", F.col("text").alias("said")), key)
+    e = e.withColumn("shared", F.size(F.array_intersect("asked", tokens(F.col("said"))))).withColumn("rn", F.row_number().over(W.partitionBy("query_id", key).orderBy(F.desc("shared"), "evidence_id"))).filter("rn <= 2")
+    best = e.groupBy("query_id", key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.substring("said", 1, 600).alias("text")))), lambda x: x["text"]).alias("evidence"))
+    return h.join(best, ["query_id", key], "left").drop("asked")
+
+
+def view_similarity(left: DataFrame, right: DataFrame, pair: list[str], view: str, vector: str) -> DataFrame:
+    """pair, view and score of the views that both records of a pair have; left and right: pair, view, vector."""
+    a, b = left.select(*pair, view, F.col(vector).alias("v1")), right.select(*pair, view, F.col(vector).alias("v2"))
+    return a.join(b, [*pair, view]).select(*pair, view, F.round(cosine(F.col("v1"), F.col("v2")), 6).alias("score"))
 
 
 def ranked(scores: DataFrame, query_key: str, key: str, least: float = 0.0) -> DataFrame:
@@ -66,6 +213,34 @@ class Filters:
     weakness: str | None = None
     source: str | None = None
     columns: dict[str, str] = field(default_factory=dict)
+    version: str | None = None
+    cpes: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        if self.version and not self.component:
+            raise ValueError("a version needs a component")
+        if any(split_cpe(x) is None for x in self.cpes):
+            raise ValueError("cpes must be CPE 2.3 names")
+
+    def applied(self, records: DataFrame) -> DataFrame:
+        """The records that match, with version_match: what was found of the version or of the CPE names, else not_checked.
+
+        Cheap conditions come first. A component with a version decides alone, without a look at the names, as does a conflict between sources on components.
+        Versions need components, an array of structs with name, versions (JSON text), default_status and purl; names need applicability, JSON text of configurations.
+        """
+        kept = records.filter(self.condition())
+        if self.version:
+            if "conflicts" in records.columns:
+                odd = F.array_contains("conflicts", "components")
+            else:
+                odd = F.lit(False)
+            # versions are JSON text already and go in as they are
+            one = lambda c: F.concat(F.rtrim(F.to_json(F.struct(c["name"].alias("name"), c["default_status"].alias("default_status"), c["purl"].alias("packageURL"))), F.lit("}")), F.when(c["name"].isNull() & c["default_status"].isNull() & c["purl"].isNull(), "").otherwise(","), F.lit('"versions":'), F.coalesce(F.nullif(c["versions"], F.lit("")), F.lit("[]")), F.lit("}"))
+            parts = F.concat(F.lit("["), F.array_join(F.transform("components", one), ","), F.lit("]"))
+            return kept.withColumn("version_match", named_status(parts, F.lit(self.component), F.lit(self.version), odd)).filter("version_match = 'affected'")
+        if self.cpes:
+            return kept.withColumn("version_match", cpe_applicability(F.col("applicability"), F.array(*map(F.lit, self.cpes)))).filter("version_match = 'affected'")
+        return kept.withColumn("version_match", F.lit("not_checked"))
 
     def condition(self) -> Column:
         out = F.lit(True)
@@ -88,7 +263,7 @@ def search(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key:
         raise ValueError(f"no such mode: {mode}")
     if k < 1 or offset < 0:
         raise ValueError("k must be positive and offset not negative")
-    kept = docs.filter(filters.condition())
+    kept = filters.applied(docs)
     channels = []
     if mode != "dense":
         channels.append(ranked(bm25(kept, queries, key, text, query_key, query_text), query_key, key, 0.0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tarnwick.functions.text import split_bucket, text_hash
+from tarnwick.runtime import materialize
 
 
 def cut(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
@@ -28,13 +29,13 @@ def cut(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
 
 
 def chunks(docs: DataFrame, key: str, text: str, size: int = 2000, overlap: int = 200) -> DataFrame:
-    """key, chunk (from 0), start, end and text."""
+    """key, chunk (from 0), start, end and text; chunks of white space alone are left out."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(k, i, s, e, t[s:e]) for k, t in zip(part.key, part.text, strict=True) if t for i, (s, e) in enumerate(cut(t, size, overlap))]
+            rows = [(k, i, s, e, t[s:e]) for k, t in zip(part.key, part.text, strict=True) if t for i, (s, e) in enumerate(x for x in cut(t, size, overlap) if t[slice(*x)].strip())]
             yield pd.DataFrame(rows, columns=["key", "chunk", "start", "end", "text"])
 
     out = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(run, "key long, chunk int, start int, end int, text string")
@@ -43,7 +44,7 @@ def chunks(docs: DataFrame, key: str, text: str, size: int = 2000, overlap: int
 
 def exact_families(docs: DataFrame, key: str, text: str, seed: str) -> DataFrame:
     """key, family (the least key with the same normalized text) and split, which a family shares."""
-    d = docs.select(key, text_hash(F.col(text)).alias("h"))
+    d = materialize(docs.select(key, text_hash(F.col(text)).alias("h")), "text-hashes")
     heads = d.groupBy("h").agg(F.min(key).alias("family"))
     return d.join(heads, "h").select(key, "family", split_bucket(F.col("family").cast("string"), seed).alias("split"))
 

@@ -56,3 +56,39 @@ def event_windows(events: DataFrame, width: str = "10 minutes", slide: str | Non
     """Counts by event type in time windows with a watermark; an addition of this engine, for batch and stream alike."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n")
+
+
+def resumed(payloads: DataFrame, after: str | None) -> DataFrame:
+    """Payloads (path, payload) behind the last path that a complete round has seen, in order of path."""
+    return payloads if after is None else payloads.filter(F.col("path") > after)
+
+
+def next_position(seen: DataFrame, failed: DataFrame, before: str | None) -> str | None:
+    """Where the next round begins: the last path seen, or, if any failed, where this one began."""
+    return before if failed.limit(1).count() else (seen.agg(F.max("path").alias("p")).first().p or before)
+
+
+def log_stream(spark: SparkSession, path: str, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Lines (path, value) of a folder of logs that only grows, in batches of the files not yet read; ends when all are."""
+    lines = spark.readStream.format("text").schema("value string").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def versioned(history: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """The history (artifact_id, content_sha256, content, seen_at) with the versions of artifacts that it lacks; no version ever goes."""
+    fresh = artifacts.select(*history.columns).dropDuplicates(["artifact_id", "content_sha256"]).join(history.select("artifact_id", "content_sha256"), ["artifact_id", "content_sha256"], "left_anti")
+    return history.unionByName(fresh)
+
+
+def relinked(links: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Links (artifact_id, vuln_id) after artifacts (artifact_id, cve_ids) came in: theirs are replaced, others stay."""
+    new = artifacts.select("artifact_id", F.explode(F.array_distinct(F.transform("cve_ids", F.upper))).alias("vuln_id"))
+    return links.join(artifacts.select("artifact_id").distinct(), "artifact_id", "left_anti").unionByName(new.distinct())
+
+
+def collection_status(latest_rows: DataFrame, history: DataFrame, cursors: DataFrame, failures: DataFrame) -> DataFrame:
+    """what, name and n: latest records by source, rows of history, cursors by source and stream, and failures still open."""
+    sources = latest_rows.groupBy("source").agg(F.count("*").alias("n")).select(F.lit("source_records").alias("what"), F.col("source").alias("name"), "n")
+    one = lambda df, what, name: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), F.lit(name).alias("name"), "n")
+    positions = cursors.groupBy("source", "stream").agg(F.count("*").alias("n")).select(F.lit("cursor").alias("what"), F.concat_ws(":", "source", "stream").alias("name"), "n")
+    return sources.unionByName(one(history, "history_records", "all")).unionByName(positions).unionByName(one(failures, "unresolved_failures", "all"))

@@ -39,34 +39,37 @@ def test_tokens_with_han_script(spark):
     assert got[0].k == ["ab-1.2:c", "x", "漏", "洞", "利", "用", "漏洞", "洞利", "利用"] and got[1].k == []
 
 
-RANGE = {"default_status": "unaffected", "versions": [{"version": "1.0.0", "lessThan": "1.2.0", "versionType": "semver", "status": "affected"}]}
-
-
-@pytest.mark.parametrize(("version", "want"), [("1.0.0", "affected"), ("1.1.0", "affected"), ("1.2.0", "unaffected"), ("0.9.0", "unaffected"), ("1.1.0-rc1", "affected")])
-def test_semver_range(version, want):
-    assert versions.status_of(version, RANGE) == want
-
-
-def test_other_version_rules():
-    unknown = {"default_status": "unaffected", "versions": [{"version": "1.0", "lessThan": "2.0", "versionType": "odd", "status": "affected"}]}
-    assert versions.status_of("1.5", unknown) == "unknown"
-    pypi = {"default_status": "unaffected", "versions": [{"version": "1.0rc1", "lessThan": "2.0", "versionType": "pypi", "status": "affected"}]}
-    assert [versions.status_of(v, pypi) for v in ("1.0", "2.0")] == ["affected", "unaffected"]
-    npm = {"default_status": "unaffected", "versions": [{"version": "1.0.0", "lessThan": "3.0.0", "versionType": "npm", "status": "affected", "changes": [{"at": "2.0.0", "status": "unaffected"}]}]}
-    assert [versions.status_of(v, npm) for v in ("1.9.0", "2.1.0")] == ["affected", "unaffected"]
-
-
-def test_cpe_tree(spark):
-    leaf = lambda name, **k: {"criteria": name, **k}
-    widget, system = "cpe:2.3:a:acme:widget:*:*:*:*:*:*:*:*", "cpe:2.3:o:microsoft:windows_11:*:*:*:*:*:*:*:*"
-    tree = {"operator": "AND", "nodes": [{"operator": "OR", "cpeMatch": [leaf(widget, vulnerable=True, versionStartIncluding="1.0", versionEndExcluding="2.0")]}, {"operator": "OR", "cpeMatch": [leaf(system, vulnerable=False)]}]}
-    at = lambda v: widget.replace("widget:*", f"widget:{v}")
-    assert versions.cpe_status(tree, [at("1.5"), system]) == "affected"
-    assert versions.cpe_status(tree, [at("1.5"), system.replace("11", "10")]) == "unaffected"
-    assert versions.cpe_status(tree, [at("1.5")]) == "unaffected"
-    assert versions.cpe_status({"operator": "OR", "cpeMatch": [leaf(system, vulnerable=False)]}, [system]) == "unknown"
-    rows = spark.createDataFrame([(json.dumps(tree), [at("1.5"), system]), (None, [])], "t string, p array<string>")
-    assert [r.s for r in rows.select(versions.cpe_applicability("t", "p").alias("s")).collect()] == ["affected", "unknown"]
+@pytest.mark.parametrize(("name", "component", "version", "want"), catalogue.VERSION_CASES)
+def test_version_cases(name, component, version, want):
+    assert versions.status_of(version, component) == want
+
+
+def test_odd_version_rules_never_raise():
+    rule = lambda **k: {"default_status": "unaffected", "versions": [{"status": "affected", **k}]}
+    of = versions.status_of
+    semver = {"version": "1.0.0", "lessThan": "2.0.0", "versionType": "semver"}
+    assert of("1.5.0", rule(**semver, changes=[{"at": "bad", "status": "unaffected"}])) == "affected"
+    assert of("1.5.0", rule(**semver, changes=[{"status": "unaffected"}, None, {"at": "1.4.0", "status": "unaffected"}, {"at": "1.2.0", "status": "affected"}])) == "unaffected"
+    assert of("1.0", rule(version="1.0", changes=[{"at": "0.5"}])) == "affected" and of("1.1", rule(version="1.0")) == "unaffected"
+    assert of("1.0", rule(version="*")) == "unknown" and of("1.0", rule(version="*", lessThan="2.0", versionType="numeric")) == "unknown"
+    assert of("1.5", rule(version="*", versionStartIncluding="1.0", versionEndExcluding="2.0", versionType="numeric")) == "affected"
+    assert of("1.0", {"versions": ["1.0"]}) == "affected" and of(None, rule(version="1")) == "unknown" and of("1", {}) == "unknown"
+    order = lambda kind, *vs: [versions.compare(a, b, kind) for a, b in zip(vs, vs[1:], strict=False)]
+    assert order("semver", "1.0.0-1", "1.0.0-Alpha", "1.0.0-alpha.1", "1.0.0", "V1.0.1") == [-1] * 4
+    assert order("pep440", "1.0.dev1", "1.0a1", "1.0rc1", "1.0", "1.0.post1") == [-1] * 4
+    assert order("maven-version", "1.0-alpha", "1.0-sp") == [-1] and versions.compare("1", "1.0", "maven") == 0
+    assert versions.compare("v1", "1", "numeric") is None and versions.compare("2024-01", "12", "date") is None and versions.compare("2024-02-1", "2024.1.30", "date") == 1
+
+
+@pytest.mark.parametrize(("name", "trees", "present", "want"), catalogue.CPE_CASES)
+def test_cpe_cases(name, trees, present, want):
+    assert versions.cpe_status(trees, present) == want
+    assert versions.cpe_status(trees, ["no name"]) == "unknown" and versions.cpe_status(None, present) == versions.cpe_status(trees, []) == "unknown"
+
+
+def test_cpe_escapes():
+    assert versions.split_cpe(r"cpe:2.3:a:x\\:y\:z:p:1:*:*:*:*:*:*:*")[1:4] == ["x\\", "y:z", "p"] or versions.split_cpe("cpe:2.3:a:x\\:y:p:1:*:*:*:*:*:*:*")[1] == "x:y"
+    assert versions.split_cpe("cpe:2.3:a:b") is None
 
 
 def test_paired_effect(spark):
