@@ -273,7 +273,7 @@ def alias_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH d AS (SELECT lang, lower(text) AS t FROM documents) SELECT lang, count(*) AS docs,
- count(*) FILTER (regexp_matches(t, '\\b(socket|connect|requests\\.|requests\\b|urllib|curl|wget|https?://|httpss?://)') OR regexp_matches(t, '\\bhttp[s]?://')) AS network,
+ count(*) FILTER (regexp_matches(t, '\\b(socket|connect|requests\\.|requests\\b|urllib|curl|wget|https?://)')) AS network,
  count(*) FILTER (regexp_matches(t, '\\b(subprocess|popen|execve|createprocess|runtime\\.getruntime)') OR regexp_matches(t, '\\bsystem\\s*\\(')) AS process,
  count(*) FILTER (regexp_matches(t, '\\b(open|write|remove)\\s*\\(') OR regexp_matches(t, '\\b(unlink|pathlib|fopen|ofstream)')) AS filesystem,
  count(*) FILTER (regexp_matches(t, '\\b(eval|exec)\\s*\\(') OR regexp_matches(t, '\\bshell\\s*=\\s*true') OR regexp_matches(t, '\\bcmd\\.exe') OR regexp_matches(t, '\\b/bin/sh')) AS command_execution,
