@@ -26,7 +26,11 @@ LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-MENTION = re.compile(r"[^\s@]{0,64}@[^\s@]{0,255}|\+?\(?[0-9](?:[ ().-]{0,2}[0-9])*+")
+MENTION = re.compile(r"(?<![^\s@])[^\s@]*+@[^\s@]*+|\+?\(?[0-9](?:[ ().-]{0,2}[0-9])*+")
+#: One number of a row of numbers.
+NUMBER = re.compile(r"[0-9](?:[().-]{0,2}[0-9])*+")
+#: What skip links are taken to show before any is counted: so many that agree in each label, and that differ in each pair.
+AGREE, DIFFER = 2.5, 0.05
 MAYBE = re.compile(r"[0-9@]")
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
@@ -79,7 +83,8 @@ class Field:
 
 
 def field_of(text: str, base: list[Span]) -> Field:
-    """Nodes are number-like and address-like mentions. Neighbours form the chain; a skip link joins a mention to the next one of the same or a similar form.
+    """Nodes are number-like and address-like mentions; a row of more digits than any number has counts as its numbers. Neighbours form
+    the chain; a skip link joins a mention to the next one of the same or a similar form.
 
     Forms: an address in lower case, or a number's digits; similar: the last nine digits. Linking each to the next keeps
     links linear in mentions, and messages pass along them.
@@ -88,26 +93,38 @@ def field_of(text: str, base: list[Span]) -> Field:
     spans = sorted((s, e, k) for k, s, e in base)
     latest: dict[str, int] = {}
     at = 0
-    for m in MENTION.finditer(text):
-        i, (start, end) = len(out.spans), m.span()
+    for start, end in mentions(text):
+        i, own = len(out.spans), text[start:end]
         while at < len(spans) and spans[at][1] <= start:
             at += 1
-        over = [k for s, e, k in spans[at : at + 4] if s < end and e > start]
-        digits = re.sub(r"[^0-9]", "", m[0])
-        mail = "@" in m[0]
+        over, j = -1, at
+        while over < 0 and j < len(spans) and spans[j][0] < end:
+            over = spans[j][2] if spans[j][1] > start else -1
+            j += 1
+        digits = re.sub(r"[^0-9]", "", own)
+        mail = "@" in own
         out.spans.append((start, end))
-        out.known.append(over[0] if over else -1)
-        marks = "".join(c for c in "().- " if c in m[0])
-        out.signs.append("@" if mail else f"{min(len(digits), 20)}{marks}{'L' * (13 <= len(digits) <= 19 and luhn(digits))}")
+        out.known.append(over)
+        marks = "".join(c for c in "().- " if c in own)
+        local, _, domain = own.partition("@")
+        out.signs.append(f"@{'l' * bool(local)}{'d' * ('.' in domain.strip('.,;:'))}" if mail else f"{min(len(digits), 20)}{marks}{'L' * (13 <= len(digits) <= 19 and luhn(digits))}")
         if i:
             out.chain.append((i - 1, i))
-        forms = [m[0].strip(".,;:!?()<>\"'").lower()] if mail else [digits, digits[-9:]] if 9 <= len(digits) <= 19 else []
+        forms = [own.strip(".,;:!?()<>\"'").lower()] if mail else [digits, digits[-9:]] if 9 <= len(digits) <= 19 else []
         for j in sorted({latest[f] for f in forms if f in latest}):
             out.skip.append((j, i))
         latest.update(dict.fromkeys(forms, i))
     return out
 
 
+def mentions(text: str) -> Iterator[tuple[int, int]]:
+    for m in MENTION.finditer(text):
+        if "@" not in m[0] and sum("0" <= c <= "9" for c in m[0]) > 19:
+            yield from (x.span() for x in NUMBER.finditer(text, *m.span()))
+        else:
+            yield m.span()
+
+
 def tally(texts: list[str | None]) -> Counter:
     """Counts that the potentials are made of: labels by sign, and label pairs by kind of link, where both ends are labelled by base spans or by none."""
     out: Counter = Counter()
@@ -132,9 +149,9 @@ class Potentials:
 
 
 def potentials(counts: list[tuple[str, str, int, int, int]]) -> Potentials:
-    """From counts over all texts: smoothed label shares of each sign; for the chain, how much more often two labels meet than by chance; for skip links, the log odds of agreeing."""
+    """From counts over all texts: smoothed label shares of each sign, which are the likeliest weights for one feature per sign; for the chain, how much more often two labels meet than by chance; for skip links, the log odds of agreeing."""
     signs: dict[str, np.ndarray] = {}
-    pairs = {"chain": np.ones((LABELS, LABELS)), "skip": np.full((LABELS, LABELS), 0.05)}
+    pairs = {"chain": np.ones((LABELS, LABELS)), "skip": np.full((LABELS, LABELS), DIFFER) + AGREE * np.eye(LABELS)}
     for kind, sign, a, b, n in counts:
         if kind == "sign":
             signs.setdefault(sign, np.full(LABELS, 0.5))[a] += n
@@ -145,7 +162,7 @@ def potentials(counts: list[tuple[str, str, int, int, int]]) -> Potentials:
     skip = pairs["skip"]
     agree = np.trace(skip[:OTHER, :OTHER])
     odds = float(np.log(agree / (skip[:OTHER, :OTHER].sum() - agree)))
-    return Potentials({s: np.log(v / v.sum()) for s, v in signs.items()}, np.clip(0.5 * (chain + chain.T), -2, 2), np.eye(LABELS) * min(8.0, max(4.0, odds)), np.log(np.where(np.arange(LABELS) == OTHER, 0.5, 0.5 / OTHER)))
+    return Potentials({s: np.log(v / v.sum()) for s, v in signs.items()}, np.clip(0.5 * (chain + chain.T), -2, 2), np.eye(LABELS) * np.clip(odds, 0.0, 8.0), np.log(np.where(np.arange(LABELS) == OTHER, 0.5, 0.5 / OTHER)))
 
 
 def marginals(f: Field, p: Potentials, rounds: int = 60, damping: float = 0.3) -> np.ndarray:
@@ -177,35 +194,20 @@ def marginals(f: Field, p: Potentials, rounds: int = 60, damping: float = 0.3) -
     return np.exp(belief - np.logaddexp.reduce(belief, axis=1, keepdims=True))
 
 
-def reached(f: Field) -> set[int]:
-    """Mentions that a path of skip links joins with a labelled one."""
-    near: dict[int, list[int]] = {}
-    for a, b in f.skip:
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    todo = [i for i, k in enumerate(f.known) if k >= 0 and k != OTHER]
-    out = set(todo)
-    while todo:
-        fresh = set(near.get(todo.pop(), ())) - out
-        out |= fresh
-        todo += fresh
-    return out
-
-
 def all_spans(text: str, p: Potentials, sure: float = 0.9) -> tuple[list[Span], list[Span]]:
-    """Base spans, and those that the field adds: free mentions that a path of skip links joins with a labelled one and whose label is some kind with at least that probability."""
+    """Base spans, and those that the field adds: free mentions with a skip link whose label is some kind with at least that probability.
+
+    A mention that no other resembles gets no span, whatever else stands in the text; those that do share what they show.
+    """
+    if not MAYBE.search(text):
+        return [], []
     base = base_spans(text)
-    if not base:
-        return base, []
     f = field_of(text, base)
-    if all(k >= 0 for k in f.known):
-        return base, []
-    linked = reached(f)
-    if all(k >= 0 or i not in linked for i, k in enumerate(f.known)):
+    linked = {i for link in f.skip for i in link}
+    if all(f.known[i] >= 0 for i in linked):
         return base, []
     m = marginals(f, p)
-    added = [(int(y), *f.spans[i]) for i, y in enumerate(m.argmax(axis=1)) if f.known[i] < 0 and i in linked and y != OTHER and m[i, y] >= sure]
-    return base, added
+    return base, [(int(y), *f.spans[i]) for i, y in enumerate(m.argmax(axis=1)) if i in linked and f.known[i] < 0 and y != OTHER and m[i, y] >= sure]
 
 
 def train(docs: DataFrame, text: str = "text") -> Potentials:
@@ -230,8 +232,8 @@ def written(spans: list[Span]) -> str:
 def find_pii(docs: DataFrame, model: Potentials | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Spans of every row as kind:start:end in code points; n_added of them come from the field.
 
-    Null or empty text: no spans, the hash of an empty string. Null keys stay null; repeated rows give a row each; other
-    columns are ignored; an empty table gives no rows.
+    Null or empty text: no spans, the hash of an empty string. A text of any length is one field, whose nodes and links grow with its mentions. A
+    tie between labels goes to the first kind. Null keys stay null; repeated rows give a row each; other columns are ignored; an empty table gives no rows.
     """
     p = model or train(docs, text)
 
@@ -261,7 +263,10 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def mask_pii(docs: DataFrame, model: Potentials | None = None) -> DataFrame:
-    """docs with personal data in text replaced and n_chars, if there, made to fit; null text stays null."""
+    """docs with personal data in text replaced and n_chars, if there, made to fit.
+
+    Null and empty texts stay as they are; texts of any length are read whole; null keys, repeated rows and other columns stay; an empty table gives none.
+    """
     p = model or train(docs)
     names = docs.columns
     place, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
