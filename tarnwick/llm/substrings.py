@@ -54,7 +54,7 @@ def contexts_of(data: np.ndarray, offsets: np.ndarray, length: int) -> Contexts:
     if len(data) < length:
         return Contexts(e, e, e, e, e, e)
     grams = rolling.of(starts, starts + GRAM)
-    bits = U64(max(1, int(len(data)).bit_length()))
+    bits = U64(32)  # of the place; as many of the hash decide, in every piece alike, so that equal windows choose alike
     least = ((grams >> bits) << bits) | starts.astype(U64)
     span = 1
     while span * 2 <= reach:
