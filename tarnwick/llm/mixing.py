@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tarnwick.runtime import materialize, ship, table
 
-from .rows import PART, with_part
+from .rows import PART, shielded, with_part
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
 COPIES = 3
-#: Virtual-time bins up to time 1.
-BINS = 4096
+#: Rows that a range of the hash, and copies that a bin of virtual time, hold on average; numbers of both grow with the input.
+RANGE_ROWS, BIN_ROWS = 65_536, 250_000
 
 
 def n_words(text: str) -> Column:
@@ -46,16 +48,20 @@ def fair_queue(docs: DataFrame, copies: int = COPIES, seed: str = "mix", key: st
     Each source shuffles its rows by md5 of seed, source and key. A row's copy number e (from 0) finishes at virtual time
     (e * source_size + words of its source up to and with it) / target. Copies are taken in the order of that time, ties
     by source, then place, until the total budget, the sum of all sizes, is spent: the first copy that would pass it and
-    all later ones stay out. No source is windowed or sorted as a whole: rows fall into 4096 ranges of the hash, each
-    range starts from the sum of those before it, and only the virtual-time bin in which the budget ends is sorted.
+    all later ones stay out. No source is windowed or sorted as a whole: rows fall into ranges of the hash, each
+    range starts from the sum of those before it, and only the virtual-time bin in which the budget ends is sorted. Both numbers grow with the rows.
 
-    Null text has size 0 and takes 0 words. Null source is a source of its own, the last. Null keys order first. Rows
+    Texts of any length are counted whole. Null text has size 0 and takes 0 words. Null source is a source of its own, the last. Null keys order first. Rows
     that repeat wholly are interchangeable. With no words at all every target is 0; an empty table gives no rows. Other
     columns are ignored.
     """
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(f"`{text}`").alias("size"), (F.col(tie).cast("long") if tie else F.lit(0).cast("long")).alias("tie"))
     h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    d = materialize(d.withColumn("h", h).withColumn("range", F.substring("h", 1, 3)), "mix-sizes")
+    d = materialize(d.withColumn("h", h), "mix-sizes")
+    rows = d.count()
+    digits = max(3, math.ceil(math.log(max(1, rows) / RANGE_ROWS, 16)))
+    bins_to_1 = max(4096, copies * rows // BIN_ROWS)
+    d = d.withColumn("range", F.substring("h", 1, digits))
     sums = d.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     targets = source_targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), copies)
@@ -66,21 +72,25 @@ def fair_queue(docs: DataFrame, copies: int = COPIES, seed: str = "mix", key: st
     d = materialize(d.withColumn("cum", F.col("start") + F.sum("size").over(inside)).select("doc_id", "size", "tie", "source_no", "source_size", "target", "total", "cum"), "mix-order")
 
     finish = F.array(*[(e * F.col("source_size") + F.col("cum")).cast("double") / F.col("target") for e in range(copies)])
-    copied = d.filter("size > 0").select("source_no", "cum", "size", "total", F.posexplode(finish).alias("copy", "finish")).withColumn("bin", F.floor(F.least("finish", F.lit(4.0)) * BINS))
+    copied = d.filter("size > 0").select("source_no", "cum", "size", "total", F.posexplode(finish).alias("copy", "finish")).withColumn("bin", F.floor(F.least("finish", F.lit(4.0)) * bins_to_1))
     bins = copied.groupBy("bin").agg(F.sum("size").alias("bin_size"), F.first("total").alias("total")).withColumn("to", F.sum("bin_size").over(W.orderBy("bin")))
     edge = bins.filter(F.col("to") > F.col("total")).agg(F.min(F.struct("bin", (F.col("to") - F.col("bin_size")).alias("spent"))).alias("edge"))
     edge = edge.select(F.coalesce("edge.bin", F.lit(2**40)).alias("edge_bin"), F.coalesce("edge.spent", F.lit(0)).alias("spent"))
     order = W.orderBy("finish", "source_no", "cum", "copy").rowsBetween(W.unboundedPreceding, 0)
     last = copied.join(F.broadcast(edge), F.col("bin") == F.col("edge_bin")).withColumn("spent", F.col("spent") + F.sum("size").over(order)).filter("spent <= total")
     last = last.groupBy("source_no", "cum").agg(F.count("*").alias("more"))
-    whole = sum((F.when(F.floor(F.least(finish[e], F.lit(4.0)) * BINS) < F.col("edge_bin"), 1).otherwise(0) for e in range(copies)), F.lit(0))
+    whole = sum((F.when(F.floor(F.least(finish[e], F.lit(4.0)) * bins_to_1) < F.col("edge_bin"), 1).otherwise(0) for e in range(copies)), F.lit(0))
     d = d.crossJoin(F.broadcast(edge)).withColumn("whole", F.when((F.col("size") > 0), whole).otherwise(0)).join(last, ["source_no", "cum"], "left")
     taken = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("more", F.lit(0))).otherwise(0).cast("long")
     return d.select("doc_id", "size", "source_size", "target", (taken * F.col("size")).alias("taken"), taken.alias("copies"), *(["tie"] if tie else []))
 
 
+@shielded
 def mixed(docs: DataFrame, copies: int = COPIES) -> DataFrame:
-    """docs with each row as often as the mix takes it, all columns kept."""
+    """docs with each row as often as the mix takes it, all columns kept.
+
+    Rows without words are not taken. Null keys and sources, and rows that share a key, are told apart by their texts and count each; an empty table gives none.
+    """
     d = with_part(docs, "doc_id", "text")
     plan = fair_queue(d, copies, tie=PART).filter("copies > 0").select(F.col("doc_id").alias("tw_id"), F.col("tie").alias("tw_tie"), F.col("copies").alias("tw_copies"))
     out = d.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("tw_id")) & (F.col(PART) == F.col("tw_tie")))
