@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwick.operators.graph import components
 from tarnwick.runtime import materialize, ship, table
 
 from .bytetext import U64, give_back, lowered, mix, pieces, text_bytes, tidied, word_hashes, words_of
-from .components import components
+from .rows import shielded
 
 ROW = "tw_row"
 
@@ -303,7 +304,7 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), text: st
     is not in one component are for their own. The union of a block of members bounds a query's overlap with any; only a block that
     reaches the bound is opened. 4. All links found give the components.
 
-    Null or empty text, or one without words: no shingles, its own component. A null key takes part in no links and its
+    Texts of any length are read whole. Null or empty text, or one without words: no shingles, its own component. A null key takes part in no links and its
     component is null. Rows that share a key count as one: a link of either joins both. Other columns are ignored; an empty table gives none.
     """
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -347,11 +348,12 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), text: st
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("n0"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+@shielded
 def one_of_each(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     """One row of docs of each component: that of the least key, then the least hash of its text; null keys come last.
 
     Rows are told apart by a number of their own where keys repeat or are null, so that only what a row's text links to counts. A row
-    without words, which links to none, stays.
+    without words, which links to none, stays. Texts of any length are read whole; other columns stay; an empty table gives none.
     """
     key = F.col("doc_id").cast("long")
     if docs.groupBy(key.alias("k")).count().filter("count > 1 or k is null").limit(1).count() == 0:

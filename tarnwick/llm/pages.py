@@ -208,7 +208,7 @@ def extract_text(pages: DataFrame, rules: TemplateRules = TemplateRules(), most_
     """page_id, url, text and n_chars of every row.
 
     A host's template goes to its pages by broadcast while all templates fit most_broadcast bytes, else by a join on the host, whose
-    large partitions Spark splits. Null or empty html: empty text. Pages without a host share one. A null key stays null; repeated rows
+    large partitions Spark splits. Null or empty html: empty text. Html of any length is read whole, one page at a time. Pages without a host share one. A null key stays null; repeated rows
     give a row each; other columns are ignored; an empty table gives no rows.
     """
     p = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))

@@ -176,7 +176,7 @@ def score_texts(docs: DataFrame, held_out: Column, model: PpmModel = PpmModel(),
     holds depends on the block's size only, and what is gathered grows with the texts. The code length adapts to nothing at scoring: it is
     the trained model's. base_score is that of smoothed counts of the training texts' lower-cased words, of which each text's end is one.
 
-    Null or empty text: its end is its only token and symbol. A null key stays null. Repeated rows are scored, and learnt from, each. Other
+    Null or empty text: its end is its only token and symbol. A text of any length is scored whole; one longer than a piece is a piece of its own. A null key stays null. Repeated rows are scored, and learnt from, each. Other
     columns are ignored; with no training text every probability is uniform; an empty table gives no rows.
     """
     if not 1 <= model.order <= 6:

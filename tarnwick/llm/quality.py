@@ -84,7 +84,7 @@ def quality_rules(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), t
 
     base_failed: fewer than 50 words, or over half of the words in repeated three-word windows. kept: not base_failed,
     and repeats of least_words or more cover at most most_covered of the word characters, the longest at most
-    longest_words. Null or empty text: zero figures, base_failed. A null key stays null; repeated rows give one row each;
+    longest_words. Null or empty text: zero figures, base_failed. A text of any length is judged whole; its arrays are what a task holds. A null key stays null; repeated rows give one row each;
     other columns are ignored; an empty table gives none.
     """
 
@@ -100,7 +100,10 @@ def quality_rules(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), t
 
 
 def keep_clean(docs: DataFrame, rules: RepetitionRules = RepetitionRules()) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns; judged and filtered in the same pass."""
+    """The rows of docs that the rules keep, with all their columns; judged and filtered in the same pass.
+
+    Null, empty and short texts go; texts of any length are judged whole; null keys and repeated rows are judged each; an empty table gives none.
+    """
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -193,7 +193,7 @@ def tokenizer_path(name: str) -> str:
 def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 1024, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row, in one pass without a shuffle.
 
-    Counts equal the library's for the whole text. Null or empty text: 0 bytes, 0 tokens, not over the limit. Null keys
+    Counts equal the library's for the whole text, however long. Null or empty text: 0 bytes, 0 tokens, not over the limit. Null keys
     stay null, repeated rows give a row each, other columns are ignored, an empty table gives no rows.
     """
 

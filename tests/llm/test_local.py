@@ -47,6 +47,44 @@ def test_quality_verdicts():
     assert (m["n_words"][0], m["n_dup_lines"][0], m["n_symbols"][0]) == (6, 1, 1)
 
 
+def test_quality_figures_against_plain_counts():
+    rng = random.Random(9)
+    for _ in range(150):
+        lines = [" ".join(rng.choice("abcd") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 14))) for _ in range(rng.randrange(1, 8))]
+        text = "\n".join(lines + rng.choices(lines, k=2)) + rng.choice(["", " $#", "\t*"])
+        rules = quality.RepetitionRules(least_words=rng.choice([2, 4, 8]))
+        m, failed, kept = quality.verdicts([text], rules)
+        w = text.split()
+        seen, repeated = {}, [False] * len(w)
+        for i in range(len(w) - 2):
+            seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+        for at in seen.values():
+            for i in at if len(at) > 1 else ():
+                repeated[i : i + 3] = [True] * 3
+        longest = [max((n for j in range(len(w)) if j != i for n in [next((k for k in range(len(w)) if i + k >= len(w) or j + k >= len(w) or w[i + k] != w[j + k]), len(w))]), default=0) for i in range(len(w))]
+        cover = [False] * len(w)
+        for i, n in enumerate(longest):
+            if n >= rules.least_words:
+                cover[i : i + n] = [True] * n
+        split = text.split("\n")
+        assert (m["n_words"][0], m["word_chars"][0], m["n_repeat_words"][0]) == (len(w), sum(map(len, w)), sum(repeated))
+        assert m["n_dup_lines"][0] == sum(1 for i, x in enumerate(split) if x.split() and x in split[:i]) and m["n_symbols"][0] == sum(c in "#*$%&|<>" for c in text)
+        chars, most = sum(len(x) for x, c in zip(w, cover, strict=True) if c), max((n for n in longest if n >= rules.least_words), default=0)
+        assert (m["repeat_chars"][0], m["longest_repeat_words"][0]) == (chars, most)
+        bad = len(w) < 50 or 100 * sum(repeated) > 50 * len(w)
+        assert failed[0] == bad and kept[0] == (not bad and chars <= rules.most_covered * sum(map(len, w)) and most <= rules.longest_words)
+
+
+def test_packed_ids_are_the_library_s():
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(path("byte_bpe_50k.json"))
+    from tarnwick.llm.packing import encoder
+
+    rng = random.Random(11)
+    texts = ["", "<|endoftext|>", "a<|endoftext|> b", "it's I'd 'S", "\x00\x1f\x85 a", "🙂🙃 é", "-" * 500, " " * 40 + "x"] + ["".join(rng.choices("ab cd'\n\t 12é日 🙂.,!<|>", k=rng.choice([5, 50, 500]))) for _ in range(300)]
+    encode = encoder("byte_bpe_50k.tiktoken")
+    assert [encode(t) for t in texts] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_pii_base_against_patterns():
     rng = random.Random(2)
 
@@ -71,11 +109,36 @@ def test_field_carries_a_label_to_a_repeated_mention():
     assert pii.all_spans("room 504-555-2652 and 12", p) == ([], [])
 
 
-def test_field_leaves_mentions_that_are_not_linked():
-    p = pii.potentials([(*k, n) for k, n in pii.tally(["write to ann@example.com or bob@example.org"] * 200).items()])
+def test_field_finds_what_repeats_and_leaves_what_does_not():
+    card = "4465758382889437"
+    p = pii.potentials([(*k, n) for k, n in pii.tally([f"paid by {card} to us"] * 40 + ["number 9870157079875996 here"] * 40 + ["write to ann@example.com or bob@example.org"] * 200).items()])
+    t = f"ramiar, {card} {card} then"
+    assert pii.base_spans(t) == [] and [(k, t[s:e]) for k, s, e in pii.all_spans(t, p)[1]] == [(2, card)] * 2
+    assert pii.all_spans("9870157079875996 and 9870157079875996", p) == ([], [])
     t = "ann@example.com wrote to user@host"
     base, added = pii.all_spans(t, p)
     assert [t[s:e] for _, s, e in base] == ["ann@example.com"] and added == []
+    long = "1 " * 50_000 + "a" * 100_000 + " " + "b@" * 20_000
+    assert len(list(pii.mentions(long))) > 50_000 and pii.all_spans(long, p)[1] == []
+
+
+def test_marginals_against_all_labellings():
+    from itertools import product
+
+    rng = np.random.default_rng(7)
+    for loops in (False, True):
+        for _ in range(30):
+            n = int(rng.integers(2, 6))
+            chain = [(i - 1, i) for i in range(1, n)]
+            skip = [(0, n - 1)] if loops and n > 2 else []
+            f = pii.Field([(i, i + 1) for i in range(n)], ["s%d" % i for i in range(n)], [-1] * n, chain, skip)
+            p = pii.Potentials({f"s{i}": np.log(rng.dirichlet(np.ones(pii.LABELS))) for i in range(n)}, 0.5 * rng.normal(size=(pii.LABELS, pii.LABELS)), np.eye(pii.LABELS), np.zeros(pii.LABELS))
+            want = np.zeros((n, pii.LABELS))
+            for y in product(range(pii.LABELS), repeat=n):
+                w = np.exp(sum(p.unary[f"s{i}"][y[i]] for i in range(n)) + sum(p.chain[y[a], y[b]] for a, b in chain) + sum(p.skip[y[a], y[b]] for a, b in skip))
+                want[range(n), y] += w
+            want /= want.sum(axis=1, keepdims=True)
+            assert np.abs(pii.marginals(f, p) - want).max() < (0.08 if skip else 1e-3)
 
 
 def test_token_counts_equal_the_library(monkeypatch):
