@@ -16,31 +16,31 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep."""
+    """Documents that the repetition rules keep. Null, empty and short texts go, repeated rows and null keys are judged each, an empty table stays empty."""
     ship(spark)
     return keep_clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least key, of each group linked by 0.8 of their five-word shingles."""
+    """One document, that of the least key, of each group linked by 0.8 of their five-word shingles. Texts without words link to none and stay, null keys come last, rows of one key are told apart, an empty table stays empty."""
     ship(spark)
     return one_of_each(docs, JoinRules(words=5, percent=80))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked in their texts."""
+    """Documents with personal data masked in their texts. Null and empty texts, null keys and repeated rows stay as they are, an empty table stays empty."""
     ship(spark)
     return mask_pii(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it. Texts without words are not taken, a null source is one, rows of one key count each, an empty table stays empty."""
     ship(spark)
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, placed in sequences."""
+    """Pieces of documents, placed in sequences. Null and empty texts are documents of the end id, null keys stay null, rows are packed each, an empty table gives no pieces."""
     ship(spark)
     return pack(docs)
 
