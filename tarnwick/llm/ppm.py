@@ -121,13 +121,13 @@ def gathered(model: PpmModel):
 
 
 def trie_log10(grams: DataFrame, order: int) -> DataFrame:
-    """code and log10 probability of its symbol after its context, from grams (code, c: a part of its training count).
+    """code and log10 probability of its symbol after its context, from grams (code, c: training count).
 
     Escapes follow method C: a context that saw d different symbols n times escapes with d / (n + d). A shorter context then leaves
     out the symbols of the longer one. These are its own as well, so their total there (t) and number take the place of a list.
     Unseen contexts pass on without cost; below the empty context all symbols not seen there are alike.
     """
-    counts = {order: grams.groupBy(F.col("code").alias("x")).agg(F.sum("c").alias("c"))}
+    counts = {order: grams.select(F.col("code").alias("x"), "c")}
     for k in reversed(range(order)):
         counts[k] = counts[k + 1].groupBy(F.col("x").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("x")).agg(F.sum("c").alias("c"))
     whole = lambda gone, known: (F.col("n") - gone + F.col("d") - known).cast("double")
@@ -186,18 +186,19 @@ def score_texts(docs: DataFrame, held_out: Column, model: PpmModel = PpmModel(),
     d = placed_texts(docs, held_out, blocks, text, key)
     # small partitions are read together, so that a task's distinct codes stay far fewer than its bytes
     parts = d.select("block", "held_out", "text").coalesce(int(1 + size // (model.block_bytes // 8))).mapInArrow(tidied(gathered(model)), "code long, block int, c long")
-    # a code's blocks are listed in bands, so that no list grows with the number of blocks
-    band = F.pmod("block", F.lit(-(-blocks // BAND)))
-    sums = materialize(parts.groupBy("code", band.alias("band")).agg(F.sum("c").alias("c"), F.collect_set("block").alias("blocks")).drop("band"), "ppm-sums")
-    words = sums.filter(F.col("code") >= WORD_BIT).groupBy("code").agg(F.sum("c").alias("c"), (F.sum(F.size("blocks")) > 1).alias("several"))
-    words = materialize(words, "ppm-words")
-    total = words.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
+    # a code's blocks are listed in bands, so that no list grows with the number of blocks; all of a code meets in one exchange
+    band, same = F.pmod("block", F.lit(-(-blocks // BAND))), W.partitionBy("code")
+    listed = parts.repartition("code").groupBy("code", band.alias("band")).agg(F.sum("c").alias("part"), F.collect_set("block").alias("blocks"))
+    listed = listed.withColumn("c", F.sum("part").over(same)).withColumn("places", F.sum(F.size("blocks")).over(same)).withColumn("nth", F.row_number().over(same.orderBy("band")))
+    sums = materialize(listed.select("code", "c", "blocks", (F.col("places") > 1).alias("several"), (F.col("nth") == 1).alias("head")), "ppm-sums")
+    words = sums.filter(F.col("code") >= WORD_BIT)
+    total = words.filter("head").agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     n, v = total.n or 0, total.v or 0
     own = sums.filter(F.col("code") < WORD_BIT)
-    values = trie_log10(own.select("code", "c"), model.order).withColumnRenamed("code", "x")
+    values = trie_log10(own.filter("head").select("code", "c"), model.order).withColumnRenamed("code", "x")
     grams = own.select("code", "blocks").join(values, F.col("code") == F.col("x")).select(F.explode("blocks").alias("b"), "code", "value")
     # a word of one block only is counted there
-    shared = sums.filter(F.col("code") >= WORD_BIT).select("code", "blocks").join(words.filter("several").select("code", "c"), "code").select(F.explode("blocks").alias("b"), "code", F.col("c").cast("double").alias("value"))
+    shared = words.filter("several").select(F.explode("blocks").alias("b"), "code", F.col("c").cast("double").alias("value"))
     part = grams.unionByName(shared)
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
