@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnwick.runtime import ship, table
 
+from .bytetext import tidied
 from .tokens import PATTERN, tokenizer_path
 
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -214,7 +215,7 @@ def pack(docs: DataFrame, limits: Limits = Limits(), vocabulary: str = "byte_bpe
         yield flush()
 
     chosen = docs.selectExpr(f"cast(`{key}` as long) doc_id", f"cast(`{text}` as string) text", f"cast(`{prompt}` as long) prompt" if prompt else "0L prompt")
-    return chosen.mapInArrow(run, RESULT + ", ids array<long>" * with_ids)
+    return chosen.mapInArrow(tidied(run), RESULT + ", ids array<long>" * with_ids)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tarnwick.runtime import ship, table
 
+from .bytetext import tidied
+
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 LABELS = len(KINDS) + 1
@@ -221,7 +223,7 @@ def train(docs: DataFrame, text: str = "text") -> Potentials:
         types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["kind", "sign", "a", "b", "n"])
 
-    parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "kind string, sign string, a long, b long, n long")
+    parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), "kind string, sign string, a long, b long, n long")
     return potentials([tuple(r) for r in parts.groupBy("kind", "sign", "a", "b").agg(F.sum("n").alias("n")).collect()])
 
 
@@ -249,7 +251,7 @@ def find_pii(docs: DataFrame, model: Potentials | None = None, text: str = "text
             names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names)
 
-    return docs.selectExpr(f"cast(`{key}` as long) doc_id", f"cast(`{text}` as string) text").mapInArrow(run, RESULT)
+    return docs.selectExpr(f"cast(`{key}` as long) doc_id", f"cast(`{text}` as string) text").mapInArrow(tidied(run), RESULT)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -281,7 +283,7 @@ def mask_pii(docs: DataFrame, model: Potentials | None = None) -> DataFrame:
                 columns[chars] = pa.array([n if a == b else len(b) for n, a, b in zip(columns[chars].to_pylist(), old, new, strict=True)], batch.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

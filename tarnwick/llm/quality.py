@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnwick.runtime import ship, table
 
+from .bytetext import tidied
 from .suffixes import covered, repeat_lengths, suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,7 +97,7 @@ def quality_rules(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), t
                 columns = [part.column(0), *(pa.array(m[k]) for k in names), pa.array(failed), pa.array(kept), pa.array(m["repeat_chars"]), pa.array(m["longest_repeat_words"])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names, "base_failed", "kept", "repeat_chars", "longest_repeat_words"])
 
-    return docs.selectExpr(f"cast(`{key}` as long) doc_id", f"cast(`{text}` as string) text").mapInArrow(run, RESULT)
+    return docs.selectExpr(f"cast(`{key}` as long) doc_id", f"cast(`{text}` as string) text").mapInArrow(tidied(run), RESULT)
 
 
 def keep_clean(docs: DataFrame, rules: RepetitionRules = RepetitionRules()) -> DataFrame:
@@ -111,7 +112,7 @@ def keep_clean(docs: DataFrame, rules: RepetitionRules = RepetitionRules()) -> D
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 yield part.filter(pa.array(verdicts(part.column(place).to_pylist(), rules)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnwick.runtime import ship, table
 
+from .bytetext import tidied
+
 # Fixed values of the byte-level splitter.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A cut before a blank that follows a non-blank and precedes one is a pretoken boundary, whatever stands around.
@@ -205,7 +207,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
             size = np.fromiter((len(t.encode()) if t else 0 for t in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.selectExpr(f"cast(`{key}` as long) doc_id", f"cast(`{text}` as string) text").mapInArrow(run, RESULT)
+    return docs.selectExpr(f"cast(`{key}` as long) doc_id", f"cast(`{text}` as string) text").mapInArrow(tidied(run), RESULT)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
