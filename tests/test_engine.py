@@ -68,7 +68,8 @@ def test_cpe_cases(name, trees, present, want):
 
 
 def test_cpe_escapes():
-    assert versions.split_cpe(r"cpe:2.3:a:x\\:y\:z:p:1:*:*:*:*:*:*:*")[1:4] == ["x\\", "y:z", "p"] or versions.split_cpe("cpe:2.3:a:x\\:y:p:1:*:*:*:*:*:*:*")[1] == "x:y"
+    assert versions.split_cpe(r"cpe:2.3:a:x\\:y\:z:1:*:*:*:*:*:*:*")[:4] == ["a", "x\\", "y:z", "1"]
+    assert versions.split_cpe(r"cpe:2.3:a:x\:y:p:1:*:*:*:*:*:*:*")[1] == "x:y"
     assert versions.split_cpe("cpe:2.3:a:b") is None
 
 
