@@ -194,6 +194,42 @@ def test_pages(spark):
     assert pages.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_pages_main_slot_without_marks(spark):
+    """No element or word tells the article: the slot that the template of the host's pages leaves open does; other hosts and layouts keep theirs."""
+    page = '<html><body><div class="q1"><p>Stay {0}</div><div class="q2"><h1>Title {0}</h1><p>first of {0}, quite long as it goes on<p>{1}</div><div class="q3">say {0}</div></body></html>'
+    more = ["", "and on", "and on<p>and so on"]
+    data = [(i, "http://a.example/x", page.format(i, more[i % 3])) for i in range(12)]
+    data += [(50, "http://a.example/x", "<html><body><section>another layout</section></body></html>"), (51, "http://b.example", page.format(51, ""))]
+    got = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i].split("\n") == [x for x in (f"Title {i}", f"first of {i}, quite long as it goes on", *more[i % 3].split("<p>")) if x]
+    assert got[50] == "another layout" and got[51].startswith("Stay 51\n")
+
+
+def test_templates_against_occurrence_vectors(spark):
+    rng = random.Random(5)
+    kinds = ["<div class=a><p>{0}</div>", "<div class=b>same</div>", "<ul><li>{0}<li>x</ul>", "<div class=c><h1>{0}</h1><div class=d>{0} {0} {0} {0} {0}</div></div>", "<hr><p>{0}"]
+    data = []
+    for i in range(60):
+        inner = "".join(kinds[j].format(f"w{i}" * rng.randint(1, 5)) for j in rng.sample(range(5), 5) if rng.random() < 0.8)
+        data.append((i, f"http://h{i % 3}.example/p", f"<html><body>{inner}</body></html>" if i % 20 else None))
+    rules = pages.TemplateRules()
+    got = {r.host: r for r in pages.deduce_templates(spark.createDataFrame(data, "page_id long, url string, html string"), rules).collect()}
+    for h in range(3):
+        own = [pages.occurrences(html) if html else {0: [1, 0, 0, 0]} for i, _, html in data if i % 3 == h]
+        vectors = {t: tuple(p.get(t, [0])[0] for p in own) for p in own for t in p if t}
+        classes = {}
+        for t, v in vectors.items():
+            classes.setdefault(v, []).append(t)
+        on = {t: sum(x > 0 for x in v) for t, v in vectors.items()}
+        valid = {t for v, c in classes.items() if len(c) >= rules.tokens for t in c if on[t] >= max(rules.pages, rules.share * len(own))}
+        row = got[f"h{h}.example"]
+        assert set(row.template) == valid and dict(zip(row.template, row.spread, strict=True)) == {t: on[t] for t in valid}
+        held = lambda t, i: sum(p[t][i] for p in own if t in p)
+        mains = [(held(t, 1), -max(p[t][3] for p in own if t in p), t) for t in valid if max(vectors[t]) == 1 and 2 * held(t, 1) > held(0, 1) and 2 * held(t, 2) > held(0, 2)]
+        assert mains and (row.main == min(mains)[2] or min(mains)[:2] == min(m[:2] for m in mains if m[2] == row.main))
+
+
 def test_pages_template_inside_articles(spark):
     ship(spark)
     body = "<html><body><nav><ul><li>Home</ul></nav><article><p>Read our other news<div>All rights reserved</div><p>{}<p>{}</article></body></html>"
