@@ -1,9 +1,9 @@
 """Token counts by finite-state tokenizer compilation.
 
 A byte-level BPE tokenizer is two machines in a row: a splitter that cuts text into pretokens, and a merger that turns
-each pretoken into tokens. The merger is compiled, state by state as texts need it, into a deterministic transducer over
-bytes whose transitions carry the change in the number of emitted tokens. A text is cut into chunks; each chunk becomes
-a state map, and maps compose, associatively, in a parallel prefix scan.
+each pretoken into tokens. Both are compiled, state by state as texts need them, into one deterministic transducer over
+characters whose transitions carry the change in the number of emitted tokens. A text is cut into chunks; each chunk becomes
+a map from the state it is entered in to the state it is left in and a count, and maps compose, associatively, in a parallel prefix scan.
 """
 
 from __future__ import annotations
@@ -21,13 +21,16 @@ from tarnwick.runtime import ship, table
 
 from .bytetext import tidied
 
-# Fixed values of the byte-level splitter.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A cut before a blank that follows a non-blank and precedes one is a pretoken boundary, whatever stands around.
-SYNC = regex.compile(r"(?<=\S) (?=\S)")
+# Fixed values of the byte-level splitter: contractions are cut off, a blank goes to the run of letters, numbers or others after it.
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+CLASSES = ((r"\p{L}", "letter"), (r"\p{N}", "number"), (r"\s", "space"), (r".", "other"))
+#: After a blank that follows another character the splitter is in one state, whatever state it came from.
+RESET = regex.compile(r"(?<=\S) ")
 CHUNK = 1 << 15
-#: States and pretokens that a worker keeps compiled; on reaching either it starts afresh, which changes no result.
-MOST_STATES, MOST_CACHED, LONGEST_CACHED = 400_000, 500_000, 64
+#: States that a worker keeps compiled; on reaching it the worker starts afresh, which changes no result.
+MOST_STATES = 300_000
+#: The state between two pretokens, and that after a reset: (kind, the merger's state or None for its first, characters held).
+BETWEEN, BLANK = ("", None, ""), ("space", None, " ")
 RESULT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -62,10 +65,15 @@ class MergeTransducer:
 
     def clear(self) -> None:
         start = (b"", ((0, b"", 0),))
-        self.next: list[dict[int, tuple[int, int]]] = [{}]
         self.states = [start]
         self.numbers = {start: 0}
 
+    def number(self, state: tuple) -> int:
+        found = self.numbers.setdefault(state, len(self.states))
+        if found == len(self.states):
+            self.states.append(state)
+        return found
+
     def merged(self, piece: bytes) -> list[bytes]:
         """The tokens of a short string by the merges themselves: lowest rank first, leftmost first."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -94,82 +102,137 @@ class MergeTransducer:
         change = relative + 1
         longer = [(back + 1, last, relative - change) for back, last, relative in places if suffix[len(suffix) - back :] + end in self.begun]
         suffix = (suffix + end)[len(suffix) + 1 - longer[0][0] :] if longer else b""
-        to = (suffix, (*longer, (0, token, 0)))
-        number = self.numbers.setdefault(to, len(self.states))
-        if number == len(self.states):
-            self.states.append(to)
-            self.next.append({})
-        self.next[state][byte] = number, change
-        return number, change
-
-    def count(self, piece: bytes) -> int:
-        if len(self.states) > MOST_STATES:
-            self.clear()
-        state = total = 0
-        for byte in piece:
-            found = self.next[state].get(byte)
-            state, change = found if found is not None else self.step(state, byte)
+        return self.number((suffix, (*longer, (0, token, 0)))), change
+
+    def feed(self, state: int, text: str) -> tuple[int, int]:
+        total = 0
+        for byte in text.encode():
+            state, change = self.step(state, byte)
             total += change
-        return total
+        return state, total
 
 
-class TokenCounter(dict):
-    """Counts of texts; as a dictionary, the compiled count of each pretoken met."""
+class Row(dict):
+    """A state of the whole transducer: by character, the state that follows and the change in emitted tokens, compiled on first use.
 
-    def __init__(self, path: str) -> None:
+    kind is what the open pretoken is: a run of letters, numbers, others or white space, an apostrophe, or "" between two. merge is the merger's state in
+    it; held are characters read that the merger has not, as the next one tells to which pretoken they go.
+    """
+
+    __slots__ = ("counter", "kind", "merge", "held")
+
+    def __init__(self, counter: TokenCounter, kind: str, merge: int, held: str) -> None:
         super().__init__()
+        self.counter, self.kind, self.merge, self.held = counter, kind, merge, held
+
+    def __missing__(self, c: str) -> tuple[Row, int]:
+        found = self[c] = self.counter.compiled(self, c)
+        return found
+
+
+class TokenCounter:
+    """Counts of texts by one transducer over characters."""
+
+    def __init__(self, path: str) -> None:
         self.fst = MergeTransducer(path)
-        self.split = regex.compile(PATTERN).findall
+        self.classes = [(regex.compile(p, regex.S), name) for p, name in CLASSES]
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.fst.special, key=len, reverse=True)))) if self.fst.special else None
+        self.rows: dict[tuple[str, int, str], Row] = {}
 
-    def __missing__(self, piece: str) -> int:
-        if len(self) >= MOST_CACHED:
-            self.clear()
-        found = self.fst.count(piece.encode())
-        if len(piece) <= LONGEST_CACHED:
-            self[piece] = found
+    def row(self, kind: str, merge: int = 0, held: str = "") -> Row:
+        found = self.rows.get((kind, merge, held))
+        if found is None:
+            found = self.rows[kind, merge, held] = Row(self, kind, merge, held)
         return found
 
-    def plain(self, text: str) -> int:
-        return sum(map(self.__getitem__, self.split(text)))
+    def fed(self, kind: str, merge: int, text: str) -> tuple[Row, int]:
+        merge, n = self.fst.feed(merge, text)
+        return self.row(kind, merge), n
+
+    def compiled(self, row: Row, c: str) -> tuple[Row, int]:
+        """The transition from a state by a character."""
+        kind, merge, held = row.kind, row.merge, row.held
+        own = next(name for p, name in self.classes if p.match(c))
+        if kind == "apostrophe":
+            so_far = "'" + held + c
+            if so_far in CONTRACTIONS:
+                return self.row(""), self.fst.feed(merge, held + c)[1]
+            if any(x.startswith(so_far) for x in CONTRACTIONS):
+                return self.row(kind, merge, held + c), 0
+            if held:  # the apostrophe stands alone, letters follow
+                after, n = self.fed("letter", 0, held)
+                to, more = after[c]
+                return to, n + more
+            kind = "other"
+        if kind == own == "space":  # the last of white space is held
+            merge, n = self.fst.feed(merge, held)
+            return self.row("space", merge, c), n
+        if kind == own:
+            return self.fed(kind, merge, c)
+        if own == "space":
+            return self.row("space", 0, c), 0
+        if kind == "space":
+            if held == " ":
+                return self.fed(own, 0, " " + c)
+            n = self.fst.feed(0, held)[1]
+            to, more = self.row("")[c]
+            return to, n + more
+        return self.fed("apostrophe" if c == "'" else own, 0, c)
+
+    def ended(self, row: Row) -> int:
+        """What the end of the text adds in a state: a white run is one pretoken, letters held after an apostrophe are one."""
+        return self.fst.feed(row.merge if row.kind == "space" else 0, row.held)[1] if row.held else 0
+
+    def entered(self, state: tuple) -> Row:
+        """The row of a state that is given apart from the numbers of the merger's states, which do not outlive clear()."""
+        if len(self.rows) > MOST_STATES or len(self.fst.states) > MOST_STATES:
+            for row in self.rows.values():
+                row.clear()
+            self.rows.clear()
+            self.fst.clear()
+        kind, merge, held = state
+        return self.row(kind, 0 if merge is None else self.fst.number(merge), held)
+
+    def run(self, state: tuple, text: str) -> tuple[tuple, int]:
+        """The state that a text is left in, and the tokens counted, if it is entered in that state."""
+        row, total = self.entered(state), 0
+        for c in text:
+            row, change = row[c]
+            total += change
+        return (row.kind, self.fst.states[row.merge], row.held), total
 
-    def state_map(self, chunk: str) -> tuple[str, int, str | None]:
-        """(head, inner, tail): what a chunk does to any state that it is entered in.
+    def state_map(self, chunk: str) -> tuple[str, int, tuple | None]:
+        """(head, count, exit): the map of a chunk. Up to its first reset, where head ends, it depends on the state that it is entered in; from there on it counts and is left in the same state from all.
 
-        head ends at the first boundary that holds in every state, tail starts at the last; inner counts what lies
-        between and depends on neither side. Without such a boundary the map is (chunk, 0, None).
+        Without a reset the map is (chunk, 0, None): the run of the chunk itself.
         """
-        first = SYNC.search(chunk)
+        first = RESET.search(chunk)
         if first is None:
             return chunk, 0, None
-        a = first.start()
-        b = a
-        for m in SYNC.finditer(chunk, pos=a):
-            b = m.start()
-        return chunk[:a], self.plain(chunk[a:b]), chunk[b:]
+        left, count = self.run(BLANK, chunk[first.end() :])
+        return chunk[: first.end()], count, left
 
-    def compose(self, x: tuple[str, int, str | None], y: tuple[str, int, str | None]) -> tuple[str, int, str | None]:
+    def compose(self, x: tuple[str, int, tuple | None], y: tuple[str, int, tuple | None]) -> tuple[str, int, tuple | None]:
+        """The map of x and then y: y is entered in the state that x is left in."""
         if x[2] is None:
-            return (x[0] + y[0], y[1], y[2])
-        if y[2] is None:
-            return (x[0], x[1], x[2] + y[0])
-        return x[0], x[1] + self.plain(x[2] + y[0]) + y[1], y[2]
+            return x[0] + y[0], y[1], y[2]
+        state, count = self.run(x[2], y[0])
+        return x[0], x[1] + count + y[1], state if y[2] is None else y[2]
 
     def segment(self, text: str) -> int:
-        """Tokens of a text without special strings: its chunks' maps in an up-sweep of pairwise compositions."""
+        """Tokens of a text without special strings: its chunks' maps in an up-sweep of pairwise compositions, applied to the state between pretokens."""
         if len(text) <= CHUNK:
-            return self.plain(text)
-        cuts = [0]
-        while cuts[-1] + CHUNK < len(text):  # neighbours of a chunk's edge must be seen from both sides: cut at a boundary where there is one near
-            m = SYNC.search(text, pos=cuts[-1] + CHUNK)
-            if m is None:
-                break
-            cuts.append(m.start())
-        maps = [self.state_map(text[a:b]) for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+            row, total = self.entered(BETWEEN), 0
+            for c in text:
+                row, change = row[c]
+                total += change
+            return total + self.ended(row)
+        maps = [self.state_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, inner, tail = maps[0]
-        return self.plain(head) + inner + (self.plain(tail) if tail is not None else 0)
+        head, count, left = maps[0]
+        state, first = self.run(BETWEEN, head)
+        return first + count + self.ended(self.entered(left or state))
 
     def count(self, text: str | None) -> int:
         if not text:

@@ -161,6 +161,24 @@ def test_state_maps_compose_associatively():
     assert left == right
 
 
+def test_state_maps_give_what_the_run_gives(monkeypatch):
+    count = tokens.TokenCounter(path("byte_bpe_50k.json"))
+    rng = random.Random(8)
+    parts = ["'", "'r", "'re", "'ll", "s", "t", " ", "  ", "\n", "\t", "\xa0", "a", "é", "7", "²", "!", "--", "日本", "🙂", "the", "'S"]
+    for n in range(300):
+        entry, a, b, c = ("".join(rng.choices(parts, k=rng.randrange(8))) for _ in range(4))
+        state, _ = count.run(tokens.BETWEEN, entry)
+        for text in (a, a + b, a + b + c):
+            head, inner, left = count.state_map(text)
+            after, first = count.run(state, head)
+            assert (left or after, first + inner) == count.run(state, text), (entry, text)
+        maps = [count.state_map(x) for x in (a, b, c)]
+        head, inner, left = count.compose(maps[0], count.compose(maps[1], maps[2]))
+        after, first = count.run(state, head)
+        assert (left or after, first + inner) == count.run(state, a + b + c)
+        monkeypatch.setattr(tokens, "MOST_STATES", 300_000 if n % 2 else 5)
+
+
 @pytest.mark.parametrize("limits", [Limits(), Limits(64, 3, 20, 2), Limits(16, 1, 16, 1)])
 def test_packer_keeps_limits_and_every_token(limits):
     rng = random.Random(4)
