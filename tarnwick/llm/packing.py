@@ -16,7 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tarnwick.runtime import ship, table
 
 from .bytetext import tidied
-from .tokens import PATTERN, tokenizer_path
+from .tokens import tokenizer_path
+
+# Fixed value of the byte-level splitter.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
