@@ -51,7 +51,16 @@ def digest_json(values: pd.Series) -> pd.Series:
 @F.pandas_udf(ArrayType(StringType()))
 def distinct_json(values: pd.Series) -> pd.Series:
     """The first of each canonical form among an array's JSON texts, in order."""
-    return values.map(lambda xs: list({canonical(json.loads(x)): x for x in reversed(list(xs))}.values())[::-1] if xs is not None else None)
+
+    def one(xs: list[str] | None) -> list[str] | None:
+        if xs is None:
+            return None
+        firsts: dict[str, str] = {}
+        for x in xs:
+            firsts.setdefault(canonical(json.loads(x)), x)
+        return list(firsts.values())
+
+    return values.map(one)
 
 
 def fingerprint(rows: DataFrame, key: str, revision: str) -> DataFrame:

@@ -76,6 +76,7 @@ def test_segments_and_alignment(spark):
 
 
 def test_small_functions(spark):
+    ship(spark)
     row = spark.range(1).select(
         T.purl_coordinate(F.lit("pkg:PyPI/%41bc@1.0?x=1#y")).alias("purl"), T.purl_coordinate(F.lit("widget")).alias("none"), T.entity_token(F.lit("ＡＢＣ d-é漏")).alias("token"), T.cpe_coordinate(F.lit("cpe:2.3:a:Ac-me:Wid get:1:*")).alias("cpe"),
         T.yaml_scalar(F.lit("id: 'x-1'\ninfo:\n  name: \"A b\"\n"), "name").alias("yaml"), T.iso(T.to_utc(F.lit("2024-05-01 10:00:00"), "+08:00")).alias("stamp"), T.iso(T.to_utc(F.lit("2024-05-01T10:00:00Z"))).alias("utc"), T.to_utc(F.lit("soon")).alias("odd"),
@@ -86,6 +87,8 @@ def test_small_functions(spark):
     assert row.risks == ["kernel_requires_separate_pool", "availability_impact"] and row.path == "2024/12xxx/CVE-2024-12345.json"
     assert (row.call.type, row.call.name, row.call.return_code) == ("syscall", "openat", -2) and row.exit.type == "exit" and row.noise.type is None
     assert C.canonical({"b": 1.5, "a": "é"}) == '{"a":"é","b":1.5}' and C.sample_id("x", 1) == C.sample_id("x", 1) != C.sample_id("x", 2)
+    lists = spark.createDataFrame([(1, ['"u"', '{"b":1,"a":2}', '"a"', '"u"', '{"a":2, "b":1}']), (2, None), (3, [])], "k int, v array<string>")
+    assert [r.d for r in lists.select("k", C.distinct_json("v").alias("d")).orderBy("k").collect()] == [['"u"', '{"b":1,"a":2}', '"a"'], None, []]
     prints = lambda rows: C.fingerprint(spark.createDataFrame(rows, "k string, r string"), "k", "r").first()
     assert prints([("a", "1"), ("b", "2")]) == prints([("b", "2"), ("a", "1")]) != prints([("a", "2"), ("b", "1")])
 
