@@ -277,7 +277,7 @@ def pair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # What the small synthetic corpus says.
-DEMO = [("cve", "CVE-2099-1001", "active", "high", "CWE-22", 1), ("avd", "AVD-2099-1001", "active", None, "", 0), ("cnnvd", "CNNVD-209901-1001", "active", "medium", "", 0), ("nvd", "CVE-2099-1002", "active", "high", "CWE-79", 0), ("nvd", "CVE-2099-1003", "active", "high", "CWE-89", 0)]
+DEMO = [("cve", "CVE-2099-1001", "active", "high", "CWE-22", 1), ("avd", "AVD-2099-1001", "active", "", "", 0), ("cnnvd", "CNNVD-209901-1001", "active", "medium", "", 0), ("nvd", "CVE-2099-1002", "active", "high", "CWE-79", 0), ("nvd", "CVE-2099-1003", "active", "high", "CWE-89", 0)]
 
 
 @query(expected("source, source_id, status, severity, weaknesses, components", DEMO))
@@ -288,7 +288,7 @@ def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     for s in R.SOURCES:
         own = R.records(payloads.filter(F.col("source") == s).select("payload"), s)
         out = own if out is None else out.unionByName(own)
-    return out.select("source", "source_id", "status", F.nullif(F.lower("severity"), F.lit("")).alias("severity"), F.coalesce(F.array_join("weaknesses", ","), F.lit("")).alias("weaknesses"), F.greatest(F.lit(0), F.coalesce(F.size("components"), F.lit(0))).alias("components"))
+    return out.select("source", "source_id", "status", F.coalesce(F.lower("severity"), F.lit("")).alias("severity"), F.coalesce(F.array_join("weaknesses", ","), F.lit("")).alias("weaknesses"), F.greatest(F.lit(0), F.coalesce(F.size("components"), F.lit(0))).alias("components"))
 
 
 @query(expected("vuln_id, filled, new_conflicts", [("CVE-2099-1001", "attack_preconditions,patch", "severity"), ("CVE-2099-1002", "", ""), ("CVE-2099-1003", "", "")]))
