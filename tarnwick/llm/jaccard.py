@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tarnwick.operators.graph import components
 from tarnwick.runtime import materialize, ship, table
@@ -24,13 +26,14 @@ ROW = "tw_row"
 class JoinRules:
     """words in a shingle; links hold where 100 * intersection >= percent * union.
 
-    more: linking sets must share so many prefix tokens, in percent of the smaller set, and prefixes are longer by as many; sketch_bits: binary logarithm of the size of the table of frequencies, an ordering aid; block: members of a group that are opened at once; queries: queries that one task holds against a block.
+    more: linking sets must share so many prefix tokens, in percent of the smaller set, and prefixes are longer by as many; sketch_bits: binary logarithm of the size of the table of frequencies, an ordering aid; draws: rounds in which groups join larger ones, which decide only who meets in which task; block: members of a group that are opened at once; queries: queries that one task holds against a block.
     """
 
     words: int = 4
     percent: int = 85
     more: int = 8
     sketch_bits: int = 23
+    draws: int = 2
     block: int = 512
     queries: int = 2048
     piece_bytes: int = 1 << 20
@@ -152,7 +155,8 @@ def open_groups(members: pd.DataFrame, queries: pd.DataFrame, percent: int) -> l
     """Links between queries and the members of one block of a group.
 
     The block's token union bounds each query's overlap with any member: a query opens the block only if the union holds
-    enough of its tokens, and then only members of a fitting size that it reaches the bound with are compared, all at once.
+    enough of its tokens, and then all overlaps are counted at once. A token that most members have lists those that lack it, so that
+    a query costs what the members differ in, not what near copies share.
     """
     out: list[tuple[int, int]] = []
     ids = members.doc_id.to_numpy()
@@ -163,7 +167,17 @@ def open_groups(members: pd.DataFrame, queries: pd.DataFrame, percent: int) -> l
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     at = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-    union, ends = flat[at], np.concatenate((at, [len(flat)]))
+    union, counts = flat[at], np.diff(np.concatenate((at, [len(flat)])))
+    much = 2 * counts > len(sets)  # their owners are replaced by the others
+    token = np.repeat(np.arange(len(union)), counts)
+    often = much[token]
+    lacks = np.ones((int(much.sum()), len(sets)), dtype=bool)
+    lacks[(np.cumsum(much) - 1)[token[often]], owner[often]] = False
+    which, who = np.nonzero(lacks)
+    token, owner = np.concatenate((token[~often], np.flatnonzero(much)[which])), np.concatenate((owner[~often], who))
+    order = np.argsort(token, kind="stable")
+    owner, ends = owner[order], np.searchsorted(token[order], np.arange(len(union) + 1))
+    sign = np.where(much, -1, 1)
     for q, tokens in zip(queries.doc_id.to_numpy(), queries.tokens, strict=True):
         tokens = np.asarray(tokens, np.int64)
         n = len(tokens)
@@ -171,10 +185,9 @@ def open_groups(members: pd.DataFrame, queries: pd.DataFrame, percent: int) -> l
         place = place[union[place] == tokens]
         if 100 * len(place) < percent * n:
             continue
-        count = np.zeros(len(sets), np.int64)
         lengths = ends[place + 1] - ends[place]
         steps = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(ends[place], lengths)
-        np.add.at(count, owner[steps], 1) if len(steps) < 64 else count.__iadd__(np.bincount(owner[steps], minlength=len(sets)))
+        count = much[place].sum() + np.bincount(owner[steps], np.repeat(sign[place], lengths), len(sets)).astype(np.int64)
         linked = np.flatnonzero((100 * count >= percent * (n + sizes - count)) & (ids != q))
         out += [(int(q), int(ids[m])) for m in linked]
     return out
@@ -293,12 +306,40 @@ def token_lists(heads: DataFrame, rules: JoinRules) -> DataFrame:
     return entries.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(tidied(run), "token long, doc_id long, n long, hub long")
 
 
+def token_groups(entries: DataFrame, heads_in: DataFrame) -> DataFrame:
+    """The token-group matrix: token, group and the least and most size of the group's sets that have the token, for tokens of several groups."""
+    own = entries.select("token", "doc_id", "n").join(heads_in.select("doc_id", "group").hint("merge"), "doc_id")
+    own = own.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    return own.withColumn("groups", F.count("*").over(W.partitionBy("token"))).filter("groups > 1").drop("groups")
+
+
+def moves_up(matrix: DataFrame, heads_in: DataFrame, rules: JoinRules, enough: str) -> DataFrame:
+    """g and hub: groups, and the larger group that each joins.
+
+    At every token the largest group of a span of sizes is offered to the others there, so a token costs a row for each group and span, never
+    a pair of groups. A group joins the largest one that is offered through half of the tokens that a link takes, unless others join it. Near
+    copies of one text, whose stars have different hubs, come together this way, though few of them link.
+    """
+    sizes = heads_in.groupBy("group").agg(F.count("*").alias("members"))
+    at = F.floor(F.log("least") / math.log(100 / min(rules.percent, 99)))  # groups of fitting sizes meet in one of two spans
+    placed = matrix.join(sizes.hint("merge"), "group").withColumn("span", F.explode(F.array(at - 1, at)))
+    top = F.max(F.struct("members", F.bitwise_not("group").alias("not_hub"), "least", "most")).alias("top")
+    tops = placed.groupBy("token", "span").agg(top, F.count("*").alias("groups")).filter("groups > 1").drop("groups")
+    fitting = f"group <> ~top.not_hub and {rules.percent} * least <= 100 * top.most and {rules.percent} * top.least <= 100 * most"
+    offered = placed.join(tops.hint("merge"), ["token", "span"]).filter(fitting).select("token", "group", F.least("least", "top.least").alias("n"), "top.members", "top.not_hub")
+    offers = offered.groupBy("group", "members", "not_hub").agg(F.countDistinct("token").alias("common"), F.min("n").alias("n")).filter(f"2 * common >= {enough}")
+    best = offers.groupBy("group").agg(F.max(F.struct("members", "common", "not_hub")).alias("b")).select(F.col("group").alias("g"), F.bitwise_not("b.not_hub").alias("hub"))
+    best = materialize(best, "jaccard-offers")
+    return best.join(best.select(F.col("hub").alias("g")).distinct(), "g", "left_anti")
+
+
 def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id, the least key reachable by links, of every row.
 
     1. Rows with the same set are one class, whose least key, the head, stands for it. 2. Heads that link share prefix tokens
     (in one order, common ones last). The head that draws most others through such tokens is their hub; a hub and those
-    that it draws form a group of similar sets, and each is compared with its hub. 3. The token-group matrix holds, for every prefix token, the
+    that it draws form a group of similar sets, and each is compared with its hub. Groups then join larger ones that share
+    tokens with them, so that near copies of one text are one group, of any size, and not many that meet in pairs. 3. The token-group matrix holds, for every prefix token, the
     groups with it, once each, and the sizes of their sets that have it. Two groups whose unions share enough tokens between sets of fitting sizes
     meet, unless all of both is in one component by now: the members of the smaller one are queries for the other, and those of a group that
     is not in one component are for their own. The union of a block of members bounds a query's overlap with any; only a block that
@@ -325,9 +366,16 @@ def jaccard_components(docs: DataFrame, rules: JoinRules = JoinRules(), text: st
     stars = best.join(hubs.withColumnRenamed("group", "hub"), F.col("query") == F.col("hub"), "left_anti").selectExpr("query as q1", "group")
     heads_in = entries.select("doc_id").distinct().join(stars, F.col("doc_id") == F.col("q1"), "left").join(linked, F.col("doc_id") == F.col("n1"), "left")
     heads_in = materialize(heads_in.select("doc_id", F.coalesce("group", "doc_id").alias("group"), F.coalesce("component", "doc_id").alias("component")), "jaccard-groups")
+    matrix = materialize(token_groups(entries, heads_in), "jaccard-matrix")
+    for _ in range(rules.draws):
+        moves = materialize(moves_up(matrix, heads_in, rules, enough), "jaccard-moves")
+        if moves.isEmpty():
+            break
+        moved = lambda df: df.join(moves, F.col("group") == F.col("g"), "left").withColumn("group", F.coalesce("hub", "group")).drop("g", "hub")  # noqa: E731, B023
+        heads_in = materialize(moved(heads_in), "jaccard-groups")
+        matrix = materialize(moved(matrix).groupBy("token", "group").agg(F.min("least").alias("least"), F.max("most").alias("most")), "jaccard-matrix")
     one = heads_in.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
     one = materialize(one.select(F.col("group").alias("g"), "members", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("only")), "jaccard-sizes")
-    matrix = entries.select("token", "doc_id", "n").join(heads_in.select("doc_id", "group").hint("merge"), "doc_id").groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     other = matrix.select(F.col("token").alias("t"), F.col("group").alias("other"), F.col("least").alias("least2"), F.col("most").alias("most2"))
     fitting = F.expr(f"token = t and group < other and {rules.percent} * least <= 100 * most2 and {rules.percent} * least2 <= 100 * most")
     pairs = matrix.join(other, fitting).groupBy("group", "other").agg(F.count("*").alias("common"), F.min(F.least("least", "least2")).alias("n")).filter(f"common >= {enough}")

@@ -102,6 +102,34 @@ def test_jaccard(plain):
     assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(plain, tiny).collect()} == least
 
 
+
+def test_jaccard_near_copies(spark, monkeypatch):
+    """Near copies of one text, few of which link, meet as few groups, not in pairs; a block of them gives each link."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for k in range(160):
+        words = list(texts[-7] if k % 10 == 9 else base)
+        for i in rng.sample(range(400), 2 if k % 10 == 9 else rng.choice([14, 18, 19])):
+            words[i] = f"x{rng.randrange(10**9)}"
+        texts.append(words)
+    written = {}
+    real = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: written.setdefault(name, []).append(real(df, name)) or written[name][-1])
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.JoinRules(block=32)).collect()}
+    least = list(range(len(texts)))
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for _ in range(6):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert got == dict(enumerate(least))
+    assert 10 < len(links) < 100
+    groups = written["jaccard-lists"][-1].join(written["jaccard-groups"][-1], "doc_id").groupBy("token").agg(F.countDistinct("group").alias("k"))
+    assert groups.agg(F.sum(F.expr("k * (k - 1) div 2"))).first()[0] <= 2 * groups.count()
+
+
 def test_ppm(plain):
     got = {r.doc_id: r for r in ppm.score_texts(plain, F.col("doc_id") % 3 == 0, ppm.PpmModel(order=3, block_bytes=2000)).collect()}
     data = {r.doc_id: (r.text or "").encode() for r in plain.collect()}
