@@ -119,7 +119,12 @@ VIEW_FIELDS = ("title", "description", "components", "weaknesses", "attack_preco
 
 
 def view_texts(records: DataFrame, key: str = "vuln_id") -> DataFrame:
-    """key, view and text of the separately searchable views of each record that are not empty.
+    """key, view and text of the separately searchable views of each record that are not empty."""
+    return records.select(key, F.explode(views_of(records, key)).alias("v")).select(key, "v.*")
+
+
+def views_of(records: DataFrame, key: str) -> Column:
+    """The views of a record that are not empty, as an array of structs of view and text.
 
     records: aliases (array) and such of VIEW_FIELDS and severity as it has, arrays and structs as JSON text. Views: aggregate,
     description, poc, patch, component and metadata; with an array behaviours, behavior as well.
@@ -137,4 +142,4 @@ def view_texts(records: DataFrame, key: str = "vuln_id") -> DataFrame:
         "metadata": lines(F.concat(F.lit(f"{key}: "), F.col(key).cast("string")), F.when(aliases != "", F.concat(F.lit("aliases: "), aliases)), *[named(f) for f in ("title", "weaknesses", "severity", "attack_preconditions")]),
     }
     all_views = F.array(*[F.struct(F.lit(v).alias("view"), text.alias("text")) for v, text in views.items()])
-    return records.select(key, F.explode(all_views).alias("v")).select(key, "v.*").filter(F.trim("text") != "")
+    return F.filter(all_views, lambda x: F.trim(x["text"]) != "")

@@ -10,6 +10,8 @@ TOKEN = "[a-z0-9_]+(?:[.:-][a-z0-9_]+)*"
 HAN = "[\\x{3400}-\\x{9fff}]+"
 WHITE = "[\\s\\x1c-\\x1f\\x85\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"  # what Unicode calls separators of this kind
+
 
 def tokens(text: Column) -> Column:
     """Lower-cased word tokens, then single characters and neighbouring pairs of each stretch of Han script."""

@@ -8,7 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.functions.canonical import digest
@@ -83,6 +83,15 @@ def positive_pairs(views: DataFrame) -> DataFrame:
     return anchor.join(other, "vuln_id").select("left", F.col("text").alias("right"), F.lit(1).alias("label"), F.concat(F.lit("description_to_"), "view").alias("relation"), "vuln_id")
 
 
+def positives(views: Column) -> Column:
+    """The positive pairs of one record, as structs of left, right and relation, from its array of views (view, text)."""
+    of = lambda name: F.get(F.filter(views, lambda x: x["view"] == name), F.lit(0))["text"]
+    left = F.coalesce(of("description"), of("aggregate"))
+    other = F.filter(views, lambda x: x["view"].isin("poc", "patch", "component", "metadata"))
+    made = F.transform(other, lambda x: F.struct(left.alias("left"), x["text"].alias("right"), F.concat(F.lit("description_to_"), x["view"]).alias("relation")))
+    return F.filter(made, lambda x: x["left"].isNotNull())
+
+
 def negative_pairs(records: DataFrame, views: DataFrame, most: int = 10_000) -> DataFrame:
     """left, right, label 0 and relation of the first pairs, in order of keys, of active records whose weaknesses are both filled and disjoint; most bounds them."""
     text = views.groupBy("vuln_id").agg(F.coalesce(F.max(F.when(F.col("view") == "description", F.col("text"))), F.max(F.when(F.col("view") == "aggregate", F.col("text")))).alias("text")).filter("text is not null")

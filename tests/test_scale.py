@@ -2,9 +2,24 @@
 
 import random
 
+import duckdb
+
+from tarnwick import catalogue
 from tarnwick.operators import graph as G
 
 
+def check(spark, path, name, **tables):
+    """A query over these tables gives what its SQL gives."""
+    con = duckdb.connect()
+    for t, df in tables.items():
+        df.coalesce(1).write.parquet(f"{path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    want = con.execute(catalogue.ORACLE[name]).df()
+    got = catalogue.QUERIES[name](spark, str(path)).toPandas()[list(want.columns)]
+    rows = lambda df: sorted((tuple(None if x != x else float(x) if isinstance(x, (int, float)) else x for x in r) for r in df.itertuples(index=False)), key=str)
+    assert rows(got) == rows(want)
+
+
 def test_pairs_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(G, "BLOCK_BITS", 2)  # blocks of 4 sets
     rng = random.Random(1)
@@ -26,3 +41,8 @@ def test_pairs_over_many_blocks(spark, monkeypatch):
             if x < y and 100 * c >= 65 * u:
                 want[x, y] = round(c / u, 9)
     assert got == want
+
+
+def test_training_pairs_of_odd_rows(spark, tmp_path):
+    rows = [(3, "abc", "en"), (3, "abcde", "en"), (4, None, "en"), (5, "", "en"), (6, "  ", "en"), (7, "  　", "en"), (9, "\t", "fr"), (10, "x" * 9, None), (12, "y", "")]
+    check(spark, tmp_path, "training_pairs", documents=spark.createDataFrame(rows, "doc_id long, text string, lang string"))
