@@ -85,17 +85,120 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_k
             for part in parts:
                 widths = part.v.map(lambda v: -1 if v is None else len(v)).to_numpy()
                 for w, (names, m) in unit.items():
-                    mine = np.flatnonzero(widths == w)
-                    if len(mine):
-                        scores = _units(np.array(part.v.iloc[mine].tolist(), dtype=float)) @ m.T
-                        keys = part.k.to_numpy()[mine]
-                        yield pd.DataFrame({query_key: np.tile(names, len(mine)), key: np.repeat(keys, len(names)), "score": scores.ravel()})
+                    mine, step = np.flatnonzero(widths == w), max(1, (1 << 20) // len(names))
+                    for some in (mine[at : at + step] for at in range(0, len(mine), step)):  # a million pairs at once
+                        scores = _units(np.array(part.v.iloc[some].tolist(), dtype=float)) @ m.T
+                        keys = part.k.to_numpy()[some]
+                        yield pd.DataFrame({query_key: np.tile(names, len(some)), key: np.repeat(keys, len(names)), "score": scores.ravel()})
 
         made = vectors.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, shape)
         out = made if out is None else out.unionByName(made)
     return out
 
 
+#: Numbers of one block of vectors at most, and rows of one at least.
+BLOCK_NUMBERS, BLOCK_ROWS = 1 << 22, 4096
+
+
+def dense_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, k: int, digits: int = 6) -> DataFrame:
+    """query_key, key, score and rank of each query's k vectors of the largest rounded cosine but the one of its own key, ties to the smaller key.
+
+    Blocks of queries meet blocks of vectors, each pair of blocks in one task's matrix products, of which only the k best of a query go on. A product of
+    single floats finds who may be among them, within its bound of error; these are scored in doubles. 0 where a vector has no length; widths must agree.
+    """
+    own, asked = dict(vectors.dtypes), dict(queries.dtypes)
+    floats = lambda c, kind: F.col(c) if kind == "array<float>" else F.col(c).cast("array<double>")
+    v = vectors.select(F.col(key).alias("k"), floats(vector, own[vector]).alias("v")).filter("k is not null and size(v) > 0 and not exists(v, x -> x is null)")
+    q = queries.select(F.col(query_key).alias("q"), floats(query_vector, asked[query_vector]).alias("w")).filter("q is not null and size(w) > 0 and not exists(w, x -> x is null)")
+    n, width = v.agg(F.count("*"), F.max(F.size("v"))).first()
+    most = max(1, BLOCK_NUMBERS // max(1, width or 1))
+    blocks = lambda n: -(-n // min(most, max(BLOCK_ROWS, -(-n // 6))))
+    nv, nq = max(1, blocks(n)), max(1, blocks(q.count()))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select("q", "w", F.pmod(F.xxhash64("q"), F.lit(nq)).cast("int").alias("qb"), each(nv).alias("vb"))
+    right = v.select("k", "v", each(nq).alias("qc"), F.pmod(F.xxhash64("k"), F.lit(nv)).cast("int").alias("vc"))
+    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qc", "vc")).applyInArrow(_best_of(k, digits), f"q {asked[query_key]}, k {own[key]}, score double")
+    ranks = found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "k"))).filter(F.col("rank") <= k)
+    return ranks.select(F.col("q").alias(query_key), F.col("k").alias(key), "score", "rank")
+
+
+def rounded(x, digits: int):
+    """Half away from zero, as SQL rounds."""
+    import numpy as np
+
+    y = x * 10.0**digits
+    return np.trunc(y + np.copysign(0.5, y)) / 10.0**digits
+
+
+def _best_of(k: int, digits: int):
+    """For cogroups of queries (q, w) and vectors (k, v): q, k and score of the k best of each query."""
+    import numpy as np
+    import pyarrow as pa
+
+    def sorted_rows(t: pa.Table, name: str, values: str):
+        """By width: sorted keys, vectors and their squared lengths."""
+        t = t.sort_by(name)
+        lists = t[values].combine_chunks()
+        flat, ends, n = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy()), lists.value_lengths().to_numpy()
+        keys = t[name].combine_chunks()
+        return {int(w): (keys.take(pa.array(i := np.flatnonzero(n == w))), flat[(ends[i] - w)[:, None] + np.arange(w)]) for w in np.unique(n)}
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        out = [pa.table({"q": queries["q"].slice(0, 0), "k": vectors["k"].slice(0, 0), "score": pa.array([], pa.float64())})]
+        stored = sorted_rows(vectors, "k", "v")
+        for w, (names, a) in sorted_rows(queries, "q", "w").items():
+            if w in stored:
+                keys, b = stored[w]
+                i, j, score = top_pairs(a, b, names.to_numpy(zero_copy_only=False), keys.to_numpy(zero_copy_only=False))
+                out.append(pa.table({"q": names.take(pa.array(i)), "k": keys.take(pa.array(j)), "score": score}))
+        return pa.concat_tables(out)
+
+    def top_pairs(a, b, names, keys):
+        error = (a.shape[1] + 8) * 2.0**-23 + 10.0**-digits
+        aa, bb = (np.concatenate([np.einsum("ij,ij->i", m[x : x + 4096], m[x : x + 4096], dtype=float) for x in range(0, len(m), 4096)]) for m in (a, b))
+        unit = lambda m, mm: (np.divide(m, np.sqrt(mm)[:, None], out=np.zeros(m.shape), where=mm[:, None] > 0)).astype(np.float32)
+
+        def exact(i, j):
+            parts = [np.einsum("ij,ij->i", a[i[x : x + 65536]], b[j[x : x + 65536]], dtype=float) for x in range(0, len(i), 65536)]
+            size = np.sqrt(aa[i] * bb[j])
+            score = np.divide(np.concatenate(parts) if parts else np.zeros(0), size, out=np.zeros(len(i)), where=size > 0)
+            return rounded(np.clip(score, -1.0, 1.0), digits)
+
+        units, found = unit(b, bb), []
+        for at in range(0, len(a), 512):
+            mine = unit(a[at : at + 512], aa[at : at + 512])
+            least = np.full(len(mine), -np.inf, np.float32)
+            best, waiting, n = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+
+            def settle(best, waiting, least, at=at):
+                i, j = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                other = names[i + at] != keys[j]
+                i, j = i[other], j[other]
+                i, j, s = (np.concatenate(x) for x in zip(best, (i, j, exact(i + at, j)), strict=True))
+                order = np.lexsort((j, -s, i))  # rows of vectors stand in order of keys
+                i, j, s = i[order], j[order], s[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                full = place == k - 1
+                least[i[full]] = s[full] - 2 * error
+                keep = place < k
+                return i[keep], j[keep], s[keep]
+
+            for begin in range(0, len(b), 4096):
+                s = mine @ units[begin : begin + 4096].T
+                if not begin and s.shape[1] > k:
+                    least = np.partition(s, s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1] - np.float32(2 * error)
+                i, j = np.nonzero(s >= least[:, None])
+                waiting.append((i, j + begin))
+                n += len(i)
+                if n > 8192:
+                    best, waiting, n = settle(best, waiting, least), [], 0
+            i, j, s = settle(best, waiting, least) if waiting else best
+            found.append((i + at, j, s))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    return run
+
+
 def _units(m):
     """Rows brought to length 1; rows without a length stay 0."""
     import numpy as np
@@ -278,9 +381,13 @@ def search(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key:
 def evaluate(ranks: DataFrame, relevant: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
     """Macro recall@k, MRR and nDCG@k over the queries of relevant (query_key, key); ranks has rank as well."""
     hits = ranks.filter(F.col("rank") <= k).join(relevant, [query_key, key])
+    return evaluate_hits(hits, relevant.groupBy(query_key).agg(F.count("*").alias("total")), query_key, k)
+
+
+def evaluate_hits(hits: DataFrame, total: DataFrame, query_key: str, k: int) -> DataFrame:
+    """The same from relevant hits (query_key, rank) of rank k at most and how many rows are relevant to each query (query_key, total)."""
     gain = F.lit(1.0) / (F.log(F.col("rank") + 1.0) / F.log(F.lit(2.0)))
     got = hits.groupBy(query_key).agg(F.count("*").alias("found"), F.min("rank").alias("first"), F.sum(gain).alias("dcg"))
-    total = relevant.groupBy(query_key).agg(F.count("*").alias("total"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("total"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + F.lit(1.0) / (F.log(i + 1.0) / F.log(F.lit(2.0))))
     per = total.join(got, query_key, "left").select((F.coalesce("found", F.lit(0)) / F.col("total")).alias("recall"), F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("rr"), F.coalesce(F.col("dcg") / ideal, F.lit(0.0)).alias("ndcg"))
     return per.agg(F.count("*").alias("queries"), F.avg("recall").alias("recall"), F.avg("rr").alias("mrr"), F.avg("ndcg").alias("ndcg"))

@@ -3,9 +3,11 @@
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tarnwick import catalogue
 from tarnwick.operators import graph as G
+from tarnwick.operators import retrieval as S
 
 
 def check(spark, path, name, **tables):
@@ -46,3 +48,24 @@ def test_pairs_over_many_blocks(spark, monkeypatch):
 def test_training_pairs_of_odd_rows(spark, tmp_path):
     rows = [(3, "abc", "en"), (3, "abcde", "en"), (4, None, "en"), (5, "", "en"), (6, "  ", "en"), (7, "  　", "en"), (9, "\t", "fr"), (10, "x" * 9, None), (12, "y", "")]
     check(spark, tmp_path, "training_pairs", documents=spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def test_nearest_vectors_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_NUMBERS", 64)  # blocks of 16 vectors of 4
+    rng = random.Random(2)
+    vectors = [(i, [float(rng.randint(-3, 3)) for _ in range(4)], i % 3) for i in range(100)] + [(100 + i, [1.0, 2.0, 0.0, 0.0], 7) for i in range(30)] + [(200, [0.0] * 4, 1), (201, [1.0], 1), (202, None, 1)]
+    e = spark.createDataFrame(vectors, "id long, v array<float>, label int")
+    got = {(r.q, r.rank): (r.id, round(r.score, 6)) for r in S.dense_top(e, e.select(F.col("id").alias("q"), F.col("v").alias("w")), "id", "v", "q", "w", 5).collect()}
+    want = {}
+    for q, a, _ in vectors:
+        size = lambda x: sum(y * y for y in x)
+        near = [(-round(sum(x * y for x, y in zip(a, b)) / ((size(a) * size(b)) ** 0.5 or 1), 6), k) for k, b, _ in vectors if a and b and k != q and len(a) == len(b)]
+        want |= {(q, i + 1): (k, -s) for i, (s, k) in enumerate(sorted(near)[:5])}
+    assert got == want
+
+
+def test_every_vector_is_asked(spark, tmp_path):
+    rows = [(i, [float(i % 5), 1.0, float(i % 3)], i % 4) for i in range(1, 40)] + [(60, [1.0, 2.0, 3.0], 9)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    check(spark, tmp_path, "ir_recall_mrr_ndcg", embeddings=e)
+    assert catalogue.QUERIES["ir_recall_mrr_ndcg"](spark, str(tmp_path)).first().queries == 39  # all but the one without others of its label
