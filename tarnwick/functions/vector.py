@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,15 +36,23 @@ def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def signed_features(tokens: DataFrame, key: str, token: str, width: int) -> DataFrame:
-    """key, idx, value of hashed features: index and sign from sha256 of the token, weight 1 + ln(tf), length 1 for each key."""
+    """key, idx, value of hashed features: index and sign from sha256 of the token, weight 1 + ln(tf), length 1 for each key.
+
+    Tokens that are dealt out by key are counted, summed and scaled where they are, without another shuffle.
+    """
     tf = tokens.groupBy(key, token).agg(F.count("*").alias("tf"))
     digest = F.sha2(token, 256)
     index = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)") % width
     odd = F.conv(F.substring(digest, 17, 2), 16, 10).cast("int") % 2 == 1
     weight = F.lit(1.0) + F.log(F.col("tf").cast("double"))
     value = tf.select(key, index.cast("int").alias("idx"), F.when(odd, weight).otherwise(-weight).alias("w")).groupBy(key, "idx").agg(F.sum("w").alias("value"))
-    length = value.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"))
-    return value.join(length, key).select(key, "idx", F.when(F.col("length") == 0, 0.0).otherwise(F.col("value") / F.col("length")).alias("value"))
+    own = value.withColumn("length", F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(key))))
+    return own.select(key, "idx", F.when(F.col("length") == 0, 0.0).otherwise(F.col("value") / F.col("length")).alias("value"))
+
+
+def sparse_features(tokens: DataFrame, key: str, token: str, width: int) -> DataFrame:
+    """key and vector, an array of idx and value, of hashed features; rows of a key that stand in one partition are not shuffled again."""
+    return signed_features(tokens, key, token, width).groupBy(key).agg(F.collect_list(F.struct("idx", "value")).alias("vector"))
 
 
 def dense_features(tokens: DataFrame, key: str, token: str, width: int) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -12,7 +15,7 @@ from pyspark.sql.window import Window as W
 from tarnwick.functions.text import tokens
 from tarnwick.functions.vector import cosine
 from tarnwick.functions.versions import cpe_applicability, named_status, split_cpe
-from tarnwick.runtime import materialize
+from tarnwick.runtime import by_key, materialize
 
 
 def term_table(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -59,13 +62,199 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: st
     return bm25_of(terms, stats, question_terms(queries, query_key, query_text), key, query_key)
 
 
+@dataclass(frozen=True)
+class Asked:
+    """A stated query set: its keys, distinct terms, each term's queries (a row of `queries` from starts[term] on) and each query's number of terms."""
+
+    keys: list
+    kind: str
+    terms: list
+    starts: np.ndarray
+    queries: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, queries: DataFrame, query_key: str, query_text: str) -> Asked:
+        rows = question_terms(queries, query_key, query_text).filter(F.col(query_key).isNotNull()).distinct().orderBy("term", query_key).collect()
+        keys, terms = sorted({r[0] for r in rows}), sorted({r.term for r in rows})
+        at, place = {k: i for i, k in enumerate(keys)}, {t: i for i, t in enumerate(terms)}
+        own, of = np.array([at[r[0]] for r in rows], np.int64), np.array([place[r.term] for r in rows], np.int64)
+        order = np.argsort(of, kind="stable")
+        return cls(keys, dict(queries.dtypes)[query_key], terms, np.searchsorted(of[order], np.arange(len(terms) + 1)), own[order], np.bincount(own, minlength=len(keys)))
+
+
+def matched(docs: DataFrame, key: str, text: str, asked: Asked) -> DataFrame:
+    """One row per key of docs: key and m, an array of term (its number in asked, -1 for the document itself), dl and tf.
+
+    Terms that nobody asks for go before anything is shuffled, and a key's rows meet once.
+    """
+    named = docs.sparkSession.createDataFrame(pd.DataFrame({"term": ["", *asked.terms], "i": np.arange(-1, len(asked.terms))}), "term string, i int")  # no token is empty
+    t = docs.select(F.col(key).alias("k"), tokens(F.col(text)).alias("t")).select("k", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    own = by_key(t.join(F.broadcast(named), "term").select("k", "dl", "i"), "k").groupBy("k", "dl", "i").agg(F.count("*").cast("int").alias("tf"))
+    return own.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "dl", "tf"))).alias("m")).withColumnRenamed("k", key)
+
+
+class Channels:
+    """BM25 and the share of a query's terms, of matched documents, document by document: every score that is not 0, rounded, without a table of pairs."""
+
+    def __init__(self, docs: DataFrame, asked: Asked, digits: int = 6) -> None:
+        m = docs.select(F.explode("m").alias("x")).select("x.*")
+        self.asked, self.digits, self.df, self.n, total = asked, digits, np.zeros(len(asked.terms)), 0.0, 0.0
+        for r in m.groupBy("i").agg(F.count("*").alias("df"), F.sum("tf").alias("n"), F.sum(F.col("tf").cast("double") * F.col("dl")).alias("total")).collect():  # one row per term
+            if r.i < 0:
+                self.n, total = float(r.n), r.total
+            else:
+                self.df[r.i] = r.df
+        self.avgdl = total / self.n if self.n else 0.0
+
+    def scores(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """BM25 and overlap of a batch of m: rows are documents, columns queries; 0 where no term is shared."""
+        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        x = lists.flatten()
+        i, dl, tf = (x.field(f).to_numpy(zero_copy_only=False) for f in range(3))
+        row = np.repeat(np.arange(len(n)), n)
+        own = np.flatnonzero(i >= 0)
+        i, dl, tf, row = i[own], dl[own].astype(float), tf[own].astype(float), row[own]
+        idf = np.log(1.0 + (self.n - self.df + 0.5) / (self.df + 0.5))
+        part = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (self.avgdl or 1.0))) * idf[i]
+        times = np.diff(self.asked.starts)[i]
+        query = self.asked.queries[np.arange(times.sum()) + np.repeat(self.asked.starts[i] - np.cumsum(times) + times, times)]
+        width = len(self.asked.keys)
+        cell, size = np.repeat(row, times) * width + query, len(n) * width
+        sparse = np.bincount(cell, np.repeat(part, times), size).reshape(len(n), width)
+        over = np.bincount(cell, minlength=size).reshape(len(n), width) / np.maximum(self.asked.sizes, 1)
+        return rounded(sparse, self.digits), rounded(over, self.digits)
+
+
+def slices(parts: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Batches of so few rows that a matrix of them with width columns has a million numbers at most."""
+    step = max(1, (1 << 20) // max(1, width))
+    for part in parts:
+        for at in range(0, part.num_rows, step):
+            yield part.slice(at, step)
+
+
+class Best:
+    """The k best of each query out of batches of scores, by falling score, then rising (or falling) key; a bounded number of them waits."""
+
+    def __init__(self, width: int, k: int, down: bool = False) -> None:
+        self.k, self.down, self.least, self.last, self.held, self.n = k, down, np.full(width, -np.inf), None, [], 0
+
+    def add(self, scores: np.ndarray, keys: np.ndarray, where: np.ndarray | None = None) -> None:
+        good = scores > self.least
+        if self.last is not None:
+            good |= (scores == self.least) & (np.greater if self.down else np.less).outer(keys, self.last)
+        row, query = np.nonzero(good if where is None else good & where)
+        self.held.append(pd.DataFrame({"q": query, "score": scores[row, query], "key": keys[row]}))
+        self.n += len(row)
+        if self.n > (1 << 19) + 2 * self.k * len(self.least):
+            self.settle()
+
+    def settle(self) -> pd.DataFrame:
+        rows = pd.concat(self.held).sort_values(["q", "score", "key"], ascending=[True, False, not self.down], ignore_index=True) if self.held else pd.DataFrame({"q": np.zeros(0, int), "score": np.zeros(0), "key": []})
+        place = rows.groupby("q").cumcount()
+        last = rows[place == self.k - 1]
+        if len(last):
+            self.last = np.full(len(self.least), last.key.iloc[0]) if self.last is None else self.last  # looked at only where least is a score
+            self.least[last.q.to_numpy()], self.last[last.q.to_numpy()] = last.score, last.key
+        self.held = [rows[place < self.k]]
+        self.n = len(self.held[0])
+        return self.held[0]
+
+
+def top_channels(docs: DataFrame, key: str, query_key: str, channels: Channels, k: int) -> DataFrame:
+    """query_key, key, channel (0: BM25, 1: overlap), score and rank of the k best of each query in each channel, of scores above 0."""
+    width, kind = len(channels.asked.keys), dict(docs.dtypes)[key]
+
+    def run(parts):
+        best = [Best(width, k), Best(width, k)]
+        for part in slices(parts, width):
+            for b, s in zip(best, channels.scores(_list(part, "m")), strict=True):
+                b.add(s, _keys(part, key), s > 0)
+        names = pa.array(channels.asked.keys)
+        for c, b in enumerate(best):
+            if not len(rows := b.settle()):
+                continue
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(rows.q.to_numpy(np.int64))), pa.array(rows.key.to_numpy()), pa.array(np.full(len(rows), c, np.int32)), pa.array(rows.score.to_numpy(float))], [query_key, key, "channel", "score"])
+
+    found = docs.select(key, "m").mapInArrow(run, f"`{query_key}` {channels.asked.kind}, `{key}` {kind}, channel int, score double")
+    return found.withColumn("rank", F.row_number().over(W.partitionBy(query_key, "channel").orderBy(F.desc("score"), key))).filter(F.col("rank") <= k)
+
+
+def _keys(part: pa.RecordBatch, name: str) -> np.ndarray:
+    return _list(part, name).to_pandas().to_numpy()
+
+
+def _list(part: pa.RecordBatch, name: str) -> pa.Array:
+    c = part.column(name)
+    return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+
+
+def fused_channels(docs: DataFrame, key: str, query_key: str, channels: Channels, k: int, constant: int = 60) -> tuple[DataFrame, DataFrame]:
+    """The k best of each query by reciprocal rank fusion of both channels (query_key, key, rrf, rank), and the best of each channel as top_channels has them.
+
+    Exact without ranks of all: the k best of one channel have 1 / (constant + k) at least, and what is behind rank constant + 2 k in both has less.
+    So only those before it can be hits. Their ranks in the other channel are counted in one more pass: how many documents stand before each.
+    """
+    reach = constant + 2 * k + 1
+    best = materialize(top_channels(docs, key, query_key, channels, reach), "channel-tops")
+    width, at = len(channels.asked.keys), {q: i for i, q in enumerate(channels.asked.keys)}
+    rows = best.select(query_key, key).distinct().toPandas()
+    rows = pd.DataFrame({"q": rows[query_key].map(at).astype("int64"), "key": rows[key]})
+    names, kind = pd.Index(pd.unique(rows.key)), dict(docs.dtypes)[key]
+
+    def scored(parts):  # of the candidates, in both channels
+        for part in slices(parts, width):
+            keys = pd.Series(_keys(part, key))
+            i = np.flatnonzero(keys.isin(names))
+            if len(i):
+                some = part.take(pa.array(i))
+                sparse, over = channels.scores(_list(some, "m"))
+                mine = rows.merge(pd.DataFrame({"key": keys.iloc[i].to_numpy(), "row": np.arange(len(i))}), on="key")
+                yield pa.RecordBatch.from_arrays([pa.array(mine.q.to_numpy()), pa.array(mine.key.to_numpy()), pa.array(sparse[mine.row, mine.q]), pa.array(over[mine.row, mine.q])], ["q", "key", "s0", "s1"])
+
+    found = docs.select(key, "m").mapInArrow(scored, f"q long, key {kind}, s0 double, s1 double").toPandas()
+    order = np.sort(names.to_numpy())
+    places = []  # by channel and query: candidates from the best on, as negative scores, keys, and both as one number
+    span = 2 * len(order) + 1  # more than any code
+    for c in ("s0", "s1"):
+        own = found[found[c] > 0].sort_values(["q", c, "key"], ascending=[True, False, True], ignore_index=True)
+        places.append({int(q): (s := -g[c].to_numpy(), k_ := g.key.to_numpy(), np.searchsorted(s, s) * span + 2 * np.searchsorted(order, k_) + 1) for q, g in own.groupby("q")})
+
+    def counted(parts):  # how many documents stand between one candidate and the next
+        seen = [{q: np.zeros(len(s) + 1, np.int64) for q, (s, *_) in p.items()} for p in places]
+        for part in slices(parts if len(order) else [], width):
+            keys = _keys(part, key)
+            code = np.searchsorted(order, keys)
+            code = 2 * code + (order[np.minimum(code, len(order) - 1)] == keys)  # odd: the key of a candidate, even: between two
+            for p, n, score in zip(places, seen, channels.scores(_list(part, "m")), strict=True):
+                for q, (s, _, both) in p.items():
+                    i = np.flatnonzero(score[:, q] > 0)
+                    mine = -score[i, q]
+                    lo = np.searchsorted(s, mine)
+                    same = np.flatnonzero(s[np.minimum(lo, len(s) - 1)] == mine)  # of equal scores the key decides
+                    lo[same] = np.searchsorted(both, lo[same] * span + code[i[same]])
+                    n[q] += np.bincount(lo, minlength=len(s) + 1)
+        for c, n in enumerate(seen):
+            for q, x in n.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(np.full(len(x), q, np.int64)), pa.array(np.arange(len(x))), pa.array(x)], ["c", "q", "place", "n"])
+
+    before = docs.select(key, "m").mapInArrow(counted, "c int, q long, place long, n long").groupBy("c", "q", "place").agg(F.sum("n").alias("n")).toPandas().sort_values("place")
+    ranks = []
+    for (c, q), g in before.groupby(["c", "q"]):
+        # a document counts at the place of the first candidate that it does not stand behind, a candidate at its own
+        ranks.append(pd.DataFrame({"q": q, "key": places[c][q][1], "rank": np.cumsum(g.n.to_numpy())[:-1]}))
+    spark, names = docs.sparkSession, channels.asked.keys
+    ranks = pd.concat(ranks) if ranks else pd.DataFrame({"q": np.zeros(0, int), "key": [], "rank": []})
+    both = spark.createDataFrame([(names[int(q)], k_.item() if hasattr(k_, "item") else k_, int(r)) for q, k_, r in ranks.itertuples(index=False)], f"`{query_key}` {channels.asked.kind}, `{key}` {kind}, rank long")
+    return top(fuse([both], query_key, key, constant), query_key, key, "rrf", k), best
+
+
 def dense(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, most: int = 4096) -> DataFrame:
     """query_key, key and cosine of every pair, from matrix products of batches of vectors with blocks of at most `most` queries, one after another.
 
     0 where a vector has no length; vectors of another width than the query's give nothing.
     """
-    import numpy as np
-
     q = queries.select(F.col(query_key).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).filter("q is not null and v is not null")
     kind, own = dict(queries.dtypes)[query_key], dict(vectors.dtypes)[key]
     shape = f"`{query_key}` {kind}, `{key}` {own}, score double"
@@ -124,17 +313,12 @@ def dense_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, que
 
 def rounded(x, digits: int):
     """Half away from zero, as SQL rounds."""
-    import numpy as np
-
     y = x * 10.0**digits
     return np.trunc(y + np.copysign(0.5, y)) / 10.0**digits
 
 
 def _best_of(k: int, digits: int):
     """For cogroups of queries (q, w) and vectors (k, v): q, k and score of the k best of each query."""
-    import numpy as np
-    import pyarrow as pa
-
     def sorted_rows(t: pa.Table, name: str, values: str):
         """By width: sorted keys, vectors and their squared lengths."""
         t = t.sort_by(name)
@@ -201,8 +385,6 @@ def _best_of(k: int, digits: int):
 
 def _units(m):
     """Rows brought to length 1; rows without a length stay 0."""
-    import numpy as np
-
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
@@ -260,11 +442,32 @@ def fused_hits(scores: DataFrame, key: str, mode: str = "hybrid", least: float |
     return fused.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") > offset) & (F.col("rank") <= offset + k)).drop("asked_for")
 
 
-def prescored(cosines: DataFrame, overlaps: DataFrame, query_key: str, key: str, pool: int, share: float = 0.25) -> DataFrame:
-    """The pool rows of each query with the largest cosine + share * overlap, ties to the greater key: what a second stage looks at."""
-    both = cosines.select(query_key, key, F.col("score").alias("c")).join(overlaps.select(query_key, key, F.col("score").alias("o")), [query_key, key], "left")
-    s = both.select(query_key, key, F.round(F.col("c") + F.lit(share) * F.coalesce("o", F.lit(0.0)), 6).alias("prescore"))
-    return s.withColumn("place", F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("prescore"), F.desc(key)))).filter(F.col("place") <= pool)
+def prescored(docs: DataFrame, key: str, vector: str, query_key: str, queries: dict, channels: Channels, pool: int, share: float = 0.25) -> DataFrame:
+    """query_key, key, prescore and place of the pool rows of each query with the largest cosine + share * overlap, ties to the greater key: what a second stage looks at.
+
+    docs: key, m as of matched, and the vector as indexes and values of a unit vector; queries: query key to unit vector.
+    """
+    order, kind, terms = list(queries), dict(docs.dtypes)[key], channels.asked.keys
+    matrix = np.array([queries[q] for q in order], dtype=float).reshape(len(order), -1)
+    at = {q: i for i, q in enumerate(terms)}
+    place = np.array([at.get(q, len(terms)) for q in order], np.int64)
+
+    def run(parts):
+        best = Best(len(order), pool, down=True)
+        for part in slices(parts, max(len(order), matrix.shape[1])):
+            lists = _list(part, vector)
+            row = np.repeat(np.arange(part.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            own, x = np.zeros((part.num_rows, matrix.shape[1])), lists.flatten()
+            own[row, x.field(0).to_numpy()] = x.field(1).to_numpy()
+            over = channels.scores(_list(part, "m"))[1]
+            over = np.concatenate([over, np.zeros((len(over), 1))], axis=1)[:, place]
+            best.add(rounded(own @ matrix.T + share * over, channels.digits), _keys(part, key))
+        if not len(rows := best.settle()):
+            return
+        yield pa.RecordBatch.from_arrays([pa.array(order).take(pa.array(rows.q.to_numpy(np.int64))), pa.array(rows.key.to_numpy()), pa.array(rows.score.to_numpy(float))], [query_key, key, "prescore"])
+
+    found = docs.select(key, "m", vector).mapInArrow(run, f"`{query_key}` {channels.asked.kind}, `{key}` {kind}, prescore double")
+    return found.withColumn("place", F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("prescore"), F.desc(key)))).filter(F.col("place") <= pool)
 
 
 def pool_size(offset: int, k: int) -> int:

@@ -63,6 +63,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by key, so that what is grouped by it and more is not shuffled again; into parts that grow with the input, as texts become many rows."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.rdd.getNumPartitions()), key)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the table that materialize wrote for df; nothing may read it any more."""
     held, path = _written.pop(id(df), (None, ""))

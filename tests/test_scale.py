@@ -69,3 +69,32 @@ def test_every_vector_is_asked(spark, tmp_path):
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     check(spark, tmp_path, "ir_recall_mrr_ndcg", embeddings=e)
     assert catalogue.QUERIES["ir_recall_mrr_ndcg"](spark, str(tmp_path)).first().queries == 39  # all but the one without others of its label
+
+
+def test_fusion_of_many_ties(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(1, 6)))) for i in range(300)] + [(300 + i, "w1 w2 w3") for i in range(150)] + [(900, ""), (901, None), (902, "zz")]
+    asked = [(i, " ".join(rng.sample(words, 3))) for i in range(8)] + [(8, "none here"), (9, "")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, text string")
+    for name in ("bm25_topk", "rrf_hybrid_topk", "rrf_modes", "two_stage_prescore"):
+        (path := tmp_path / name).mkdir()
+        check(spark, path, name, documents=d, benchmark=q)
+
+
+def test_scores_leave_tasks_as_the_best_only(spark):
+    rows = [(i, f"a b{i % 7}") for i in range(2000)]
+    asked = S.Asked.of(spark.createDataFrame([(1, "a"), (2, "a b3")], "q long, text string"), "q", "text")
+    docs = S.matched(spark.createDataFrame(rows, "k long, text string").repartition(2), "k", "text", asked).coalesce(1)
+    best = S.Best(2, 5)
+    scores = S.Channels(docs, asked).scores
+    for part in docs.orderBy("k").toArrow().to_batches():
+        best.add(scores(part.column("m"))[0], S._keys(part, "k"))
+    assert best.settle().groupby("q").size().tolist() == [5, 5] and len(best.held[0]) == 10
+    assert best.settle().key.tolist() == [0, 1, 2, 3, 4, 3, 10, 17, 24, 31]
+
+
+def test_features_are_shuffled_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a a b"), (2, "c"), (1, "b d")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = catalogue.QUERIES["hash_features_512"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange ") == 1
