@@ -6,6 +6,7 @@ import hashlib
 import html
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -101,7 +102,16 @@ def modalities(texts: pd.Series, kinds: pd.Series) -> pd.Series:
 def evidence(records: DataFrame, fields: tuple[str, ...] = ("description", "poc", "patch", "image_text")) -> DataFrame:
     """One row for each segment of each field of records: source, source_id, field, the segment and confidence."""
     rows = records.select("source", "source_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields if f in records.columns])).alias("f"))
-    found = rows.select("source", "source_id", F.col("f.field").alias("field"), F.explode(modalities(F.col("f.value"), F.col("f.field"))).alias("s")).select("source", "source_id", "field", "s.*")
+    rows = rows.select("source", "source_id", "f.*")
+    names = ["source", "source_id", "field", *SEGMENT.elementType.names]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for at in range(0, len(part), 256):  # a batch's segments are not held at once
+                some = part.iloc[at : at + 256]
+                yield pd.DataFrame([(*r[:3], *s.values()) for r in some.itertuples(index=False) for s in segments(r.value, r.field)], columns=names)
+
+    found = rows.mapInPandas(run, StructType([*rows.schema.fields[:3], *SEGMENT.elementType.fields]))
     unsure = (F.col("field") == "image_text") | (F.col("modality") == "image_reference")
     named = F.sha2(F.concat_ws("\x1f", "source", "source_id", "field", "start", "end", "text", F.coalesce("uri", F.lit(""))), 256)
     return found.withColumn("confidence", F.when(unsure, "unverified").when(F.col("extraction") == "source_field", "source_asserted").otherwise("extracted")).withColumn("evidence_id", named)

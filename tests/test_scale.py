@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tarnwick import catalogue
@@ -113,3 +114,14 @@ def test_links_of_odd_parts(spark, tmp_path):
     lines = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1), (5, 1), (9, 1), (4, 3)], "l_partkey long, l_suppkey long")
     part = spark.createDataFrame([(1, "x", 3), (2, "x", 3), (5, "y", 7), (10, None, 7), (4, None, 1), (3, "z", 1)], "p_partkey long, p_brand string, p_size int")
     check(spark, tmp_path, "artifact_links", lineitem=lines, part=part)
+
+
+def test_batches_are_cut(monkeypatch):
+    from tarnwick.plans import datasets as D
+
+    taken = {}
+    fake = type("Frame", (), {"select": lambda self, *c: self, "mapInPandas": lambda self, f, shape: taken.update(f=f) or self, "withColumnRenamed": lambda self, *c: self})()
+    monkeypatch.setattr(D.F, "col", lambda c: type("C", (), {"cast": lambda self, k: self, "alias": lambda self, n: self})())
+    D.chunks(fake, "k", "t", 4, 0)
+    made = list(taken["f"](iter([pd.DataFrame({"key": range(1000), "text": ["abcdefgh"] * 1000})])))
+    assert max(map(len, made)) <= 512 and sum(map(len, made)) == 2000
